@@ -77,9 +77,14 @@ def range_bounds(df: DataFrame, by: Sequence[str], order: Sequence[str], rows_pe
     """
     limit = rows_per_task or ROWS_PER_TASK
     sizes = df.groupBy(*by).count() if by else df.select(F.count(F.lit(1)).alias("count"))
-    largest, total = sizes.agg(F.max("count"), F.sum("count")).first()
+    missing = F.lit(False)
+    for c in by:
+        missing = missing | F.col(c).isNull()
+    largest, total, has_null = sizes.agg(F.max("count"), F.sum("count"), F.bool_or(missing)).first()
     if largest is None or largest <= limit:
         return None
+    if has_null:
+        raise ValueError(f"group columns {list(by)} must not be null")
     ranges = min(MAX_RANGES, math.ceil(total / limit))
     key = F.struct(*by, *order)
     share = min(1.0, ranges * SAMPLED_PER_RANGE / total)
@@ -137,10 +142,7 @@ def carry_over(cut: DataFrame, by, part: str, order, values: dict[str, Running],
         *[r.carry(f"_t_{n}", earlier).alias(f"_c_{n}") for n, r in values.items()],
     )
     local = cut.withColumns({f"_l_{n}": r.over(inside) for n, r in values.items()})
-    match = None
-    for c in (*by, part):
-        same = local[c].eqNullSafe(carried[f"_k_{c}"])
-        match = same if match is None else match & same
+    match = [local[c] == carried[f"_k_{c}"] for c in (*by, part)]
     joined = local.join(carried, match, "left")
     return joined.select(
         *cut.columns,
