@@ -30,10 +30,17 @@ SAMPLED_PER_RANGE = 32
 
 @dataclass(frozen=True)
 class Running:
-    """One running value: ``kind`` is count, sum, min, max or last (non-null)."""
+    """One running value: ``kind`` is count, sum, min, max or last (non-null).
+
+    With ``current=False`` the current row is left out.
+    """
 
     kind: str
     value: Column | None = None
+    current: bool = True
+
+    def frame(self, window):
+        return window.rowsBetween(Window.unboundedPreceding, Window.currentRow if self.current else -1)
 
     def over(self, window) -> Column:
         if self.kind == "count":
@@ -114,34 +121,31 @@ def running(
     order: Sequence[str],
     values: dict[str, Running],
     *,
-    include_current: bool = True,
     rows_per_task: int | None = None,
 ) -> DataFrame:
     """Add running values of ``df`` per ``by`` in ``order``.
 
     ``order`` must be a total order inside a group (end it with a unique id).
-    With ``include_current=False`` the current row is left out.
     """
-    end = Window.currentRow if include_current else -1
     bounds = range_bounds(df, by, order, rows_per_task)
     if bounds is None:
-        window = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-        return df.withColumns({name: r.over(window) for name, r in values.items()})
+        window = Window.partitionBy(*by).orderBy(*order)
+        return df.withColumns({name: r.over(r.frame(window)) for name, r in values.items()})
 
     cut = df.withColumn("_range", range_number(df, by, order, bounds))
-    return carry_over(cut, by, "_range", order, values, end).drop("_range")
+    return carry_over(cut, by, "_range", order, values).drop("_range")
 
 
-def carry_over(cut: DataFrame, by, part: str, order, values: dict[str, Running], end=Window.currentRow) -> DataFrame:
+def carry_over(cut: DataFrame, by, part: str, order, values: dict[str, Running]) -> DataFrame:
     """Running values of rows already cut into ordered parts numbered by ``part``."""
-    inside = Window.partitionBy(*by, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    inside = Window.partitionBy(*by, part).orderBy(*order)
     earlier = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     totals = cut.groupBy(*by, part).agg(*[r.total(F.struct(*order)).alias(f"_t_{n}") for n, r in values.items()])
     carried = totals.select(
         *[F.col(c).alias(f"_k_{c}") for c in (*by, part)],
         *[r.carry(f"_t_{n}", earlier).alias(f"_c_{n}") for n, r in values.items()],
     )
-    local = cut.withColumns({f"_l_{n}": r.over(inside) for n, r in values.items()})
+    local = cut.withColumns({f"_l_{n}": r.over(r.frame(inside)) for n, r in values.items()})
     match = [local[c] == carried[f"_k_{c}"] for c in (*by, part)]
     joined = local.join(carried, match, "left")
     return joined.select(

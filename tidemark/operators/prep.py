@@ -54,12 +54,13 @@ def feature_entries(df: DataFrame, features: str = "features") -> DataFrame:
 
 
 def to_sparse_vector(df: DataFrame, features: str, width: int, out: str = "vector") -> DataFrame:
-    """Feature map to an ML vector of ``width`` entries."""
+    """Feature map to an ML vector of ``width`` entries, stored sparse where that is smaller."""
     dense = F.transform(
         F.sequence(F.lit(0), F.lit(width - 1)),
         lambda i: F.coalesce(F.try_element_at(F.col(features), i).cast("double"), F.lit(0.0)),
     )
-    return df.withColumn(out, array_to_vector(dense))
+    whole = df.withColumn("_dense", array_to_vector(dense))
+    return VectorAssembler(inputCols=["_dense"], outputCol=out).transform(whole).drop("_dense")
 
 
 def long_vectors(df: DataFrame, *keep: str, features: str = "features", bias: bool = False) -> DataFrame:

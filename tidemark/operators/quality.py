@@ -65,11 +65,13 @@ def class_report(predictions: DataFrame) -> DataFrame:
     per_class = rates.select(F.col("class").cast("string").alias("class"), *measures, "support")
     # Micro precision and recall are both the share of correct rows.
     share = F.sum("correct") / F.sum("support")
-    micro = [share.alias(m) for m in measures]
-    macro = [F.avg(m).alias(m) for m in measures]
-    weighted = [(F.sum(F.col(m) * F.col("support")) / F.sum("support")).alias(m) for m in measures]
-    out = per_class
-    for name, columns in (("micro", micro), ("macro", macro), ("weighted", weighted)):
-        row = rates.agg(*columns, F.sum("support").alias("support"))
-        out = out.unionByName(row.select(F.lit(name).alias("class"), *measures, "support"))
-    return out
+    shapes = {
+        "micro": lambda m: share,
+        "macro": F.avg,
+        "weighted": lambda m: F.sum(F.col(m) * F.col("support")) / F.sum("support"),
+    }
+    averages = [
+        F.struct(F.lit(name).alias("class"), *[shape(m).alias(m) for m in measures], F.sum("support").alias("support"))
+        for name, shape in shapes.items()
+    ]
+    return per_class.unionByName(rates.agg(F.array(*averages).alias("rows")).select(F.inline("rows")))
