@@ -30,7 +30,7 @@ def epoch_ms(ts: Column | str) -> Column:
     """
     ts = _col(ts)
     seconds = F.hour(ts) * 3600 + F.minute(ts) * 60
-    second_ms = F.floor(F.date_part(F.lit("SECOND"), ts) * 1000)
+    second_ms = F.floor(F.date_part(F.lit("SECOND"), ts) * 1000).cast("long")
     return F.unix_date(ts.cast("date")).cast("long") * 86_400_000 + seconds.cast("long") * 1000 + second_ms
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import HashingTF, Tokenizer, VectorAssembler
+from pyspark.ml.feature import HashingTF, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
@@ -108,8 +108,8 @@ def hash_text(df: DataFrame, text: str, id_col: str, buckets: int = NUM_FEATURES
 
 
 def hashed_vectors(df: DataFrame, text: str, buckets: int = NUM_FEATURES, out: str = "features") -> DataFrame:
-    """Term counts as an ML vector with the built-in hash."""
-    words = Tokenizer(inputCol=text, outputCol="_words").transform(df)
+    """Term counts as an ML vector with the library's own hash."""
+    words = df.withColumn("_words", tokens(text))
     return HashingTF(numFeatures=buckets, inputCol="_words", outputCol=out).transform(words).drop("_words")
 
 

@@ -26,7 +26,7 @@ def init_weights(spark: SparkSession, classes: int, features: int) -> DataFrame:
 def init_weights_for(examples: DataFrame, label: str = "label", features: str = "features") -> DataFrame:
     """Zero weights for the label range and the width found in ``examples``."""
     extent = examples.agg(F.max(label).alias("top"), F.max(F.size(features)).alias("width"))
-    classes = extent.select(F.explode(F.sequence(F.lit(0), F.col("top"))).cast("int").alias("class"), "width")
+    classes = extent.select(F.explode(F.sequence(F.lit(0), F.col("top").cast("int"))).alias("class"), "width")
     return classes.select("class", F.explode(F.sequence(F.lit(BIAS), F.col("width") - 1)).alias("feature"), F.lit(0.0).alias("value"))
 
 
@@ -60,8 +60,11 @@ def settle(weights: DataFrame) -> tuple[DataFrame, bool]:
     return cut_lineage(weights), False
 
 
-def weight_arrays(weights: DataFrame, by: str | None = None) -> dict | np.ndarray:
-    """``(classes, features + 1)`` array, or one per value of ``by``; bounded by the broadcast limit."""
+def weight_arrays(weights: DataFrame, by: str | None = None, also: str | None = None) -> dict | np.ndarray | tuple[dict, dict]:
+    """``(classes, features + 1)`` array, or one per value of ``by``; bounded by the broadcast limit.
+
+    ``also`` names a column with one value per group, given as a second dict.
+    """
     rows = weights.limit(MAX_BROADCAST_WEIGHTS + 1).toArrow()
     if rows.num_rows > MAX_BROADCAST_WEIGHTS:
         raise ValueError("model too large for one process; use the table form (margins, softmax_gradient)")
@@ -78,7 +81,10 @@ def weight_arrays(weights: DataFrame, by: str | None = None) -> dict | np.ndarra
         pick = groups == g
         arrays[int(g)] = np.zeros(shape)
         arrays[int(g)][c[pick], f[pick]] = v[pick]
-    return arrays
+    if also is None:
+        return arrays
+    values = rows[also].to_numpy()
+    return arrays, {g: values[np.flatnonzero(groups == g)[0]] for g in arrays}
 
 
 def weights_frame(spark: SparkSession, array: np.ndarray) -> DataFrame:

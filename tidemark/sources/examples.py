@@ -13,20 +13,22 @@ def example_schema(features: int = NUM_FEATURES, label: str = "Score") -> T.Stru
     return T.StructType([*columns, T.StructField(label, T.IntegerType())])
 
 
-def read_lines(spark: SparkSession, path: str, *, stream: bool = False, **options: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, *, header: bool = True, stream: bool = False) -> DataFrame:
     """Lines of a CSV file split at the commas, without quoting, as ``fields ARRAY<STRING>``.
 
     Use it where rows may have any number of fields; check them with
-    ``validate_width``.  The header line, if any, is still there.
+    ``validate_width``.  The CSV reader skips the header line of every file;
+    its own separator is set to a control character, so a line stays whole.
     """
-    reader = (spark.readStream if stream else spark.read).options(**options)
-    return reader.text(path).select(F.split("value", ",").alias("fields"))
+    reader = (spark.readStream if stream else spark.read).schema("value string")
+    lines = reader.option("header", header).option("sep", "\u0001").option("quote", "").csv(path)
+    return lines.select(F.split("value", ",").alias("fields"))
 
 
-def to_numbers(df: DataFrame, fields: str = "fields") -> DataFrame:
+def to_numbers(df: DataFrame, fields: str = "fields", keep: tuple[str, ...] = ()) -> DataFrame:
     """Fields as ``features MAP<INT, FLOAT>`` without zeros, and ``label``."""
     numbers = F.transform(F.slice(fields, 1, F.size(fields) - 1), lambda f: f.cast("float"))
-    return df.select(sparse_map(numbers).alias("features"), F.element_at(fields, -1).cast("int").alias("label"))
+    return df.select(*keep, sparse_map(numbers).alias("features"), F.element_at(fields, -1).cast("int").alias("label"))
 
 
 def read_examples(

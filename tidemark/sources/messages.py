@@ -58,6 +58,15 @@ def gradient_message(clock: Column, start: Column, end: Column, values: Column,
     return tagged(GRADIENT, vectorClock=clock, keyRange=key_range(start, end), values=values, partitionKey=worker)
 
 
+def _text_keys(kind: T.DataType) -> T.DataType:
+    """The same type with STRING map keys, which is all JSON has."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _text_keys(f.dataType)) for f in kind.fields])
+    if isinstance(kind, T.MapType):
+        return T.MapType(T.StringType(), _text_keys(kind.valueType))
+    return kind
+
+
 def decode(df: DataFrame, value: str = "value", schemas: dict[str, T.StructType] | None = None, strict: bool = True) -> DataFrame:
     """Add ``tag`` and one struct column per type, NULL for rows of another type.
 
@@ -70,7 +79,7 @@ def decode(df: DataFrame, value: str = "value", schemas: dict[str, T.StructType]
     tagged_df = df.withColumn("tag", F.get_json_object(text, f"$.{TAG}"))
     known = F.col("tag").isin(list(schemas))
     mode = {"mode": "FAILFAST" if strict else "PERMISSIVE"}
-    decoded = {t: F.when(F.col("tag") == t, F.from_json(text, s, mode)) for t, s in schemas.items()}
+    decoded = {t: F.when(F.col("tag") == t, F.from_json(text, _text_keys(s), mode).cast(s)) for t, s in schemas.items()}
     malformed = text.isNotNull() & ~F.coalesce(known, F.lit(False))
     if strict:
         failure = F.raise_error(F.concat(F.lit("not a known message: "), text)).cast("boolean")
