@@ -26,7 +26,7 @@ from tidemark.functions.columns import (
 )
 from tidemark.operators.lookups import asof
 from tidemark.operators.ordered import Running, blocks, carry_over, number_rows, range_bounds
-from tidemark.storage import cut_lineage
+from tidemark.storage import cut_lineage, small_side
 
 BY = ["shard"]
 ARRIVAL = ["t_ms", "id"]
@@ -131,7 +131,7 @@ def snapshot(
     seen = arrivals if at_ms is None else arrivals.filter(F.col("t_ms") <= at_ms)
     line = timeline(seen, low, high, coefficient, **options)
     last = line.groupBy(F.col("shard").alias("_shard")).agg(F.max_by("released", "n").alias("_released"))
-    kept = line.select(*arrivals.columns, "n").join(last, (F.col("shard") == F.col("_shard")) & (F.col("n") > F.col("_released")))
+    kept = line.select(*arrivals.columns, "n").join(small_side(last), (F.col("shard") == F.col("_shard")) & (F.col("n") > F.col("_released")))
     return kept.drop("_shard", "_released").withColumnRenamed("n", "insertion_id")
 
 

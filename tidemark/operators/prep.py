@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.columns import BIAS, NUM_FEATURES, NUM_WORKERS, features_of, label_of, sorted_entries, sparse_map
 from tidemark.operators.ordered import first_rows
+from tidemark.storage import small_side
 
 
 def sparse_encode(df: DataFrame, values: str, out: str = "features") -> DataFrame:
@@ -130,7 +131,7 @@ def cap_per_label(df: DataFrame, label: str, id_col: str, k: int) -> DataFrame:
         .groupBy(F.col(label).alias("_label"))
         .agg(F.max("_bucket").alias("_last"))
     )
-    near = hashed.join(last, (F.col(label) == F.col("_label")) & (F.col("_bucket") <= F.col("_last")))
+    near = hashed.join(small_side(last), (F.col(label) == F.col("_label")) & (F.col("_bucket") <= F.col("_last")))
     return first_rows(near, [label], ["_h", id_col], k).select(*df.columns)
 
 

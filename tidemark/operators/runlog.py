@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.storage import small_side
+
 SERVER = -1
 
 
@@ -38,9 +40,9 @@ def common_clock(log: DataFrame, by: Sequence[str] = ("run",)) -> DataFrame:
 
 def to_common_clock(log: DataFrame, by: Sequence[str] = ("run",)) -> DataFrame:
     """Rows up to the common clock of their run."""
-    limits = common_clock(log, by)
+    limits = small_side(common_clock(log, by))
     if not by:
-        return log.join(F.broadcast(limits), F.col("vectorClock") <= F.col("common_clock")).drop("common_clock")
+        return log.filter(F.col("vectorClock") <= F.lit(limits.first()[0]))
     return log.join(limits, list(by)).filter(F.col("vectorClock") <= F.col("common_clock")).drop("common_clock")
 
 

@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import softmax
-from tidemark.operators.weights import settle
+from tidemark.operators.weights import MAX_BROADCAST_WEIGHTS
+from tidemark.storage import small_side
 
 ROWS_PER_BLOCK = 4096
 FLUSH_VALUES = 4_000_000  # partial sums one task holds before it passes them on
@@ -30,14 +31,13 @@ FLUSH_VALUES = 4_000_000  # partial sums one task holds before it passes them on
 
 def _feature_weights(weights: DataFrame, classes: Sequence[int] | None) -> tuple[DataFrame, list[int]]:
     """One row per feature with one weight column per class."""
-    weights, small = settle(weights)
     if classes is None:
-        top = weights.agg(F.max("class")).first()[0]
-        classes = list(range(top + 1))
+        weights = small_side(weights, MAX_BROADCAST_WEIGHTS)
+        classes = list(range(weights.agg(F.max("class")).first()[0] + 1))
     wide = weights.groupBy("feature").agg(
         *[F.coalesce(F.max(F.when(F.col("class") == c, F.col("value"))), F.lit(0.0)).alias(f"_w{c}") for c in classes]
     )
-    return (F.broadcast(wide) if small else wide), list(classes)
+    return small_side(wide, MAX_BROADCAST_WEIGHTS // len(classes)), list(classes)
 
 
 def _margin_arrays(vectors: DataFrame, weights: DataFrame, row: str, classes=None) -> tuple[DataFrame, list[int]]:
@@ -154,25 +154,23 @@ def predict_versions(
     return narrow.mapInArrow(score, f"version long, {fields}, prediction int")
 
 
-def gradient_sums(examples: DataFrame, weights: np.ndarray | dict[int, np.ndarray], by: str = "shard") -> DataFrame:
-    """Summed gradient, summed loss and rows per ``by``, class and feature.
+def _sums_per_group(examples: DataFrame, by: str, width: int, models, measure, measures: Sequence[str]) -> DataFrame:
+    """Reduce the rows of every group to arrays of one shape and add them up over all tasks.
 
-    ``weights`` is one model for all, or one per value of ``by``; groups
-    without a model are left out.  A hot shard is no problem: every task
-    reduces its own rows to one partial sum per key first.
+    ``measure(x, labels, model)`` gives one array per name in ``measures`` and
+    a loss for a block of rows.  A hot group is no problem: each task reduces
+    its own rows first and sends one array per group.
     """
-    shared = not isinstance(weights, dict)
-    shape = weights.shape if shared else next(iter(weights.values())).shape
-    width = shape[1] - 1
-    model = examples.sparkSession.sparkContext.broadcast(weights)
+    shared = not isinstance(models, dict)
+    model = examples.sparkSession.sparkContext.broadcast(models)
     narrow = examples.select(F.col(by).cast("long").alias(by), F.col("label").cast("int").alias("label"), "features")
-    c, f = (a.ravel().astype(np.int32) for a in np.indices(shape))
-    names = [by, "class", "feature", "gradient", "loss", "rows"]
+    names = [by, "class", "feature", *measures, "loss", "rows"]
 
-    def emit(group, gradient, loss, rows):
-        size = gradient.size
-        arrays = [np.full(size, group, dtype=np.int64), c, f - 1, gradient.ravel(), np.full(size, loss), np.full(size, rows, dtype=np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=names)
+    def emit(group, arrays, loss, rows):
+        c, f = (a.ravel().astype(np.int32) for a in np.indices(arrays[0].shape))
+        columns = [np.full(c.size, group, np.int64), c, f - 1, *[a.ravel() for a in arrays]]
+        columns += [np.full(c.size, loss), np.full(c.size, rows, np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(a) for a in columns], names=names)
 
     def reduce(batches):
         sums: dict[int, list] = {}
@@ -184,28 +182,49 @@ def gradient_sums(examples: DataFrame, weights: np.ndarray | dict[int, np.ndarra
                 x = softmax.with_bias(softmax.dense_block(part.column("features"), width))
                 for group in np.unique(groups):
                     w = model.value if shared else model.value.get(int(group))
-                    if w is None:
+                    if w is None and not shared:
                         continue
                     pick = groups == group
-                    loss, gradient = softmax.loss_and_gradient(x[pick], labels[pick], w)
-                    old = sums.get(int(group))
-                    if old is None:
-                        sums[int(group)] = [gradient, loss, int(pick.sum())]
-                    else:
-                        old[0] += gradient
-                        old[1] += loss
-                        old[2] += int(pick.sum())
-                if len(sums) * shape[0] * shape[1] > FLUSH_VALUES:
+                    arrays, loss = measure(x[pick], labels[pick], w)
+                    old = sums.setdefault(int(group), [[0.0] * len(arrays), 0.0, 0])
+                    old[0] = [a + b for a, b in zip(old[0], arrays)]
+                    old[1] += loss
+                    old[2] += int(pick.sum())
+                held = sum(a.size for arrays, _, _ in sums.values() for a in arrays)
+                if held > FLUSH_VALUES:
                     for group, value in sums.items():
                         yield emit(group, *value)
                     sums = {}
         for group, value in sums.items():
             yield emit(group, *value)
 
-    parts = narrow.mapInArrow(reduce, f"`{by}` long, class int, feature int, gradient double, loss double, rows long")
-    return parts.groupBy(by, "class", "feature").agg(
-        F.sum("gradient").alias("gradient"), F.sum("loss").alias("loss"), F.sum("rows").alias("rows")
-    )
+    doubles = ", ".join(f"{m} double" for m in measures)
+    parts = narrow.mapInArrow(reduce, f"`{by}` long, class int, feature int, {doubles}, loss double, rows long")
+    return parts.groupBy(by, "class", "feature").agg(*[F.sum(m).alias(m) for m in (*measures, "loss", "rows")])
+
+
+def gradient_sums(examples: DataFrame, weights: np.ndarray | dict[int, np.ndarray], by: str = "shard") -> DataFrame:
+    """Summed gradient, summed loss and rows per ``by``, class and feature.
+
+    ``weights`` is one model for all, or one per value of ``by``; groups
+    without a model are left out.
+    """
+    width = (next(iter(weights.values())) if isinstance(weights, dict) else weights).shape[1] - 1
+
+    def measure(x, labels, w):
+        loss, gradient = softmax.loss_and_gradient(x, labels, w)
+        return [gradient], loss
+
+    return _sums_per_group(examples, by, width, weights, measure, ["gradient"])
+
+
+def moment_sums(examples: DataFrame, width: int, by: str = "shard") -> DataFrame:
+    """Sum and sum of squares of every feature and rows per ``by``; class is 0 throughout."""
+
+    def measure(x, labels, w):
+        return [x.sum(axis=0)[None, :], (x * x).sum(axis=0)[None, :]], 0.0
+
+    return _sums_per_group(examples, by, width, None, measure, ["total", "squares"])
 
 
 def gradient_step(examples: DataFrame, weights: np.ndarray | dict[int, np.ndarray], rate: float, by: str = "shard") -> DataFrame:

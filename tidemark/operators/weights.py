@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.columns import BIAS
 from tidemark.operators.ordered import Running, running
-from tidemark.storage import cut_lineage
+from tidemark.storage import small_side
 
 KEY = ["class", "feature"]
 MAX_BROADCAST_WEIGHTS = 10_000_000
@@ -48,16 +48,9 @@ def from_flat(flat: DataFrame, classes: int, features: int, value: str = "value"
     )
 
 
-def settle(weights: DataFrame) -> tuple[DataFrame, bool]:
-    """Evaluate a weights table once; second result: small enough to broadcast.
-
-    At most ``MAX_BROADCAST_WEIGHTS`` rows come to the driver.  A larger model
-    is written to the shared folder and stays distributed.
-    """
-    rows = weights.limit(MAX_BROADCAST_WEIGHTS + 1).toArrow()
-    if rows.num_rows <= MAX_BROADCAST_WEIGHTS:
-        return weights.sparkSession.createDataFrame(rows, weights.schema), True
-    return cut_lineage(weights), False
+def settle(weights: DataFrame) -> DataFrame:
+    """Evaluate a weights table once and broadcast it if it is small enough."""
+    return small_side(weights, MAX_BROADCAST_WEIGHTS)
 
 
 def weight_arrays(weights: DataFrame, by: str | None = None, also: str | None = None) -> dict | np.ndarray | tuple[dict, dict]:
@@ -111,8 +104,8 @@ def to_ml(weights: DataFrame) -> tuple[DenseMatrix, object]:
 
 
 def match_delta(weights: DataFrame, deltas: DataFrame) -> DataFrame:
-    """Every delta next to the weight it belongs to; Catalyst picks the join."""
-    return deltas.join(weights, KEY)
+    """Every delta next to the weight it belongs to; the log stays where it is if the model is small."""
+    return deltas.join(settle(weights), KEY)
 
 
 def combine(weights: DataFrame, deltas: DataFrame, n: int) -> DataFrame:
@@ -160,7 +153,7 @@ def weight_history(
     the running sum is cut into ranges when a key is that hot.
     """
     summed = running(deltas, KEY, arrival, {"_sum": Running("sum", F.col("delta"))}, rows_per_task=rows_per_task)
-    return summed.join(weights, KEY).withColumn("value", F.col("value") + F.col("_sum") / n).drop("_sum")
+    return summed.join(settle(weights), KEY).withColumn("value", F.col("value") + F.col("_sum") / n).drop("_sum")
 
 
 def missing_ids(df: DataFrame, id_col: str, low: int, high: int, rows_per_task: int | None = None) -> DataFrame:

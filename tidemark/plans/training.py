@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.functions import softmax
 from tidemark.functions.columns import LOCAL_ITERATIONS, NUM_WORKERS
 from tidemark.operators.quality import f1_accuracy
-from tidemark.operators.scoring import gradient_step, gradient_sums, predict, predict_versions
+from tidemark.operators.scoring import gradient_step, gradient_sums, moment_sums, predict, predict_versions
 from tidemark.operators.weights import combine, weight_arrays, weights_frame
 
 MAX_GROUP_ROWS = 65_536  # a buffer is far smaller; larger groups are fitted over all executors
@@ -91,23 +91,21 @@ def _fit_in_tasks(examples, weights, iterations, by):
 
 def _fit_over_rows(examples, weights, iterations, by):
     spark = examples.sparkSession
-    totals = {r[by]: r for r in _moments(examples, by).collect()}
-    old = weights if isinstance(weights, dict) else {int(g): weights for g in totals}
+    width = (next(iter(weights.values())) if isinstance(weights, dict) else weights).shape[1] - 1
+    moments = _arrays(moment_sums(examples, width, by), by, (1, width + 1), ("total", "squares"))
+    old = weights if isinstance(weights, dict) else {g: weights for g in moments}
     shape = next(iter(old.values())).shape
     scales, steps, points, done = {}, {}, {}, {}
-    for group, w in old.items():
-        row = totals.get(group)
-        if row is None:
-            continue
-        sums, squares = np.array([row["n"], *row["sums"]], float), np.array([row["n"], *row["squares"]], float)
-        scales[group] = _scale(sums, squares, row["n"])
-        steps[group] = softmax.lbfgs(w * scales[group], iterations)
+    for group in old.keys() & moments.keys():
+        (total, squares), _, n = moments[group]
+        scales[group] = _scale(total[0], squares[0], n)
+        steps[group] = softmax.lbfgs(old[group] * scales[group], iterations)
         points[group] = next(steps[group])
     while points:
         asked = {g: _unscale(p, scales[g]) for g, p in points.items()}
-        answers = _values(gradient_sums(examples, asked, by), by, shape)
+        answers = _arrays(gradient_sums(examples, asked, by), by, shape, ("gradient",))
         for group in list(points):
-            loss, gradient, n = answers[group]
+            (gradient,), loss, n = answers[group]
             try:
                 points[group] = steps[group].send((loss / n, _unscale(gradient, scales[group]) / n))
             except StopIteration as stop:
@@ -126,38 +124,17 @@ def _fit_over_rows(examples, weights, iterations, by):
     return spark.createDataFrame(pa.concat_tables(tables), f"`{by}` long, {FIT_SCHEMA}")
 
 
-def _moments(examples: DataFrame, by: str) -> DataFrame:
-    """Rows, sums and sums of squares per group and feature, as arrays in feature order."""
-    if examples.schema["features"].dataType.typeName() == "map":
-        entries = examples.select(by, F.explode("features").alias("_i", "_x"))
-    else:
-        entries = examples.select(by, F.posexplode("features").alias("_i", "_x"))
-    x = F.col("_x").cast("double")
-    per_feature = entries.groupBy(by, "_i").agg(F.sum(x).alias("s"), F.sum(x * x).alias("q"))
-    width = per_feature.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("_i", F.struct("s", "q")))).alias("_m"), F.max("_i").alias("_top"))
-    rows = examples.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("n"))
-    top = width.join(rows, F.col(by) == F.col("_by"))
-    pick = lambda i, name: F.coalesce(F.try_element_at("_m", i)[name], F.lit(0.0))
-    positions = F.sequence(F.lit(0), F.col("_top"))
-    return top.select(
-        by,
-        "n",
-        F.transform(positions, lambda i: pick(i, "s")).alias("sums"),
-        F.transform(positions, lambda i: pick(i, "q")).alias("squares"),
-    )
-
-
-def _values(sums: DataFrame, by: str, shape: tuple[int, int]) -> dict[int, tuple[float, np.ndarray, int]]:
-    """Loss, gradient and rows per group; one model-sized array per group comes to the driver."""
+def _arrays(sums: DataFrame, by: str, shape: tuple[int, int], names: Sequence[str]) -> dict[int, tuple[list[np.ndarray], float, int]]:
+    """Arrays, loss and rows per group; one model-sized array per group comes to the driver."""
     rows = sums.toArrow()
-    groups, c, f = (rows[n].to_numpy() for n in (by, "class", "feature"))
-    g, loss, n = (rows[k].to_numpy() for k in ("gradient", "loss", "rows"))
+    groups, c, f, loss, n = (rows[k].to_numpy() for k in (by, "class", "feature", "loss", "rows"))
     out = {}
     for group in np.unique(groups):
         pick = np.flatnonzero(groups == group)
-        gradient = np.zeros(shape)
-        gradient[c[pick], f[pick] + 1] = g[pick]
-        out[int(group)] = (float(loss[pick[0]]), gradient, int(n[pick[0]]))
+        arrays = [np.zeros(shape) for _ in names]
+        for array, name in zip(arrays, names):
+            array[c[pick], f[pick] + 1] = rows[name].to_numpy()[pick]
+        out[int(group)] = (arrays, float(loss[pick[0]]), int(n[pick[0]]))
     return out
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+MAX_BROADCAST_ROWS = 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,3 +37,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the written copy."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small_side(df: DataFrame, most: int | None = None) -> DataFrame:
+    """Evaluate ``df`` once, for the small side of a join.
+
+    Up to ``most`` rows it comes back as a local table marked for broadcast;
+    a larger result stays distributed and Spark picks the join.
+    """
+    most = MAX_BROADCAST_ROWS if most is None else most
+    rows = df.limit(most + 1).toArrow()
+    if rows.num_rows > most:
+        return cut_lineage(df)
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
