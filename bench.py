@@ -33,6 +33,7 @@ HEADLINE = [
     "weight_history",
     "metric_series",
     "hash_text",
+    "text_rounds",
     "decode_tagged_json",
     "stream_adaptive_buffer",
     "stream_training_sequential",

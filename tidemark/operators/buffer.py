@@ -82,10 +82,21 @@ def timeline(
     ).drop("_floor", "_floor_before")
 
 
+def recent_mean_gap(window, history: int) -> Column:
+    """Mean of the last ``history`` gaps, from two times and a count.
+
+    The gaps between two arrivals add up to the time between them, so no frame
+    of ``history`` rows has to be summed for every row.  Needs ``n``.
+    """
+    ahead = F.lag("t_ms", history).over(window)
+    start = F.first("t_ms").over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    count = F.least(F.col("n") - 1, F.lit(history))
+    return F.coalesce((F.col("t_ms") - F.coalesce(ahead, start)) / F.when(count > 0, count), F.lit(DEFAULT_GAP_MS))
+
+
 def _targets(numbered: DataFrame, window, target: Column, history: int) -> DataFrame:
-    gaps_ = numbered.withColumn("gap", F.col("t_ms") - F.lag("t_ms").over(window))
-    mean = F.avg("gap").over(window.rowsBetween(-(history - 1), Window.currentRow))
-    return gaps_.withColumn("mean_gap", F.coalesce(mean, F.lit(DEFAULT_GAP_MS))).withColumn("target", target)
+    gap = F.col("t_ms") - F.lag("t_ms").over(window)
+    return numbered.withColumns({"gap": gap, "mean_gap": recent_mean_gap(window, history)}).withColumn("target", target)
 
 
 def insertion_id(arrivals: DataFrame, **options) -> DataFrame:

@@ -108,6 +108,13 @@ def hash_text(df: DataFrame, text: str, id_col: str, buckets: int = NUM_FEATURES
     return words.groupBy(id_col, bucket.alias("feature")).agg(F.count(F.lit(1)).alias("x"))
 
 
+def hashed_maps(df: DataFrame, text: str, id_col: str, buckets: int = NUM_FEATURES) -> DataFrame:
+    """One row per text with its term counts as ``features``; at most ``buckets`` entries each."""
+    counts = hash_text(df, text, id_col, buckets)
+    entries = F.collect_list(F.struct("feature", F.col("x").cast("float").alias("x")))
+    return counts.groupBy(id_col).agg(F.map_from_entries(entries).alias("features"))
+
+
 def hashed_vectors(df: DataFrame, text: str, buckets: int = NUM_FEATURES, out: str = "features") -> DataFrame:
     """Term counts as an ML vector with the library's own hash."""
     words = df.withColumn("_words", tokens(text))

@@ -667,6 +667,17 @@ def local_fit_rounds(spark, sf):
     return out.select("version", r6("f1").alias("f1"), r6("accuracy").alias("accuracy"), "rows")
 
 
+@query
+def text_rounds(spark, sf):
+    """Texts hashed to 1,024 features, dealt out to workers, and two rounds of local fits on them."""
+    docs = fx.documents(spark, sf)
+    hashed = prep.hashed_maps(docs, "text", "doc_id").join(docs.select("doc_id", F.col("quality").alias("label")), "doc_id")
+    rows = prep.shard_rows(hashed, "doc_id", WORKERS).persist()
+    history = training.train_rounds(rows, np.zeros((2, 1025)), 2, WORKERS)
+    out = training.learning_curve(rows, dict(enumerate(history)))
+    return out.select("version", r6("f1").alias("f1"), r6("accuracy").alias("accuracy"), "rows")
+
+
 @query
 def reference_model(spark, sf):
     rows = fx.examples(spark, sf)

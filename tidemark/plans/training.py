@@ -21,7 +21,7 @@ from tidemark.operators.quality import f1_accuracy
 from tidemark.operators.scoring import gradient_step, gradient_sums, moment_sums, predict, predict_versions
 from tidemark.operators.weights import combine, weight_arrays, weights_frame
 
-MAX_GROUP_ROWS = 65_536  # a buffer is far smaller; larger groups are fitted over all executors
+MAX_GROUP_ROWS = 16_384  # a buffer is far smaller; larger groups are fitted over all executors
 
 FIT_SCHEMA = "class int, feature int, delta double, loss double, rows long"
 

@@ -20,7 +20,6 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.columns import (
     BUFFER_COEFFICIENT,
-    DEFAULT_GAP_MS,
     GAP_HISTORY,
     LOCAL_ITERATIONS,
     MAX_BUFFER,
@@ -28,6 +27,7 @@ from tidemark.functions.columns import (
     NUM_WORKERS,
     target_size,
 )
+from tidemark.operators.buffer import recent_mean_gap
 from tidemark.operators.clocks import EVENTUAL
 from tidemark.operators.prep import shard_rows
 from tidemark.operators.quality import f1_accuracy
@@ -65,10 +65,9 @@ def advance_buffer(tail: DataFrame | None, batch: DataFrame, low: int, high: int
             "_base": F.coalesce(F.max("n").over(shard), F.lit(0)) - F.count("n").over(shard),
             "_floor0": F.min("floor").over(shard),
             "_rn": F.row_number().over(order),
-            "_gap": F.col("t_ms") - F.lag("t_ms").over(order),
         }
     ).withColumn("n", F.coalesce(F.col("n"), F.col("_base") + F.col("_rn")))
-    mean = F.coalesce(F.avg("_gap").over(order.rowsBetween(-(history - 1), 0)), F.lit(DEFAULT_GAP_MS))
+    mean = recent_mean_gap(order, history)
     sized = numbered.withColumn("_room", F.when(F.col("_new") == 1, target_size(mean, low, high, coefficient) - F.col("n")))
     running = F.min("_room").over(order.rowsBetween(Window.unboundedPreceding, 0))
     floors = sized.withColumn("floor", F.coalesce(F.col("floor"), F.least(F.col("_floor0"), running)))
