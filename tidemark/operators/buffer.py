@@ -29,7 +29,8 @@ from tidemark.operators.ordered import Running, blocks, carry_over, number_rows,
 from tidemark.storage import cut_lineage, small_side
 
 BY = ["shard"]
-ARRIVAL = ["t_ms", "id"]
+ARRIVAL = ["t_ms", "id"]  # ``id`` is unique
+NARROW = [*BY, *ARRIVAL]  # all that the rules need; other columns are joined at the end
 
 
 def timeline(
@@ -130,7 +131,7 @@ def evictions(arrivals: DataFrame, low=MIN_BUFFER, high=MAX_BUFFER, coefficient=
     The ids that have left never shrink, so one arrival evicts a run of ids
     and no join is needed.
     """
-    line = timeline(arrivals, low, high, coefficient, **options).filter("released > released_before")
+    line = timeline(arrivals.select(NARROW), low, high, coefficient, **options).filter("released > released_before")
     gone = F.explode(F.sequence(F.col("released_before") + 1, F.col("released")))
     return line.select("shard", gone.alias("insertion_id"), F.col("n").alias("evicted_by"), F.col("t_ms").alias("evicted_ms"))
 
@@ -140,15 +141,20 @@ def snapshot(
 ) -> DataFrame:
     """Rows in the buffer now, or as it was at ``at_ms``."""
     seen = arrivals if at_ms is None else arrivals.filter(F.col("t_ms") <= at_ms)
-    line = timeline(seen, low, high, coefficient, **options)
+    line = timeline(seen.select(NARROW), low, high, coefficient, **options)
     last = line.groupBy(F.col("shard").alias("_shard")).agg(F.max_by("released", "n").alias("_released"))
-    kept = line.select(*arrivals.columns, "n").join(small_side(last), (F.col("shard") == F.col("_shard")) & (F.col("n") > F.col("_released")))
-    return kept.drop("_shard", "_released").withColumnRenamed("n", "insertion_id")
+    held = line.join(small_side(last), (F.col("shard") == F.col("_shard")) & (F.col("n") > F.col("_released")))
+    keys = held.select("shard", "id", F.col("n").alias("insertion_id"))
+    if set(arrivals.columns) == set(NARROW):
+        return held.select(*arrivals.columns, F.col("n").alias("insertion_id"))
+    # At most ``high`` rows per shard are left, so the other columns are
+    # fetched by a broadcast of the keys and never shuffled.
+    return seen.join(small_side(keys), ["shard", "id"]).select(*arrivals.columns, "insertion_id")
 
 
 def shard_stats(arrivals: DataFrame, low=MIN_BUFFER, high=MAX_BUFFER, coefficient=BUFFER_COEFFICIENT, **options) -> DataFrame:
     """Rows in the buffer, smallest and largest insertion id in it, and rows seen, per shard."""
-    line = timeline(arrivals, low, high, coefficient, **options)
+    line = timeline(arrivals.select(NARROW), low, high, coefficient, **options)
     last = line.groupBy("shard").agg(F.max("n").alias("rows_seen"), F.max_by("occupancy", "n").alias("rows_in_buffer"))
     return last.withColumns({"min_id": F.col("rows_seen") - F.col("rows_in_buffer") + 1, "max_id": F.col("rows_seen")})
 
@@ -173,7 +179,7 @@ def buffer_at(
     buckets ``insertion_id div high``, and the join is an equi-join on
     (shard, bucket) with at most ``high`` rows per bucket on the arrivals side.
     """
-    line = timeline(arrivals, low, high, coefficient, rows_per_task=rows_per_task, **options)
+    line = timeline(arrivals.select(NARROW), low, high, coefficient, rows_per_task=rows_per_task, **options)
     state = line.select("shard", "t_ms", F.col("n").alias("_n"), "released")
     runs = asof(times, state, "t_ms", ["shard"], ["_n", "released"], left_tie=time_id, right_tie="_n", rows_per_task=rows_per_task)
     runs = runs.filter(F.col("_n").isNotNull())
@@ -181,11 +187,12 @@ def buffer_at(
     spread = runs.select(
         "shard", time_id, F.col("t_ms").alias("trained_ms"), "_n", "released", F.explode(F.sequence(first, last)).alias("_bucket")
     )
-    rows = line.select(
-        F.col("shard").alias("_shard"),
-        F.col("n").alias("insertion_id"),
-        F.floor(F.col("n") / high).alias("_bucket2"),
-        *[F.col(c).alias(f"{c}") for c in payload],
+    extra = [c for c in payload if c not in NARROW]
+    numbered = line.select(*NARROW, "n")
+    if extra:
+        numbered = numbered.join(arrivals.select("shard", "id", *extra), ["shard", "id"])
+    rows = numbered.select(
+        F.col("shard").alias("_shard"), F.col("n").alias("insertion_id"), F.floor(F.col("n") / high).alias("_bucket2"), *payload
     )
     hit = (
         (F.col("shard") == F.col("_shard"))

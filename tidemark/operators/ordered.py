@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 ROWS_PER_TASK = 4_000_000
+WIDE_ROWS_PER_TASK = 250_000  # where rows hold texts, arrays or maps
 MAX_RANGES = 8_192
 SAMPLED_PER_RANGE = 32
 
@@ -75,6 +76,17 @@ class Running:
         return F.coalesce(local, carried)
 
 
+def task_rows(df: DataFrame, rows_per_task: int | None = None) -> int:
+    """Rows one window task takes: as told, else by whether the rows are narrow."""
+    return rows_per_task or (WIDE_ROWS_PER_TASK if _is_wide(df.schema) else ROWS_PER_TASK)
+
+
+def _is_wide(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_is_wide(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.ArrayType, T.MapType, T.BinaryType, T.StringType, T.UserDefinedType))
+
+
 def range_bounds(df: DataFrame, by: Sequence[str], order: Sequence[str], rows_per_task: int | None = None) -> str | None:
     """Cut points of ``df`` in ``(by, order)`` order as a JSON array, or None.
 
@@ -82,7 +94,7 @@ def range_bounds(df: DataFrame, by: Sequence[str], order: Sequence[str], rows_pe
     What reaches the driver is at most ``MAX_RANGES * SAMPLED_PER_RANGE`` short
     rows, whatever the size of the table.
     """
-    limit = rows_per_task or ROWS_PER_TASK
+    limit = task_rows(df, rows_per_task)
     sizes = df.groupBy(*by).count() if by else df.select(F.count(F.lit(1)).alias("count"))
     missing = F.lit(False)
     for c in by:
@@ -166,7 +178,7 @@ def blocks(df: DataFrame, by: Sequence[str], number: str, before: int, rows_per_
     Adds ``_block`` and ``_own``; rows with ``_own`` false are the copies taken
     from the previous block and must be dropped after the window is done.
     """
-    size = max(rows_per_task or ROWS_PER_TASK, before)
+    size = max(task_rows(df, rows_per_task), before)
     place = F.col(number) - 1
     own = F.floor(place / size).cast("long")
     targets = F.when(place % size >= size - before, F.array(own, own + 1)).otherwise(F.array(own))
