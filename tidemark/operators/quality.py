@@ -1,4 +1,4 @@
-"""Quality of predictions, always from one count per (label, prediction)."""
+"""Quality of predictions, from counts per class or per (label, prediction)."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ def confusion(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def class_counts(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Support, predicted and correct rows per class from confusion counts."""
+    """Support, predicted and correct rows per class; ``n`` is how many rows a row stands for."""
     roles = F.array(
         F.struct(
             F.col("label").alias("class"),
@@ -48,8 +48,12 @@ def _with_rates(counts: DataFrame) -> DataFrame:
 
 
 def f1_accuracy(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Weighted F1 and accuracy, one row per ``by``."""
-    rates = _with_rates(class_counts(confusion(predictions, by), by))
+    """Weighted F1 and accuracy, one row per ``by``.
+
+    Rows are counted per class in each task, so what is shuffled is one row
+    per class and task.
+    """
+    rates = _with_rates(class_counts(predictions.withColumn("n", F.lit(1).cast("long")), by))
     total = F.sum("support")
     return rates.groupBy(*by).agg(
         (F.sum(F.col("f1") * F.col("support")) / total).alias("f1"),

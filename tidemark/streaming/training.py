@@ -256,10 +256,9 @@ def train_stream(
         store.start(weights, num_workers)
 
     def step(batch: DataFrame, number: int) -> None:
-        rows = batch.persist()
         train_batch(
             store,
-            rows,
+            batch,
             number,
             num_workers=num_workers,
             delay=delay,
@@ -269,7 +268,6 @@ def train_stream(
             iterations=iterations,
             test=test,
         )
-        rows.unpersist()
 
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint")
     return writer.trigger(**(trigger or {"availableNow": True})).start()
