@@ -16,7 +16,6 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from tidemark.functions import softmax
 from tidemark.operators.weights import MAX_BROADCAST_WEIGHTS
@@ -29,28 +28,19 @@ FLUSH_VALUES = 4_000_000  # partial sums one task holds before it passes them on
 # ---- table form -----------------------------------------------------------
 
 
-def _feature_weights(weights: DataFrame, classes: Sequence[int] | None) -> tuple[DataFrame, list[int]]:
-    """One row per feature with one weight column per class."""
-    if classes is None:
-        weights = small_side(weights, MAX_BROADCAST_WEIGHTS)
-        classes = list(range(weights.agg(F.max("class")).first()[0] + 1))
+def _feature_weights(weights: DataFrame) -> tuple[DataFrame, list[int]]:
+    """One row per feature with one weight column per class, and the classes."""
+    weights = small_side(weights, MAX_BROADCAST_WEIGHTS)
+    classes = list(range(weights.agg(F.max("class")).first()[0] + 1))
     wide = weights.groupBy("feature").agg(
         *[F.coalesce(F.max(F.when(F.col("class") == c, F.col("value"))), F.lit(0.0)).alias(f"_w{c}") for c in classes]
     )
-    return small_side(wide, MAX_BROADCAST_WEIGHTS // len(classes)), list(classes)
-
-
-def _margin_arrays(vectors: DataFrame, weights: DataFrame, row: str, classes=None) -> tuple[DataFrame, list[int]]:
-    wide, classes = _feature_weights(weights, classes)
-    per_row = Window.partitionBy(row)
-    joined = vectors.join(wide, "feature")
-    z = F.array(*[F.sum(F.col("x") * F.col(f"_w{c}")).over(per_row) for c in classes])
-    return joined.withColumn("z", z).drop(*[f"_w{c}" for c in classes]), classes
+    return small_side(wide, MAX_BROADCAST_WEIGHTS // len(classes)), classes
 
 
 def margin_arrays(vectors: DataFrame, weights: DataFrame, row: str = "row_id", keep: Sequence[str] = ("label",)) -> DataFrame:
     """Array of margins per row, one entry per class; ``vectors`` must carry the bias feature."""
-    wide, classes = _feature_weights(weights, None)
+    wide, classes = _feature_weights(weights)
     sums = [F.sum(F.col("x") * F.col(f"_w{c}")).alias(f"_z{c}") for c in classes]
     rows = vectors.join(wide, "feature").groupBy(row, *keep).agg(*sums)
     return rows.select(row, *keep, F.array(*[f"_z{c}" for c in classes]).alias("z"))
@@ -89,15 +79,17 @@ def cross_entropy(z: Column | str, label: Column | str) -> Column:
 def softmax_gradient(vectors: DataFrame, weights: DataFrame, row: str = "row_id", by: Sequence[str] = ()) -> DataFrame:
     """Sum over rows of (probability - [class = label]) * x per class and feature.
 
-    Rows are brought together by row id, which is spread evenly; the sum per
-    key is reduced in each task before it is shuffled.
+    Margins are added up per row, the residuals are worked out once per row
+    and joined back to its features.  Row ids are spread evenly, and the sum
+    per key is reduced in each task before it is shuffled.
     """
-    scored, classes = _margin_arrays(vectors, weights, row)
-    p = scored.withColumn("_p", softmax_of("z"))
-    parts = [
-        F.sum((F.get("_p", F.lit(i)) - F.when(F.col("label") == c, 1.0).otherwise(0.0)) * F.col("x")).alias(f"_g{c}")
-        for i, c in enumerate(classes)
-    ]
+    wide, classes = _feature_weights(weights)
+    sums = [F.sum(F.col("x") * F.col(f"_w{c}")).alias(f"_z{c}") for c in classes]
+    rows = vectors.join(wide, "feature").groupBy(row).agg(F.max("label").alias("_label"), *sums)
+    hit = F.transform(F.array(*[F.lit(c) for c in classes]), lambda c: F.when(c == F.col("_label"), 1.0).otherwise(0.0))
+    residual = F.zip_with(softmax_of(F.array(*[f"_z{c}" for c in classes])), hit, lambda p, h: p - h)
+    p = vectors.join(rows.select(row, residual.alias("_r")), row)
+    parts = [F.sum(F.get("_r", F.lit(i)) * F.col("x")).alias(f"_g{c}") for i, c in enumerate(classes)]
     sums = p.groupBy(*by, "feature").agg(*parts)
     cells = F.array(*[F.struct(F.lit(c).cast("int").alias("class"), F.col(f"_g{c}").alias("gradient")) for c in classes])
     return sums.select(*by, "feature", F.inline(cells)).select(*by, "class", "feature", "gradient")

@@ -39,14 +39,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, most: int | None = None) -> DataFrame:
-    """Evaluate ``df`` once, for the small side of a join.
-
-    Up to ``most`` rows it comes back as a local table marked for broadcast;
-    a larger result stays distributed and Spark picks the join.
-    """
-    most = MAX_BROADCAST_ROWS if most is None else most
+def local_copy(df: DataFrame, most: int) -> DataFrame | None:
+    """``df`` evaluated once and marked for broadcast, or None if it has more than ``most`` rows."""
     rows = df.limit(most + 1).toArrow()
     if rows.num_rows > most:
-        return cut_lineage(df)
+        return None
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+def small_side(df: DataFrame, most: int | None = None) -> DataFrame:
+    """The small side of a join: a broadcast copy if it is small, else a distributed table and Spark picks the join."""
+    local = local_copy(df, MAX_BROADCAST_ROWS if most is None else most)
+    return cut_lineage(df) if local is None else local
