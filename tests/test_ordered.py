@@ -113,6 +113,18 @@ def test_one_row_equal_times_and_zero_gaps(spark):
     assert buffer.snapshot(same, 4, 30, 0.2).count() == 30
 
 
+def test_no_arrivals(spark):
+    none = spark.createDataFrame([], "shard long, id long, t_ms long, value double")
+    assert buffer.snapshot(none).count() == 0 and buffer.evictions(none).count() == 0
+
+
+def test_snapshot_keeps_the_other_columns(spark):
+    _, df = arrivals_frame(spark, 9)
+    kept = buffer.snapshot(df, 4, 30, 0.2)
+    assert kept.columns == [*df.columns, "insertion_id"]
+    assert all(r["value"] == float(r["id"]) for r in kept.collect())
+
+
 def test_target_policy_is_a_column(spark):
     _, df = arrivals_frame(spark, 7)
     flat = buffer.timeline(df, policy=F.lit(5)).filter("n >= 5")

@@ -166,3 +166,20 @@ def test_hash_text_counts_whole_texts(spark):
     df = spark.createDataFrame([(1, long_text), (2, ""), (3, " \n\t ")], "id long, text string")
     rows = prep.hash_text(df, "text", "id").collect()
     assert {r["id"] for r in rows} == {1} and sum(r["x"] for r in rows) == 3003
+
+
+def test_empty_tables_stay_empty(spark):
+    df = spark.range(0).select("id", F.lit(1).alias("label"))
+    assert prep.cap_per_label(df, "label", "id", 3).count() == 0
+    worker, _ = hand_made_logs(spark)
+    assert runlog.to_common_clock(worker.limit(0)).count() == 0
+
+
+def test_small_side_is_broadcast_and_a_large_one_is_not(spark):
+    from tidemark.storage import small_side
+
+    big = spark.range(1000).withColumnRenamed("id", "k")
+    for most in (10, 1000):
+        joined = spark.range(50).join(small_side(big, most), F.col("id") == F.col("k"))
+        assert joined.count() == 50
+    assert small_side(big, 1000).isLocal() and not small_side(big, 10).isLocal()

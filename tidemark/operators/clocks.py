@@ -144,5 +144,5 @@ def gate(clocks: DataFrame, pending: DataFrame, delay: int) -> DataFrame:
     waiting = clocks.join(pending.select("worker").distinct(), "worker", "left_semi")
     if delay == EVENTUAL:
         return waiting
-    slowest = clocks.agg(F.min("clock").alias("_slowest"))
-    return waiting.join(F.broadcast(slowest), F.col("clock") - F.col("_slowest") <= delay).drop("_slowest")
+    slowest = clocks.agg(F.min("clock")).scalar()
+    return waiting.filter(F.col("clock") - slowest <= delay)

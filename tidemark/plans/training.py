@@ -46,13 +46,18 @@ def local_fit(
     check for groups known to be buffers.
     """
     if bounded is None:
-        largest = examples.groupBy(by).count().agg(F.max("count")).first()[0] or 0
-        bounded = largest <= MAX_GROUP_ROWS
+        bounded = groups_are_bounded(examples, by)
     if bounded:
         return _fit_in_tasks(examples, weights, iterations, by)
     return _fit_over_rows(examples, weights, iterations, by)
 
 
+def groups_are_bounded(examples: DataFrame, by: str) -> bool:
+    """No group is larger than one task should hold."""
+    largest = examples.groupBy(by).count().agg(F.max("count")).first()[0] or 0
+    return largest <= MAX_GROUP_ROWS
+
+
 def _fit_in_tasks(examples, weights, iterations, by):
     shared = not isinstance(weights, dict)
     width = (weights if shared else next(iter(weights.values()))).shape[1] - 1
@@ -170,9 +175,13 @@ def train_rounds(
     """
     spark = examples.sparkSession
     history = [weights]
+    bounded = rate is None and groups_are_bounded(examples, by)
     for _ in range(rounds):
         now = history[-1]
-        deltas = gradient_step(examples, now, rate, by) if rate is not None else local_fit(examples, now, iterations, by)
+        if rate is not None:
+            deltas = gradient_step(examples, now, rate, by)
+        else:
+            deltas = local_fit(examples, now, iterations, by, bounded=bounded)
         history.append(weight_arrays(combine(weights_frame(spark, now), deltas, num_workers)))
     return history
 
