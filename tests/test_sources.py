@@ -182,4 +182,5 @@ def test_small_side_is_broadcast_and_a_large_one_is_not(spark):
     for most in (10, 1000):
         joined = spark.range(50).join(small_side(big, most), F.col("id") == F.col("k"))
         assert joined.count() == 50
-    assert small_side(big, 1000).isLocal() and not small_side(big, 10).isLocal()
+    plan = lambda most: small_side(big, most)._jdf.queryExecution().analyzed().toString()
+    assert "strategy=broadcast" in plan(1000) and "strategy=broadcast" not in plan(10)
