@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import os
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 MAX_BROADCAST_ROWS = 100_000
+_shipped: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``.
 
     A folder of our own is chosen only where none is set, and only on a local
-    master, where driver and executors are one machine.
+    master, where driver and executors are one process.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
@@ -22,15 +26,41 @@ def shared_folder(spark: SparkSession) -> str:
         if context.getCheckpointDir() is None:
             context.setCheckpointDir(folder)
         return folder
-    if not context.master.startswith("local"):
+    if not re.match(r"local(\[|$)", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
     return context.getCheckpointDir()
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; Spark removes it when the session's JVM ends."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder; what follows starts from the copy, also after a lost executor."""
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per session.
+
+    The archive lies with the driver, whose file server hands it out; it is
+    code, not data.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="tidemark-"), os.path.basename(here))
+    made = shutil.make_archive(archive, "zip", os.path.dirname(here), os.path.basename(here))
+    context.addPyFile(made)
+    _shipped.add(context.applicationId)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
