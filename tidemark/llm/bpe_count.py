@@ -108,7 +108,7 @@ class MergeCounter:
         if UNUSUAL.search(text):
             return self._count_run(text)
         runs = self.runs
-        if len(runs) > MAX_CACHED:
+        if len(runs) > MAX_CACHED // 2:
             runs.clear()
         total = 0
         for run, times in Counter(text.split()).items():
@@ -131,7 +131,7 @@ class MergeCounter:
     def _count_word(self, word: str) -> int:
         tokens = self.words.get(word)
         if tokens is None:
-            if len(self.words) > 2 * MAX_CACHED:
+            if len(self.words) > MAX_CACHED:
                 self.words.clear()
             coded = word.encode()
             symbols = [self.inner[b] for b in coded]

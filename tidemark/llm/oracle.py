@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.llm.chat import BREAK, CLOSE, LEARNED, OPEN
 from tidemark.llm.mixing import MOST, SEED, SHARE, WEIGHTS
 from tidemark.llm.packing import BUCKETS, BUDGET
 
@@ -60,7 +61,23 @@ def _mixing() -> str:
     """
 
 
+def _chat() -> str:
+    return f"""
+    WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+               UNION ALL SELECT -7, t.turn, t.role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) t(turn, role)),
+    n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place FROM c),
+    f AS (SELECT *, {len(OPEN) + len(BREAK) + len(CLOSE)} + len(role) + len(text) + len(regexp_extract_all(text, '[<\\[\\\\]')) AS whole FROM n)
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+           coalesce(sum(len(text)) FILTER (WHERE role = '{LEARNED}'), 0)::BIGINT AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE role = '{LEARNED}'), '')) AS loss_sha256,
+           sum(whole)::BIGINT AS formatted_chars
+    FROM f GROUP BY conv_id
+    """
+
+
 SQL: dict[str, str] = {
     "op1_length_buckets": _packing(),
+    "op6_reply_paths": _chat(),
     "op8_systematic_mix": _mixing(),
 }

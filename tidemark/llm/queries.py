@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe_count import token_counts
+from tidemark.llm.chat import formatted_conversations
+from tidemark.llm.dac import encoded_documents
 from tidemark.llm.mixing import mix_documents
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.shards import balanced_shards
@@ -20,6 +22,17 @@ def op1_length_buckets(spark: SparkSession, sf: str) -> DataFrame:
     return pack_documents(_table(spark, sf, "documents"))
 
 
+def op4_direct_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return encoded_documents(_table(spark, sf, "documents"))
+
+
+def op6_reply_paths(spark: SparkSession, sf: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    conversations = _table(spark, sf, "conversations").select(probe.columns)
+    return formatted_conversations(conversations.union(probe))
+
+
 def op7_byte_shards(spark: SparkSession, sf: str) -> DataFrame:
     return balanced_shards(_table(spark, sf, "documents"))
 
