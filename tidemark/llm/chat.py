@@ -15,7 +15,7 @@ LEARNED = "assistant"
 
 def escape(text: str) -> Column:
     r"""A backslash after every ``<``, ``[`` and ``\``: no control string of this or another template survives in a text."""
-    return F.regexp_replace(text, r"([<\[\\])", "$1\\\\\\\\")
+    return F.regexp_replace(text, r"([<\[\\])", "$1\\\\")
 
 
 def unescape(text: Column) -> Column:

@@ -10,6 +10,7 @@ from tidemark.llm.bpe_count import token_counts
 from tidemark.llm.chat import formatted_conversations
 from tidemark.llm.dac import encoded_documents
 from tidemark.llm.mixing import mix_documents
+from tidemark.llm.neardup import near_duplicates
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.shards import balanced_shards
 
@@ -26,6 +27,10 @@ def op4_direct_codes(spark: SparkSession, sf: str) -> DataFrame:
     return encoded_documents(_table(spark, sf, "documents"))
 
 
+def op5_bottom_k_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf, "documents"), width=3, percent=85)
+
+
 def op6_reply_paths(spark: SparkSession, sf: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
