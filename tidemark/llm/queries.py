@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe_count import token_counts
 from tidemark.llm.chat import formatted_conversations
+from tidemark.llm.cws import fingerprints
 from tidemark.llm.dac import encoded_documents
 from tidemark.llm.mixing import mix_documents
 from tidemark.llm.neardup import near_duplicates
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.shards import balanced_shards
+from tidemark.llm.toxicity import scored
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -23,6 +25,10 @@ def op1_length_buckets(spark: SparkSession, sf: str) -> DataFrame:
     return pack_documents(_table(spark, sf, "documents"))
 
 
+def op2_subword_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return scored(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 def op4_direct_codes(spark: SparkSession, sf: str) -> DataFrame:
     return encoded_documents(_table(spark, sf, "documents"))
 
@@ -51,6 +57,10 @@ def op9_merge_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(_table(spark, sf, "documents"))
 
 
+def op10_weighted_samples(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints(_table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: f for name, f in globals().items() if name.startswith("op") and callable(f)
 }

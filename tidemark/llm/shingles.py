@@ -32,8 +32,8 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def word_hashes(coded: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of these texts in order, ``A-Z`` lower-cased, and words per text.
+def word_hashes(coded: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and bytes of every word of these texts in order, ``A-Z`` lower-cased, and words per text.
 
     Words are runs of anything but ASCII white space.  A word's hash is a
     polynomial in its bytes, taken from running sums over the joined texts.
@@ -46,11 +46,11 @@ def word_hashes(coded: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_LOWER[joined] * up[: len(joined)], dtype=np.uint64)])
     hashes = mix((sums[ends] - sums[starts]) * down[starts])
     borders = np.cumsum([1, *[len(c) + 1 for c in coded]])
-    return hashes, np.diff(np.searchsorted(starts, borders))
+    return hashes, ends - starts, np.diff(np.searchsorted(starts, borders))
 
 
 def _chunk_sets(coded: Sequence[bytes], width: int) -> list[np.ndarray]:
-    words, counts = word_hashes(coded)
+    words, _, counts = word_hashes(coded)
     spread = mix(np.arange(1, width + 2, dtype=np.uint64) * BASE) | np.uint64(1)
     n = max(0, len(words) - width + 1)
     rolled = np.zeros(n, dtype=np.uint64)
