@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.llm.bitslice import K, SCALE
 from tidemark.llm.chat import BREAK, CLOSE, LEARNED, OPEN
 from tidemark.llm.mixing import MOST, SEED, SHARE, WEIGHTS
 from tidemark.llm.packing import BUCKETS, BUDGET
@@ -76,8 +77,20 @@ def _chat() -> str:
     """
 
 
+def _search() -> str:
+    return f"""
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS ints FROM embeddings
+               WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.ints::DOUBLE[], c.ints::DOUBLE[])::BIGINT AS score
+          FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.ints) = len(c.ints) WHERE q.vec_id % 100 = 0),
+    r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
+    SELECT * FROM r WHERE rank <= {K}
+    """
+
+
 SQL: dict[str, str] = {
     "op1_length_buckets": _packing(),
+    "op3_bit_sliced_search": _search(),
     "op6_reply_paths": _chat(),
     "op8_systematic_mix": _mixing(),
 }

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.llm.bitslice import top_k
 from tidemark.llm.bpe_count import token_counts
 from tidemark.llm.chat import formatted_conversations
 from tidemark.llm.cws import fingerprints
@@ -29,6 +30,10 @@ def op2_subword_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return scored(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
 
+def op3_bit_sliced_search(spark: SparkSession, sf: str) -> DataFrame:
+    return top_k(_table(spark, sf, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op4_direct_codes(spark: SparkSession, sf: str) -> DataFrame:
     return encoded_documents(_table(spark, sf, "documents"))
 
