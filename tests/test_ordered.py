@@ -35,25 +35,33 @@ def test_ranges_give_what_one_window_gives(spark, kind, current, by):
 
 
 def test_ranges_are_even_although_one_group_and_time_is_hot(spark):
-    df = skewed(spark, 3000)
-    bounds = ordered.range_bounds(df, ["g"], ["t", "id"], 100)
-    sizes = df.withColumn("r", ordered.range_number(df, ["g"], ["t", "id"], bounds)).groupBy("r").count().collect()
-    assert len(sizes) >= 20
-    assert max(r["count"] for r in sizes) < 400
-
-
-def test_range_number_keeps_the_order(spark):
-    df = skewed(spark)
-    bounds = ordered.range_bounds(df, ["g"], ["t", "id"], 50)
-    numbered = df.withColumn("r", ordered.range_number(df, ["g"], ["t", "id"], bounds))
-    in_order = [r["r"] for r in numbered.orderBy("g", "t", "id").collect()]
+    cut = ordered.in_ranges(skewed(spark, 3000), ["g"], ["t", "id"], 30)
+    sizes = [r["count"] for r in cut.groupBy("_range").count().collect()]
+    assert len(sizes) >= 20 and max(sizes) < 400
+    in_order = [r["_range"] for r in cut.orderBy("g", "t", "id").collect()]
     assert in_order == sorted(in_order)
 
 
-def test_null_group_is_refused_when_cut(spark):
-    df = spark.createDataFrame([(None, i, i, i) for i in range(50)], "g long, t long, id long, v long")
-    with pytest.raises(ValueError):
-        ordered.number_rows(df, ["g"], ["t", "id"], "n", rows_per_task=10)
+@pytest.mark.parametrize("kind", ["count", "sum", "min", "max", "last"])
+def test_a_null_group_is_a_group_in_both_forms(spark, kind):
+    df = spark.createDataFrame([(i % 3 or None, i * 7 % 50, i, i % 5 or None) for i in range(60)], "g long, t long, id long, v long")
+    value = {"r": Running(kind, None if kind == "count" else F.col("v"))}
+    forms = [rows_of(ordered.running(df, ["g"], ["t", "id"], value, rows_per_task=n), "g", "t", "id", "r") for n in (5, 10**6)]
+    assert forms[0] == forms[1] and len(forms[0]) == 60
+
+
+def test_every_user_of_running_keeps_null_groups(spark):
+    arrivals = spark.createDataFrame([(i % 2 or None, i, i * 10) for i in range(60)], "shard long, id long, t_ms long")
+    trace = arrivals.select(F.col("shard").alias("worker"), F.col("id").alias("clock"), "t_ms")
+    for use in (
+        lambda n: buffer.occupancy(arrivals, 2, 8, 1.0, rows_per_task=n),
+        lambda n: buffer.gaps(arrivals, rows_per_task=n),
+        lambda n: ordered.number_rows(arrivals, ["shard"], ["t_ms", "id"], "n", rows_per_task=n),
+        lambda n: lookups.asof(trace, trace.withColumn("x", F.col("clock")), "t_ms", ["worker"], ["x"], left_tie="clock", right_tie="clock", rows_per_task=n),
+        lambda n: clocks.worker_clock(arrivals.withColumnRenamed("shard", "worker"), ["t_ms", "id"], rows_per_task=n),
+    ):
+        small, large = (sorted(map(tuple, use(n).collect()), key=repr) for n in (5, 10**6))
+        assert small == large and len(small) == 60
 
 
 def test_first_rows_small_and_large(spark):

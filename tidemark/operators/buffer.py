@@ -25,7 +25,7 @@ from tidemark.functions.columns import (
     target_size,
 )
 from tidemark.operators.lookups import asof
-from tidemark.operators.ordered import Running, blocks, carry_over, number_rows, range_bounds
+from tidemark.operators.ordered import Running, blocks, carry_over, largest_group, number_rows, task_rows
 from tidemark.storage import cut_lineage, small_side
 
 BY = ["shard"]
@@ -55,7 +55,7 @@ def timeline(
     equal blocks that repeat the ``history`` rows ahead of them.
     """
     target = (policy if policy is not None else target_size("mean_gap", low, high, coefficient)).cast("long")
-    if range_bounds(arrivals, BY, ARRIVAL, rows_per_task) is None:
+    if largest_group(arrivals, BY)[0] <= task_rows(arrivals, rows_per_task):
         window = Window.partitionBy(*BY).orderBy(*ARRIVAL)
         numbered = arrivals.withColumn("n", F.row_number().over(window).cast("long"))
         sized = _targets(numbered, window, target, history)
@@ -105,24 +105,34 @@ def insertion_id(arrivals: DataFrame, **options) -> DataFrame:
     return number_rows(arrivals, BY, ARRIVAL, "n", **options)
 
 
+def _with_line(arrivals: DataFrame, *found: str, **options) -> DataFrame:
+    """``arrivals`` with columns of its timeline; only shard, id and time take part in the windows."""
+    line = timeline(arrivals.select(NARROW), **options)
+    if set(arrivals.columns) == set(NARROW):
+        return line.select(*arrivals.columns, *found)
+    line = line.select(F.col("shard").alias("_shard"), F.col("id").alias("_id"), *found)
+    same = arrivals["shard"].eqNullSafe(line["_shard"]) & (arrivals["id"] == line["_id"])
+    return arrivals.join(line, same).select(*arrivals.columns, *found)
+
+
 def gaps(arrivals: DataFrame, **options) -> DataFrame:
     """Milliseconds since the shard's previous arrival; NULL at the first."""
-    return timeline(arrivals, **options).select(*arrivals.columns, "gap")
+    return _with_line(arrivals, "gap", **options)
 
 
 def mean_gap(arrivals: DataFrame, history: int = GAP_HISTORY, **options) -> DataFrame:
     """Mean of the last ``history`` gaps, 1000 ms before the first gap."""
-    return timeline(arrivals, history=history, **options).select(*arrivals.columns, "mean_gap")
+    return _with_line(arrivals, "mean_gap", history=history, **options)
 
 
 def target_sizes(arrivals: DataFrame, low=MIN_BUFFER, high=MAX_BUFFER, coefficient=BUFFER_COEFFICIENT, **options) -> DataFrame:
     """Wanted buffer size at each arrival."""
-    return timeline(arrivals, low, high, coefficient, **options).select(*arrivals.columns, "n", "mean_gap", "target")
+    return _with_line(arrivals, "n", "mean_gap", "target", low=low, high=high, coefficient=coefficient, **options)
 
 
 def occupancy(arrivals: DataFrame, low=MIN_BUFFER, high=MAX_BUFFER, coefficient=BUFFER_COEFFICIENT, **options) -> DataFrame:
     """Rows in the buffer after each arrival."""
-    return timeline(arrivals, low, high, coefficient, **options).select(*arrivals.columns, "n", "target", "occupancy")
+    return _with_line(arrivals, "n", "target", "occupancy", low=low, high=high, coefficient=coefficient, **options)
 
 
 def evictions(arrivals: DataFrame, low=MIN_BUFFER, high=MAX_BUFFER, coefficient=BUFFER_COEFFICIENT, **options) -> DataFrame:

@@ -9,9 +9,9 @@ earlier ranges carry over:
 
     running value = carry from earlier ranges (+) running value inside the range
 
-Range bounds come from a small sample of the order columns, collected once
-and placed in the plan as a constant, so a retried task sees the same ranges.
-Every row is kept; the sample only decides where the cuts are.
+Spark's own range partitioning decides where the cuts are, and the dealt rows
+are written once, so a retried task sees the same ranges.  A NULL group is a
+group like any other.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
+from tidemark.storage import written
+
 ROWS_PER_TASK = 4_000_000
 WIDE_ROWS_PER_TASK = 250_000  # where rows hold texts, arrays or maps
-MAX_RANGES = 8_192
-SAMPLED_PER_RANGE = 32
 
 
 @dataclass(frozen=True)
@@ -87,44 +87,21 @@ def _is_wide(kind: T.DataType) -> bool:
     return isinstance(kind, (T.ArrayType, T.MapType, T.BinaryType, T.StringType, T.UserDefinedType))
 
 
-def range_bounds(df: DataFrame, by: Sequence[str], order: Sequence[str], rows_per_task: int | None = None) -> str | None:
-    """Cut points of ``df`` in ``(by, order)`` order as a JSON array, or None.
+def largest_group(df: DataFrame, by: Sequence[str]) -> tuple[int, int]:
+    """Rows of the largest group (a NULL group is one) and of the table."""
+    sizes = df.groupBy(*by).count() if by else df.select(F.count(F.lit(1)).alias("count"))
+    largest, total = sizes.agg(F.max("count"), F.sum("count")).first()
+    return largest or 0, total or 0
+
+
+def in_ranges(df: DataFrame, by: Sequence[str], order: Sequence[str], ranges: int) -> DataFrame:
+    """``df`` dealt out to about ``ranges`` ordered ranges numbered by ``_range``.
 
-    None means that no group exceeds ``rows_per_task``, so a plain window does.
-    What reaches the driver is at most ``MAX_RANGES * SAMPLED_PER_RANGE`` short
-    rows, whatever the size of the table.
+    The dealt rows are written to the shared folder, so that every later use
+    and every retried task sees the same ranges, however many there are.
     """
-    limit = task_rows(df, rows_per_task)
-    sizes = df.groupBy(*by).count() if by else df.select(F.count(F.lit(1)).alias("count"))
-    missing = F.lit(False)
-    for c in by:
-        missing = missing | F.col(c).isNull()
-    largest, total, has_null = sizes.agg(F.max("count"), F.sum("count"), F.bool_or(missing)).first()
-    if largest is None or largest <= limit:
-        return None
-    if has_null:
-        raise ValueError(f"group columns {list(by)} must not be null")
-    ranges = min(MAX_RANGES, math.ceil(total / limit))
-    key = F.struct(*by, *order)
-    share = min(1.0, ranges * SAMPLED_PER_RANGE / total)
-    sample = df.select(key.alias("k")).sample(share, seed=11).orderBy("k").select(F.to_json("k", {"ignoreNullFields": "false"}))
-    rows = [r[0] for r in sample.collect()]
-    step = max(1, len(rows) // ranges)
-    return "[" + ",".join(rows[step::step]) + "]"
-
-
-def range_number(df: DataFrame, by: Sequence[str], order: Sequence[str], bounds: str) -> Column:
-    """How many cut points are at or below the row: a binary search by folding over step sizes."""
-    fields = [T.StructField(c, df.schema[c].dataType) for c in (*by, *order)]
-    points = F.from_json(F.lit(bounds), T.ArrayType(T.StructType(fields)))
-    key = F.struct(*by, *order)
-    highest = max(1, bounds.count("{")).bit_length() - 1
-    steps = F.array(*[F.lit(1 << i) for i in range(highest, -1, -1)])
-    return F.aggregate(
-        steps,
-        F.lit(0),
-        lambda low, step: F.when(F.get(points, low + step - 1) <= key, low + step).otherwise(low),
-    )
+    keys = [F.col(c).asc_nulls_first() for c in (*by, *order)]
+    return written(df.repartitionByRange(ranges, *keys).withColumn("_range", F.spark_partition_id()), "ranges")
 
 
 def running(
@@ -139,12 +116,13 @@ def running(
 
     ``order`` must be a total order inside a group (end it with a unique id).
     """
-    bounds = range_bounds(df, by, order, rows_per_task)
-    if bounds is None:
+    limit = task_rows(df, rows_per_task)
+    largest, total = largest_group(df, by)
+    if largest <= limit:
         window = Window.partitionBy(*by).orderBy(*order)
         return df.withColumns({name: r.over(r.frame(window)) for name, r in values.items()})
 
-    cut = df.withColumn("_range", range_number(df, by, order, bounds))
+    cut = in_ranges(df, by, order, math.ceil(total / limit))
     return carry_over(cut, by, "_range", order, values).drop("_range")
 
 
@@ -158,7 +136,7 @@ def carry_over(cut: DataFrame, by, part: str, order, values: dict[str, Running])
         *[r.carry(f"_t_{n}", earlier).alias(f"_c_{n}") for n, r in values.items()],
     )
     local = cut.withColumns({f"_l_{n}": r.over(r.frame(inside)) for n, r in values.items()})
-    match = [local[c] == carried[f"_k_{c}"] for c in (*by, part)]
+    match = [local[c].eqNullSafe(carried[f"_k_{c}"]) for c in by] + [local[part] == carried[f"_k_{part}"]]
     joined = local.join(carried, match, "left")
     return joined.select(
         *cut.columns,
@@ -188,8 +166,8 @@ def blocks(df: DataFrame, by: Sequence[str], number: str, before: int, rows_per_
 def first_rows(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int, rows_per_task: int | None = None) -> DataFrame:
     """The first ``n`` rows of every group.
 
-    Up to 999 rows Spark limits each group before the shuffle by itself; for
-    more, rows are numbered in ranges.
+    Spark limits each group before the shuffle by itself where ``n`` is small;
+    for more, rows are numbered in ranges.
     """
     if n < 1000:
         window = Window.partitionBy(*by).orderBy(*order)
