@@ -41,6 +41,15 @@ def test_csv_without_header_as_stream(spark, tmp_path):
     assert {len(r["features"]) for r in got} == {4, 5}
 
 
+def test_wrong_field_types_are_malformed(spark):
+    bad = '{"_t":"gMsg","vectorClock":"abc","keyRange":{"_t":"keyRange","start":0,"end":1},"values":{"0":1.0},"partitionKey":2}'
+    good = bad.replace('"abc"', "7")
+    rows = messages.decode(records(spark, bad, good), strict=False).select("malformed", messages.GRADIENT).collect()
+    assert [(r[0], r[1] is None) for r in rows] == [(True, True), (False, False)]
+    with pytest.raises(Exception):
+        messages.decode(records(spark, bad)).collect()
+
+
 def records(spark, *texts):
     return spark.createDataFrame([(t,) for t in texts], "value string")
 
@@ -88,8 +97,8 @@ def test_message_equality_and_lookup(spark):
             ((1, (0, 2), {1: 2.0}), (1, (0, 3), {1: 2.0})),
             ((1, (0, 2), {1: 2.0}), (1, (0, 2), {1: 2.5})),
         ],
-        "a struct<vector_clock:int,key_range:struct<start:int,end:int>,values:map<int,double>>,"
-        "b struct<vector_clock:int,key_range:struct<start:int,end:int>,values:map<int,double>>",
+        "a struct<vectorClock:int,keyRange:struct<start:int,end:int>,values:map<int,double>>,"
+        "b struct<vectorClock:int,keyRange:struct<start:int,end:int>,values:map<int,double>>",
     )
     assert [r[0] for r in df.select(same_message("a", "b")).collect()] == [True, False, False, False]
     assert [r[0] for r in df.select(lookup("a.values", 0)).collect()] == [1.0, None, None, None]
@@ -184,3 +193,25 @@ def test_small_side_is_broadcast_and_a_large_one_is_not(spark):
         assert joined.count() == 50
     plan = lambda most: small_side(big, most)._jdf.queryExecution().analyzed().toString()
     assert "strategy=broadcast" in plan(1000) and "strategy=broadcast" not in plan(10)
+
+
+def test_blank_texts_and_null_labels_stay(spark):
+    from tidemark.operators import prep
+
+    docs = spark.createDataFrame([(1, "b a a"), (2, " "), (3, None)], "id long, text string")
+    got = {r.id: dict(r.features) for r in prep.hashed_maps(docs, "text", "id").collect()}
+    assert got[2] == got[3] == {} and sorted(got[1].values()) == [1.0, 2.0]
+    assert "Exchange" not in prep.hash_text(docs, "text", "id")._jdf.queryExecution().executedPlan().toString()
+    labels = spark.createDataFrame([(i, None if i < 5 else i % 2) for i in range(40)], "id long, label int")
+    kept = prep.cap_per_label(labels, "label", "id", 7).groupBy("label").count().collect()
+    assert {r.label: r["count"] for r in kept} == {None: 5, 0: 7, 1: 7}
+    fit, rest = prep.validate_labels(spark.createDataFrame([(-1,), (0,), (2,), (3,), (None,)], "label int"), "label", 3)
+    assert [r[0] for r in fit.collect()] == [0, 2] and rest.count() == 3
+
+
+def test_only_gaps_are_filled(spark):
+    from tidemark.operators.weights import missing_ids
+
+    ids = spark.createDataFrame([(i,) for i in (3, 4, 4, 8, 10**12, -5, None)], "id long")
+    assert [r[0] for r in missing_ids(ids, "id", 2, 9).orderBy("id").collect()] == [2, 5, 6, 7, 9]
+    assert missing_ids(ids.limit(0), "id", 1, 3).count() == 3

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Class count and width of the published data set, size limits
+# Width of the published data set, size limits
 # and coefficient of the adaptive buffer, gap history, default mean gap.
 NUM_WORKERS = 4
 NUM_FEATURES = 1024
-NUM_CLASSES = 5
 MIN_BUFFER = 128
 MAX_BUFFER = 1024
 BUFFER_COEFFICIENT = 0.30000001192092896  # 0.3 as a 32-bit float, widened
@@ -55,11 +54,6 @@ def key_between(key: Column | str, start: int, end: int) -> Column:
     return _col(key).between(start, end)
 
 
-def key_in(key: Column | str, start: int, end: int) -> Column:
-    """End excluded, the rule for applying a delta to a slice of the weights."""
-    return (_col(key) >= start) & (_col(key) < end)
-
-
 def label_of(fields: Column | str) -> Column:
     """Last field of a row as INT."""
     return F.element_at(_col(fields), -1).cast("int")
@@ -74,8 +68,8 @@ def same_message(a: Column | str, b: Column | str) -> Column:
     """Clock, key range and values of two message structs are equal."""
     a, b = _col(a), _col(b)
     return (
-        a["vector_clock"].eqNullSafe(b["vector_clock"])
-        & a["key_range"].eqNullSafe(b["key_range"])
+        a["vectorClock"].eqNullSafe(b["vectorClock"])
+        & a["keyRange"].eqNullSafe(b["keyRange"])
         & sorted_entries(a["values"]).eqNullSafe(sorted_entries(b["values"]))
     )
 

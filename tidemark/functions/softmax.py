@@ -39,6 +39,8 @@ def margins(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 def loss_and_gradient(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
     """Summed cross-entropy and its gradient over the rows of one block."""
+    if len(y) and not (0 <= y.min() and y.max() < len(w)):
+        raise ValueError(f"labels must lie in 0..{len(w) - 1}; part them off with validate_labels")
     z = margins(x, w)
     z -= z.max(axis=1, keepdims=True)
     e = np.exp(z)

@@ -28,6 +28,12 @@ def validate_width(df: DataFrame, fields: str, width: int) -> tuple[DataFrame, D
     return df.filter(fits), df.filter(~fits)
 
 
+def validate_labels(df: DataFrame, label: str, classes: int) -> tuple[DataFrame, DataFrame]:
+    """Rows whose label is one of ``0 .. classes - 1``, and all others (NULL labels too)."""
+    fits = F.coalesce((F.col(label) >= 0) & (F.col(label) < classes), F.lit(False))
+    return df.filter(fits), df.filter(~fits)
+
+
 def shard_rows(df: DataFrame, id_col: str, n: int = NUM_WORKERS, out: str = "shard") -> DataFrame:
     """Deal rows out to ``n`` shards by their running id."""
     return df.withColumn(out, F.pmod(F.col(id_col), F.lit(n)).cast("long"))
@@ -97,22 +103,37 @@ def tokens(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(text), "[ \\t\\n\\r\\f]+"), lambda t: t != "")
 
 
-def hash_text(df: DataFrame, text: str, id_col: str, buckets: int = NUM_FEATURES) -> DataFrame:
-    """Term counts per hash bucket in long form; bucket = first 8 hex digits of md5 mod ``buckets``.
+def token_buckets(text: Column | str, buckets: int = NUM_FEATURES) -> Column:
+    """Sorted ``ARRAY<STRUCT<feature, x>>`` of a text's term counts, made inside the row.
 
-    The counts are exact on whole texts.  A text is one row, so its terms are
-    counted before the shuffle by the partial aggregate.
+    bucket = first 8 hex digits of a token's md5 mod ``buckets``.  The bucket
+    of every token is sorted, and each run of equal ones is one entry: its
+    length is the distance between the places where runs start.
     """
-    words = df.select(id_col, F.explode(tokens(text)).alias("token"))
-    bucket = F.pmod(F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int")
-    return words.groupBy(id_col, bucket.alias("feature")).agg(F.count(F.lit(1)).alias("x"))
+    bucket = lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int")
+    sorted_buckets = F.array_sort(F.transform(F.coalesce(tokens(text), F.array().cast("array<string>")), bucket))
+    none = F.array().cast("array<struct<feature: int, x: bigint>>")
+
+    def entries(found):
+        starts = F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda i: (i == 0) | (F.get(found, i) != F.get(found, i - 1)))
+        run = lambda of: lambda s, i: F.struct(
+            F.get(found, s).alias("feature"), (F.coalesce(F.get(of, i + 1), F.size(found)) - s).cast("long").alias("x")
+        )
+        return F.element_at(F.transform(F.array(starts), lambda of: F.transform(of, run(of))), 1)
+
+    made = F.transform(F.array(sorted_buckets), lambda found: F.when(F.size(found) > 0, entries(found)).otherwise(none))
+    return F.element_at(made, 1)
+
+
+def hash_text(df: DataFrame, text: str, id_col: str, buckets: int = NUM_FEATURES) -> DataFrame:
+    """Term counts per hash bucket in long form; whole texts, counted in their row, nothing is shuffled."""
+    return df.select(id_col, F.inline(token_buckets(text, buckets)))
 
 
 def hashed_maps(df: DataFrame, text: str, id_col: str, buckets: int = NUM_FEATURES) -> DataFrame:
-    """One row per text with its term counts as ``features``; at most ``buckets`` entries each."""
-    counts = hash_text(df, text, id_col, buckets)
-    entries = F.collect_list(F.struct("feature", F.col("x").cast("float").alias("x")))
-    return counts.groupBy(id_col).agg(F.map_from_entries(entries).alias("features"))
+    """One row per text with its term counts as ``features``; a blank or NULL text has an empty map."""
+    entries = F.transform(token_buckets(text, buckets), lambda e: F.struct(e["feature"].alias("key"), e["x"].cast("float").alias("value")))
+    return df.select(id_col, F.map_from_entries(entries).alias("features"))
 
 
 def hashed_vectors(df: DataFrame, text: str, buckets: int = NUM_FEATURES, out: str = "features") -> DataFrame:
@@ -122,7 +143,7 @@ def hashed_vectors(df: DataFrame, text: str, buckets: int = NUM_FEATURES, out: s
 
 
 def cap_per_label(df: DataFrame, label: str, id_col: str, k: int) -> DataFrame:
-    """At most ``k`` rows of every label, in the order of the md5 of the id.
+    """At most ``k`` rows of every label (NULL is one), in the order of the md5 of the id.
 
     Few labels means hot labels, so the rows are not sorted per label.  They
     are counted per label and leading 16 bits of the hash; the bucket in which
@@ -138,7 +159,7 @@ def cap_per_label(df: DataFrame, label: str, id_col: str, k: int) -> DataFrame:
         .groupBy(F.col(label).alias("_label"))
         .agg(F.max("_bucket").alias("_last"))
     )
-    near = hashed.join(small_side(last), (F.col(label) == F.col("_label")) & (F.col("_bucket") <= F.col("_last")))
+    near = hashed.join(small_side(last), F.col(label).eqNullSafe(F.col("_label")) & (F.col("_bucket") <= F.col("_last")))
     return first_rows(near, [label], ["_h", id_col], k).select(*df.columns)
 
 

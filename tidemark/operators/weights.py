@@ -156,10 +156,13 @@ def weight_history(
     return summed.join(settle(weights), KEY).withColumn("value", F.col("value") + F.col("_sum") / n).drop("_sum")
 
 
-def missing_ids(df: DataFrame, id_col: str, low: int, high: int, rows_per_task: int | None = None) -> DataFrame:
-    """Ids of ``[low, high]`` that ``df`` does not hold."""
-    every = df.sparkSession.range(low, high + 1).withColumnRenamed("id", id_col)
-    return every.join(df.select(F.col(id_col).cast("long").alias(id_col)), id_col, "left_anti")
+def missing_ids(df: DataFrame, id_col: str, low: int, high: int) -> DataFrame:
+    """Ids of ``[low, high]`` that ``df`` does not hold; only gaps between neighbours are filled."""
+    held = df.select(F.col(id_col).cast("long").alias("_id")).filter(F.col("_id").between(low, high)).distinct()
+    ends = df.sparkSession.range(1).select(F.explode(F.array(F.lit(low - 1), F.lit(high + 1)).cast("array<long>")).alias("_id"))
+    next_id = running(held.union(ends).select((-F.col("_id")).alias("_down"), "_id"), [], ["_down"], {"_next": Running("last", F.col("_id"), current=False)})
+    gaps = next_id.filter("_next > _id + 1")
+    return gaps.select(F.explode(F.sequence(F.col("_id") + 1, F.col("_next") - 1)).alias(id_col))
 
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -212,7 +212,8 @@ def common_clock_rows(spark, sf):
 
 @query
 def relabel(spark, sf):
-    return runlog.relabel(fx.server_log(spark, sf), runlog.SERVER, WORKERS).select("run", "partition", "vectorClock")
+    both = runlog.union_logs(fx.server_log(spark, sf), fx.worker_log(spark, sf))
+    return runlog.relabel(both, runlog.SERVER, WORKERS).select("run", "partition", "vectorClock")
 
 
 @query
@@ -228,25 +229,35 @@ def cast_label(spark, sf):
 
 @query
 def same_message_check(spark, sf):
-    rows = table(spark, sf, "events")
-    k = F.col("user_id").cast("int")
-    shape = lambda values: F.struct(
-        F.col("event_id").alias("vector_clock"), F.struct(k.alias("start"), (k + 1).alias("end")).alias("key_range"), values.alias("values")
-    )
+    """Two decoded messages per event, their values in another order; those of clicks differ."""
+    k, clock = F.col("user_id").cast("int"), F.col("event_id").cast("int")
     bump = F.when(F.col("event_type") == "click", 1.0).otherwise(0.0)
-    a = shape(F.create_map(k, F.col("value"), k + 1, F.lit(0.5)))
-    b = shape(F.create_map(k + 1, F.lit(0.5), k, F.col("value") + bump))
-    return rows.select("event_id", same_message(a, b).cast("int").alias("same"))
+    sent = table(spark, sf, "events").select(
+        "event_id",
+        messages.encode(messages.weights_message(clock, k, k + 1, F.create_map(k, F.col("value"), k + 1, F.lit(0.5)))).alias("a"),
+        messages.encode(messages.weights_message(clock, k, k + 1, F.create_map(k + 1, F.lit(0.5), k, F.col("value") + bump))).alias("b"),
+    )
+    a = messages.decode(sent, "a").withColumnRenamed(messages.WEIGHTS, "_a").select("event_id", "b", "_a")
+    both = messages.decode(a, "b")
+    return both.select("event_id", same_message("_a", messages.WEIGHTS).cast("int").alias("same"))
 
 
 @query
 def hash_text(spark, sf):
-    return prep.hash_text(fx.documents(spark, sf), "text", "doc_id")
+    return prep.hash_text(table(spark, sf, "documents"), "text", "doc_id")
+
+
+@query
+def hashed_maps(spark, sf):
+    """Every document's hashed term counts; a document without words keeps one row."""
+    rows = prep.hashed_maps(table(spark, sf, "documents"), "text", "doc_id")
+    entries = F.explode_outer(F.transform(F.map_entries("features"), lambda e: F.struct(e["key"].alias("feature"), e["value"].cast("long").alias("x"))))
+    return rows.select("doc_id", entries.alias("e")).select("doc_id", "e.feature", "e.x")
 
 
 @query
 def hashed_vectors(spark, sf):
-    rows = prep.hashed_vectors(fx.documents(spark, sf), "text")
+    rows = prep.hashed_vectors(table(spark, sf, "documents"), "text")
     total = F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x)
     return rows.select("doc_id", total.cast("long").alias("terms"))
 
@@ -297,7 +308,7 @@ def match_delta(spark, sf):
 
 
 def _new_values(spark, sf) -> DataFrame:
-    late = fx.deltas(spark, sf).filter("feature < 10")
+    late = fx.deltas(spark, sf)
     return late.groupBy((F.col("class") + 5).alias("class"), "feature").agg(F.max("delta").alias("value"))
 
 
@@ -350,8 +361,9 @@ def missing_ids(spark, sf):
 
 @query
 def key_difference(spark, sf):
+    """Model keys that no delta of an even event touches."""
     keys = fx.weights(spark, sf).select("class", "feature")
-    return model.difference(keys, fx.deltas(spark, sf).select("class", "feature"))
+    return model.difference(keys, fx.deltas(spark, sf).filter("arrival % 2 = 0").select("class", "feature"))
 
 
 # ---- scoring and quality --------------------------------------------------
@@ -552,7 +564,7 @@ def weights_at_release(spark, sf):
     versions = clocks.round_completion(run, WORKERS).select(
         F.col("completed_ms").alias("released_ms"), (F.col("clock") + 1).alias("version")
     )
-    schedule = clocks.release_schedule(run, WORKERS, 10).filter("released_ms is not null")
+    schedule = clocks.release_schedule(run, WORKERS, 10)
     out = lookups.weights_at_release(schedule, versions, WORKERS)
     return out.select("worker", "clock", "released_ms", "version")
 

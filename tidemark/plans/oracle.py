@@ -21,7 +21,7 @@ KEYS = """k AS (SELECT c.class, f.feature
          (SELECT UNNEST(range(-1, (SELECT MAX(len(embedding)) FROM embeddings))) AS feature) f)"""
 WEIGHTS = f"""{KEYS}, w AS (SELECT class, feature, ((class * 7 + (feature + 1) * 3) % 11 - 5) / 10.0 AS value FROM k)"""
 ZERO = f"""{KEYS}, w AS (SELECT class, feature, CAST(0 AS DOUBLE) AS value FROM k)"""
-DOCS = "docs AS (SELECT d.doc_id, d.text FROM documents d JOIN labels l USING (doc_id))"
+DOCS = "docs AS (SELECT doc_id, text FROM documents)"
 TOKENS = r"""tok AS (SELECT doc_id, UNNEST(list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f]+'), lambda t: t <> '')) AS token FROM docs)"""
 FLAT = f"""{WEIGHTS}, fl AS (SELECT CASE WHEN feature = -1 THEN 640 + class ELSE feature * 10 + class END AS key, value FROM w)"""
 WORKER_LOG = f"""wl AS (SELECT event_type AS run, user_id % 4 AS partition, {MS} AS timestamp, value AS loss,
@@ -133,12 +133,14 @@ SQL: dict[str, str] = {
         JOIN (SELECT run, MIN(last) AS cc FROM (SELECT run, partition, MAX("vectorClock") AS last FROM wl GROUP BY ALL) GROUP BY run) USING (run)
         WHERE "vectorClock" <= cc""",
     "relabel": _with(WORKER_LOG, SERVER_LOG) + """SELECT run, CAST(CASE WHEN partition = -1 THEN 4 ELSE partition END AS INTEGER) AS partition,
-        "vectorClock" FROM sl""",
+        "vectorClock" FROM (SELECT run, partition, "vectorClock" FROM sl UNION ALL SELECT run, partition, "vectorClock" FROM wl)""",
     "tag_run": "SELECT event_id, 'night' AS run FROM events",
     "cast_label": "SELECT vec_id, CAST(label AS DOUBLE) AS as_double, CAST(label AS VARCHAR) AS as_text FROM embeddings",
     "same_message_check": "SELECT event_id, CASE WHEN event_type = 'click' THEN 0 ELSE 1 END AS same FROM events",
     "hash_text": _with(DOCS, TOKENS) + """SELECT doc_id, CAST(CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) % 1024 AS INTEGER) AS feature,
         COUNT(*) AS x FROM tok GROUP BY ALL""",
+    "hashed_maps": _with(DOCS, TOKENS) + """SELECT doc_id, feature, x FROM docs LEFT JOIN (SELECT doc_id,
+        CAST(CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) % 1024 AS INTEGER) AS feature, COUNT(*) AS x FROM tok GROUP BY ALL) USING (doc_id)""",
     "hashed_vectors": _with(DOCS, TOKENS) + """SELECT docs.doc_id, COUNT(token) AS terms FROM docs LEFT JOIN tok USING (doc_id) GROUP BY docs.doc_id""",
     "cap_per_label": f"""SELECT * FROM labels QUALIFY ROW_NUMBER() OVER (PARTITION BY quality ORDER BY {HASH_ORDER}, doc_id) <= 50""",
     "preview": "SELECT event_id, event_type FROM events ORDER BY md5(CAST(event_id AS VARCHAR)), event_id LIMIT 5",
@@ -151,10 +153,10 @@ SQL: dict[str, str] = {
     "flat_weights_round_trip": _with(WEIGHTS) + "SELECT CAST(class AS INTEGER) AS class, CAST(feature AS INTEGER) AS feature, value FROM w",
     "match_delta": _with(WEIGHTS, DELTAS) + """SELECT arrival, CAST(class AS INTEGER) AS class, CAST(feature AS INTEGER) AS feature,
         ROUND(delta, 6) AS delta, ROUND(value, 6) AS value FROM d JOIN w USING (class, feature)""",
-    "weight_upsert": _with(WEIGHTS, DELTAS) + """, nv AS (SELECT class + 5 AS class, feature, MAX(delta) AS value FROM d WHERE feature < 10 GROUP BY ALL)
+    "weight_upsert": _with(WEIGHTS, DELTAS) + """, nv AS (SELECT class + 5 AS class, feature, MAX(delta) AS value FROM d GROUP BY ALL)
         SELECT CAST(class AS INTEGER) AS class, CAST(feature AS INTEGER) AS feature, ROUND(COALESCE(nv.value, w.value), 6) AS value
         FROM w FULL OUTER JOIN nv USING (class, feature)""",
-    "closing_delta": _with(WEIGHTS, DELTAS) + """, nv AS (SELECT class + 5 AS class, feature, MAX(delta) AS value FROM d WHERE feature < 10 GROUP BY ALL)
+    "closing_delta": _with(WEIGHTS, DELTAS) + """, nv AS (SELECT class + 5 AS class, feature, MAX(delta) AS value FROM d GROUP BY ALL)
         SELECT CAST(class AS INTEGER) AS class, CAST(feature AS INTEGER) AS feature, ROUND(COALESCE(nv.value, w.value) - w.value, 6) AS delta
         FROM w LEFT JOIN nv USING (class, feature)""",
     "combine_deltas": _with(WEIGHTS, DELTAS) + """SELECT CAST(class AS INTEGER) AS class, CAST(feature AS INTEGER) AS feature,
@@ -168,7 +170,7 @@ SQL: dict[str, str] = {
     "missing_ids": """SELECT CAST(i AS BIGINT) AS doc_id FROM (SELECT UNNEST(range((SELECT MIN(doc_id) FROM documents), (SELECT MAX(doc_id) + 1 FROM documents))) AS i)
         WHERE i NOT IN (SELECT doc_id FROM labels)""",
     "key_difference": _with(WEIGHTS, DELTAS) + """SELECT CAST(class AS INTEGER) AS class, CAST(feature AS INTEGER) AS feature FROM
-        (SELECT class, feature FROM w EXCEPT SELECT class, feature FROM d)""",
+        (SELECT class, feature FROM w EXCEPT SELECT class, feature FROM d WHERE arrival % 2 = 0)""",
     # scoring and quality
     "margins": _with(EXAMPLES, LONG, VECTORS, WEIGHTS, MARGINS) + "SELECT row_id, label, CAST(class AS INTEGER) AS class, ROUND(z, 6) AS z FROM z",
     "softmax_gradient": _with(EXAMPLES, LONG, VECTORS, WEIGHTS, MARGINS, PROBABILITIES, GRADIENT) + """SELECT shard,
@@ -240,7 +242,7 @@ SQL: dict[str, str] = {
             (SELECT COUNT(*) FROM it j WHERE j.clock > i.clock AND j.s < i.e) AS later_clocks
         FROM it i LEFT JOIN it nx ON nx.clock = i.clock + 1""",
     "weights_at_release": _with(TRACE, DONE_LAST, _release(10)) + """SELECT r.worker, r.clock, r.released_ms, s.version FROM r
-        ASOF LEFT JOIN (SELECT done, clock + 1 AS version FROM c2) s ON r.released_ms >= s.done WHERE r.released_ms IS NOT NULL""",
+        ASOF LEFT JOIN (SELECT done, clock + 1 AS version FROM c2) s ON r.released_ms >= s.done""",
     "distinct_workers": "SELECT DISTINCT user_id % 4 AS worker FROM events",
     # run logs
     "common_clock": _with(WORKER_LOG) + """SELECT run, MIN(last) AS common_clock FROM

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 TAG = "_t"
+FAULT = "_fault"  # holds a record that does not fit its schema
 
 KEY_RANGE = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 _MODEL_MESSAGE = [
@@ -71,22 +74,34 @@ def decode(df: DataFrame, value: str = "value", schemas: dict[str, T.StructType]
     """Add ``tag`` and one struct column per type, NULL for rows of another type.
 
     Fields a schema does not name are ignored, and a NULL record stays NULL.
-    With ``strict`` a record that is not JSON or has an unknown tag fails the
-    query; without it such records are marked in ``malformed``.
+    With ``strict`` a record that is not JSON, has an unknown tag or a field of
+    another type fails the query; without it such records are marked in
+    ``malformed`` and their structs are NULL.
     """
     schemas = schemas or SCHEMAS
     text = F.col(value)
     tagged_df = df.withColumn("tag", F.get_json_object(text, f"$.{TAG}"))
     known = F.col("tag").isin(list(schemas))
-    mode = {"mode": "FAILFAST" if strict else "PERMISSIVE"}
-    decoded = {t: F.when(F.col("tag") == t, F.from_json(text, _text_keys(s), mode).cast(s)) for t, s in schemas.items()}
-    malformed = text.isNotNull() & ~F.coalesce(known, F.lit(False))
+    parsed = {t: F.from_json(text, _noting_faults(_text_keys(s)), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": FAULT}) for t, s in schemas.items()}
+    wrong = reduce(lambda a, b: a | b, [(F.col("tag") == t) & p[FAULT].isNotNull() for t, p in parsed.items()])
+    malformed = text.isNotNull() & (~F.coalesce(known, F.lit(False)) | F.coalesce(wrong, F.lit(False)))
+    decoded = {
+        t: F.when(
+            (F.col("tag") == t) & parsed[t][FAULT].isNull(),
+            F.struct(*[parsed[t][f.name].alias(f.name) for f in s.fields]).cast(s),
+        )
+        for t, s in schemas.items()
+    }
+    marked = tagged_df.withColumn("malformed", malformed)
     if strict:
         failure = F.raise_error(F.concat(F.lit("not a known message: "), text)).cast("boolean")
-        return tagged_df.withColumn("malformed", F.when(malformed, failure).otherwise(F.lit(False))).withColumns(decoded).filter(
-            ~F.col("malformed")
-        ).drop("malformed")
-    return tagged_df.withColumn("malformed", malformed).withColumns(decoded)
+        marked = marked.withColumn("malformed", F.when(F.col("malformed"), failure).otherwise(F.lit(False)))
+        return marked.withColumns(decoded).filter(~F.col("malformed")).drop("malformed")
+    return marked.withColumns(decoded)
+
+
+def _noting_faults(kind: T.StructType) -> T.StructType:
+    return T.StructType([*kind.fields, T.StructField(FAULT, T.StringType())])
 
 
 def json_field(text: Column | str, schema: str) -> Column:
