@@ -10,13 +10,13 @@ import numpy as np
 
 BUCKETS = 1 << 17
 SIZES = (3, 4, 5)  # characters of an n-gram
-DIMENSIONS = 4
+DIMENSIONS = 2
 ROUNDS = 60
 RATE = 0.3
-FIRM = 3e-6  # weight of the squared vectors in the loss
+FIRM, FIRMEST = 0.02, 1e-5  # weight of the squared vectors in the loss: FIRM over the rows, FIRMEST at most
 SEED = 5
 BALANCE = 0.5  # 1: both classes weigh the same; 0: each row does
-LEAST_SHARE, MOST_SHARE = 0.008, 0.3  # of the texts, counted once per word that holds the subword
+LEAST_SHARE, MOST_SHARE = 0.005, 0.4  # of the fitted texts
 MAX_CACHED = 300_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -74,7 +74,9 @@ class _Sums:
         to, starts, of, weights = plan
         out = np.zeros((n, values.shape[1]), dtype=np.float32)
         if len(to):
-            out[to] = np.add.reduceat(values[of] * weights, starts)
+            part = values.take(of, axis=0)
+            part *= weights
+            out[to] = np.add.reduceat(part, starts)
         return out
 
     def up(self, values):
@@ -111,12 +113,13 @@ class SubwordSoftmax:
             inside.append(np.array([words.setdefault(w, len(words)) for w in counts], dtype=np.int32))
             share.append(np.array([*counts.values()], dtype=np.float32) / max(1, counts.total()))
             sizes.append(len(counts))
+        by_word, used = cls._known_subwords(list(words), inside)
         owner, inside, share = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.concatenate(inside), np.concatenate(share)
-        by_word, used = cls._known_subwords(list(words), np.bincount(inside, minlength=len(words)), len(sizes))
         by_text = _Sums(owner, inside, share, len(sizes), len(words))
         truth = np.eye(2, dtype=np.float32)[labels]
         balance = (truth / np.maximum(truth.sum(0), 1) ** BALANCE).sum(1, keepdims=True)
         balance /= balance.sum()
+        firm = min(FIRMEST, FIRM / len(labels))
         params = [vectors[used], weights, bias]
         moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
         for step in range(1, rounds + 1):
@@ -126,7 +129,7 @@ class SubwordSoftmax:
             chance = np.exp(logits)
             wrong = (chance / chance.sum(1, keepdims=True) - truth) * balance
             slopes = [
-                by_word.down(by_text.down(wrong @ params[1].T)) + FIRM * params[0],
+                by_word.down(by_text.down(wrong @ params[1].T)) + firm * params[0],
                 text.T @ wrong,
                 wrong.sum(0),
             ]
@@ -139,7 +142,7 @@ class SubwordSoftmax:
         return cls(vectors, params[1], params[2])
 
     @staticmethod
-    def _known_subwords(words: list[str], texts_with: np.ndarray, n_texts: int) -> tuple[_Sums, np.ndarray]:
+    def _known_subwords(words: list[str], texts: list[np.ndarray]) -> tuple[_Sums, np.ndarray]:
         """Averages of subword vectors by word, over subwords that are neither rare nor everywhere, and their buckets.
 
         A subword of few texts says more about these texts than about the
@@ -148,12 +151,19 @@ class SubwordSoftmax:
         parts = [subwords(words[i : i + 20_000]) for i in range(0, len(words), 20_000)]
         counts = np.concatenate([np.zeros(0, dtype=np.int64), *[np.diff(np.append(starts, len(found))) for found, starts in parts]])
         buckets = np.concatenate([np.zeros(0, dtype=np.int32), *[found for found, _ in parts]])
-        word_of = np.repeat(np.arange(len(words), dtype=np.int32), counts)
-        seen = np.bincount(buckets, weights=texts_with[word_of], minlength=BUCKETS)[buckets] / n_texts
-        known = (seen >= LEAST_SHARE) & (seen <= MOST_SHARE)
-        used, rows = np.unique(buckets[known], return_inverse=True)
-        weights = np.repeat(1 / np.maximum(counts, 1), counts)[known]
-        return _Sums(word_of[known], rows.astype(np.int32), weights, len(words), len(used)), used
+        of_word = np.split(buckets, np.cumsum(counts)[:-1]) if len(words) else []
+        texts_with = np.zeros(BUCKETS, dtype=np.int64)
+        for own in texts:
+            if len(own):
+                texts_with[np.unique(np.concatenate([of_word[w] for w in own]))] += 1
+        del of_word, parts
+        share = texts_with / len(texts)
+        number = np.cumsum((share >= LEAST_SHARE) & (share <= MOST_SHARE) & (texts_with > 0), dtype=np.int32)
+        used = np.flatnonzero(np.diff(number, prepend=np.int32(0)))
+        known = np.isin(np.arange(BUCKETS), used)[buckets]
+        word_of = np.repeat(np.arange(len(words), dtype=np.int32), counts)[known]
+        weights = (1 / np.maximum(counts, 1)).astype(np.float32)[word_of]
+        return _Sums(word_of, number[buckets[known]] - np.int32(1), weights, len(words), len(used)), used
 
     def score(self, text: str | None) -> float:
         """Chance of class 1; a text without words gets that of the bias alone."""

@@ -11,7 +11,7 @@ from tidemark.llm.tasks import map_batches
 from tidemark.storage import ship_package
 
 FOLDS = 5
-TRAIN_ROWS = (4_000, 2_000)  # at most so many rows of class 0 and of class 1 are fitted
+TRAIN_ROWS = (3_000, 1_500)  # at most so many rows of class 0 and of class 1 are fitted
 TRAIN_CHARS = 10_000  # labelled texts longer than this are not fitted; all are scored
 
 
