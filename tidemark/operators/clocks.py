@@ -135,6 +135,11 @@ def iteration_overlap(log: DataFrame, rows_per_task: int | None = None) -> DataF
     )
 
 
+def lets_go(clock, slowest, delay: int):
+    """The release rule itself, on numbers or on columns."""
+    return clock - slowest <= delay if delay != EVENTUAL else clock == clock
+
+
 def gate(clocks: DataFrame, pending: DataFrame, delay: int) -> DataFrame:
     """Workers with pending data that may step now.
 
@@ -142,7 +147,4 @@ def gate(clocks: DataFrame, pending: DataFrame, delay: int) -> DataFrame:
     the one it works on next; ``pending`` lists workers with data.
     """
     waiting = clocks.join(pending.select("worker").distinct(), "worker", "left_semi")
-    if delay == EVENTUAL:
-        return waiting
-    slowest = clocks.agg(F.min("clock")).scalar()
-    return waiting.filter(F.col("clock") - slowest <= delay)
+    return waiting.filter(lets_go(F.col("clock"), clocks.agg(F.min("clock")).scalar(), delay))

@@ -729,3 +729,25 @@ def stream_training_bounded(spark, sf):
 @query
 def stream_training_eventual(spark, sf):
     return stream_training.train_on_embeddings(spark, sf, WORKERS, delay=-1)
+
+
+@query
+def stream_gate_sequential(spark, sf):
+    return stream_training.gated_on_embeddings(spark, sf, WORKERS, delay=0)
+
+
+@query
+def stream_gate_bounded(spark, sf):
+    return stream_training.gated_on_embeddings(spark, sf, WORKERS, delay=1)
+
+
+@query
+def stream_gate_eventual(spark, sf):
+    return stream_training.gated_on_embeddings(spark, sf, WORKERS, delay=-1)
+
+
+@query
+def gate(spark, sf):
+    """Workers that may step now under a delay of 10, all with pending data."""
+    now = clocks.next_clocks(fx.trace(spark, sf)).withColumnRenamed("next_clock", "clock")
+    return clocks.gate(now, now, 10).select("worker", "clock")

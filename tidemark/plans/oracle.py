@@ -280,3 +280,36 @@ SQL: dict[str, str] = {
     "stream_deduped_deltas": "SELECT user_id % 4 AS worker, event_id AS clock FROM events",
 }
 SQL["message_stream_round_trip"] = SQL["encode_tagged_json"].replace("SELECT event_id,", "SELECT event_id AS key,")
+
+
+def _gated(delay: int, pieces: int = 8) -> str:
+    """The release rule batch by batch, on who has new rows in which piece."""
+    steps = [
+        """r AS (SELECT vec_id % 4 AS shard, ROW_NUMBER() OVER (PARTITION BY vec_id % 4 ORDER BY vec_id) - 1 AS r,
+            COUNT(*) OVER (PARTITION BY vec_id % 4) AS n FROM embeddings)""",
+        f"""p AS (SELECT shard, CAST(FLOOR(r * (FLOOR({pieces - 1} / (shard + 1)) + 1) / n) * (shard + 1) AS BIGINT) AS piece,
+            COUNT(*) AS c FROM r GROUP BY ALL)""",
+        "b0 AS (SELECT w AS worker, CAST(0 AS BIGINT) AS clock, CAST(0 AS BIGINT) AS version, CAST(0 AS BIGINT) AS seen FROM (SELECT UNNEST(range(0, 4)) AS w))",
+    ]
+    free = "TRUE" if delay == -1 else f"clock - MIN(clock) OVER () <= {delay}"
+    for b in range(pieces):
+        steps.append(
+            f"""s{b} AS (SELECT worker, clock + CASE WHEN version IS NOT NULL AND c > 0 THEN 1 ELSE 0 END AS clock,
+            CASE WHEN version IS NOT NULL AND c > 0 THEN NULL ELSE version END AS version, seen + COALESCE(c, 0) AS seen
+            FROM b{b} LEFT JOIN (SELECT shard AS worker, c FROM p WHERE piece = {b}) USING (worker))"""
+        )
+        steps.append(f"b{b + 1} AS (SELECT worker, clock, CASE WHEN version IS NULL AND ({free}) THEN {b + 1} ELSE version END AS version, seen FROM s{b})")
+    every = " UNION ALL ".join(
+        f"SELECT CAST({b} AS BIGINT) AS batch, worker, CAST(clock AS BIGINT) AS clock, CAST(version AS BIGINT) AS version, CAST(seen AS BIGINT) AS seen FROM b{b}"
+        for b in range(pieces + 1)
+    )
+    return _with(*steps) + every
+
+
+SQL |= {
+    "stream_gate_sequential": _gated(0),
+    "stream_gate_bounded": _gated(1),
+    "stream_gate_eventual": _gated(-1),
+    "gate": _with(TRACE) + """, c AS (SELECT worker, MAX(clock) + 1 AS clock FROM tr GROUP BY worker)
+        SELECT worker, clock FROM c WHERE clock - (SELECT MIN(clock) FROM c) <= 10""",
+}

@@ -28,11 +28,12 @@ from tidemark.functions.columns import (
     target_size,
 )
 from tidemark.operators.buffer import recent_mean_gap
-from tidemark.operators.clocks import EVENTUAL
+from tidemark.operators.clocks import lets_go
+from tidemark.operators.ordered import number_rows
 from tidemark.operators.prep import shard_rows
 from tidemark.operators.quality import f1_accuracy
 from tidemark.operators.runlog import SERVER
-from tidemark.operators.scoring import predict_versions
+from tidemark.operators.scoring import gradient_step, predict_versions
 from tidemark.operators.weights import combine, weight_arrays, weights_frame
 from tidemark.plans.training import MAX_GROUP_ROWS, local_fit
 from tidemark.storage import new_folder
@@ -138,6 +139,9 @@ class TrainingStore:
         self.put_weights(0, weights)
         self.put_clocks(0, [(w, 0, 0, 0) for w in range(num_workers)])
 
+    def all_clocks(self) -> DataFrame:
+        return self.spark.read.schema(CLOCKS + ", number long").parquet(f"{self.folder}/clocks")
+
     def all_metrics(self) -> DataFrame:
         return self.spark.read.schema(METRICS + ", number long").parquet(f"{self.folder}/metrics")
 
@@ -154,12 +158,14 @@ def train_batch(
     coefficient: float,
     iterations: int,
     test: DataFrame | None,
+    rate: float | None = None,
 ) -> None:
     """One micro-batch: fill the buffers, let released workers step, apply their deltas, release again.
 
     A worker steps when it has new rows and holds released weights, and trains
     on the version of its own release.  Clocks move with the data; there is no
-    hidden asynchrony.
+    hidden asynchrony.  With ``rate`` a step is one full-batch gradient step,
+    else a local fit.
     """
     spark = store.spark
     kept = T.StructType([*batch.schema.fields, *T.StructType.fromDDL("n long, floor long, released long").fields])
@@ -176,8 +182,11 @@ def train_batch(
     models = {w: given[v] for w, v in stepping.items()}
     weights, deltas = now, None
     if models:
-        buffers = tail.filter((F.col("n") > F.col("released")) & F.col("shard").isin(list(models)))
-        fits = local_fit(buffers.select("shard", "label", "features"), models, iterations, bounded=high <= MAX_GROUP_ROWS or None)
+        buffers = tail.filter((F.col("n") > F.col("released")) & F.col("shard").isin(list(models))).select("shard", "label", "features")
+        if rate is None:
+            fits = local_fit(buffers, models, iterations, bounded=high <= MAX_GROUP_ROWS or None)
+        else:
+            fits = gradient_step(buffers, models, rate)
         deltas = store.write(fits, "deltas", number)
         weights = weight_arrays(combine(weights_frame(spark, now), deltas, num_workers))
     store.put_weights(number + 1, weights)
@@ -197,7 +206,7 @@ def next_release(state: dict[int, dict], seen: dict[int, int], stepped, delay: i
     rows = []
     for w, s in sorted(state.items()):
         held = None if w in stepped else s["version"]
-        if held is None and (delay == EVENTUAL or clock[w] - slowest <= delay):
+        if held is None and lets_go(clock[w], slowest, delay):
             held = version
         rows.append((w, clock[w], held, seen.get(w, 0)))
     return rows
@@ -242,6 +251,7 @@ def train_stream(
     coefficient: float = BUFFER_COEFFICIENT,
     iterations: int = LOCAL_ITERATIONS,
     test: DataFrame | None = None,
+    rate: float | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Start training on ``stream`` (``shard``, ``id``, ``t_ms``, ``label``, ``features``).
@@ -267,6 +277,7 @@ def train_stream(
             coefficient=coefficient,
             iterations=iterations,
             test=test,
+            rate=rate,
         )
 
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint")
@@ -330,3 +341,31 @@ def train_on_embeddings(spark: SparkSession, sf: str, workers: int, delay: int,
     return shared.select(
         F.col("number").alias("batch"), "vectorClock", F.round("fMeasure", 6).alias("f1"), F.round("accuracy", 6).alias("accuracy")
     )
+
+
+def lagging_pieces(rows: DataFrame, pieces: int) -> DataFrame:
+    """Add ``piece``: the rows of shard s come in every (s + 1)-th piece only, so later shards fall behind."""
+    numbered = number_rows(rows, ["shard"], ["id"], "_r", start=0)
+    sizes = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("_size"))
+    every = F.col("shard") + 1
+    turns = F.floor((pieces - 1) / every) + 1
+    piece = (F.floor(F.col("_r") * turns / F.col("_size")) * every).cast("long")
+    return numbered.join(sizes, "shard").withColumn("piece", piece).drop("_r", "_size")
+
+
+def gated_on_embeddings(spark: SparkSession, sf: str, workers: int, delay: int, pieces: int = 8) -> DataFrame:
+    """Clock, version to train on (NULL while held back) and rows seen of each worker before every micro-batch, with stragglers."""
+    table = spark.read.parquet(f"{sf}/embeddings.parquet")
+    rows = table.select(
+        F.col("vec_id").alias("id"), (F.col("vec_id") * 1000).alias("t_ms"), F.col("label").cast("int").alias("label"), F.col("embedding").alias("features")
+    )
+    classes, width = table.agg(F.max("label") + 1, F.max(F.size("embedding"))).first()
+    folder = new_folder(spark, "gated")
+
+    def run(stream: DataFrame) -> StreamingQuery:
+        start = np.zeros((classes, width + 1))
+        return train_stream(stream.drop("piece"), f"{folder}/run", start, num_workers=workers, delay=delay, low=16, rate=0.5)
+
+    replay(lagging_pieces(shard_rows(rows, "id", workers), pieces), "piece", pieces, f"{folder}/input", run)
+    clocks = TrainingStore(spark, f"{folder}/run").all_clocks()
+    return clocks.select(F.col("number").alias("batch"), "worker", "clock", "version", "seen")
