@@ -184,15 +184,18 @@ def test_empty_tables_stay_empty(spark):
     assert runlog.to_common_clock(worker.limit(0)).count() == 0
 
 
-def test_small_side_is_broadcast_and_a_large_one_is_not(spark):
+def test_a_small_side_is_broadcast_by_its_bytes(spark):
     from tidemark.storage import small_side
 
-    big = spark.range(1000).withColumnRenamed("id", "k")
-    for most in (10, 1000):
-        joined = spark.range(50).join(small_side(big, most), F.col("id") == F.col("k"))
-        assert joined.count() == 50
-    plan = lambda most: small_side(big, most)._jdf.queryExecution().analyzed().toString()
-    assert "strategy=broadcast" in plan(1000) and "strategy=broadcast" not in plan(10)
+    plan = lambda: spark.range(50).join(small_side(spark.range(1000).withColumnRenamed("id", "k")), F.col("id") == F.col("k"))
+    assert plan().count() == 50
+    assert "BroadcastHashJoin" in plan()._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100")
+    try:
+        assert "BroadcastHashJoin" not in plan()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_blank_texts_and_null_labels_stay(spark):

@@ -18,7 +18,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions import softmax
-from tidemark.operators.weights import MAX_BROADCAST_WEIGHTS
 from tidemark.storage import small_side
 
 ROWS_PER_BLOCK = 4096
@@ -30,12 +29,12 @@ FLUSH_VALUES = 4_000_000  # partial sums one task holds before it passes them on
 
 def _feature_weights(weights: DataFrame) -> tuple[DataFrame, list[int]]:
     """One row per feature with one weight column per class, and the classes."""
-    weights = small_side(weights, MAX_BROADCAST_WEIGHTS)
+    weights = small_side(weights)
     classes = list(range(weights.agg(F.max("class")).first()[0] + 1))
     wide = weights.groupBy("feature").agg(
         *[F.coalesce(F.max(F.when(F.col("class") == c, F.col("value"))), F.lit(0.0)).alias(f"_w{c}") for c in classes]
     )
-    return small_side(wide, MAX_BROADCAST_WEIGHTS // len(classes)), classes
+    return small_side(wide), classes
 
 
 def margin_arrays(vectors: DataFrame, weights: DataFrame, row: str = "row_id", keep: Sequence[str] = ("label",)) -> DataFrame:
@@ -88,7 +87,8 @@ def softmax_gradient(vectors: DataFrame, weights: DataFrame, row: str = "row_id"
     rows = vectors.join(wide, "feature").groupBy(row).agg(F.max("label").alias("_label"), *sums)
     hit = F.transform(F.array(*[F.lit(c) for c in classes]), lambda c: F.when(c == F.col("_label"), 1.0).otherwise(0.0))
     residual = F.zip_with(softmax_of(F.array(*[f"_z{c}" for c in classes])), hit, lambda p, h: p - h)
-    p = vectors.join(rows.select(row, residual.alias("_r")), row)
+    # The exploded vectors are far larger than Spark takes them for; they must not be broadcast.
+    p = vectors.join(rows.select(row, residual.alias("_r")).hint("merge"), row)
     parts = [F.sum(F.get("_r", F.lit(i)) * F.col("x")).alias(f"_g{c}") for i, c in enumerate(classes)]
     sums = p.groupBy(*by, "feature").agg(*parts)
     cells = F.array(*[F.struct(F.lit(c).cast("int").alias("class"), F.col(f"_g{c}").alias("gradient")) for c in classes])

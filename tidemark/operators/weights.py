@@ -49,8 +49,8 @@ def from_flat(flat: DataFrame, classes: int, features: int, value: str = "value"
 
 
 def settle(weights: DataFrame) -> DataFrame:
-    """Evaluate a weights table once and broadcast it if it is small enough."""
-    return small_side(weights, MAX_BROADCAST_WEIGHTS)
+    """Evaluate a weights table once."""
+    return small_side(weights)
 
 
 def weight_arrays(weights: DataFrame, by: str | None = None, also: str | None = None) -> dict | np.ndarray | tuple[dict, dict]:

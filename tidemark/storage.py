@@ -8,9 +8,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-MAX_BROADCAST_ROWS = 100_000
 _shipped: set[str] = set()
 
 
@@ -69,15 +68,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def local_copy(df: DataFrame, most: int) -> DataFrame | None:
-    """``df`` evaluated once and marked for broadcast, or None if it has more than ``most`` rows."""
-    rows = df.limit(most + 1).toArrow()
-    if rows.num_rows > most:
-        return None
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+def small_side(df: DataFrame) -> DataFrame:
+    """A join side that is used more than once: written once, and joined by its size in bytes.
 
-
-def small_side(df: DataFrame, most: int | None = None) -> DataFrame:
-    """The small side of a join: a broadcast copy if it is small, else a distributed table and Spark picks the join."""
-    local = local_copy(df, MAX_BROADCAST_ROWS if most is None else most)
-    return cut_lineage(df) if local is None else local
+    Spark knows the size of the written files, so it broadcasts the side if it
+    is below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it otherwise.
+    """
+    return written(df, "side")
