@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tidemark.plans.named_queries import QUERIES  # noqa: E402
 from tidemark.session import local_session  # noqa: E402
+from tidemark.storage import ship_package  # noqa: E402
 
 HEADLINE = [
     "shared_step_quality",
@@ -43,7 +45,8 @@ HEADLINE = [
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session("bench", cores=cpus)
+    spark = local_session("bench", cores=cpus, spark__checkpoint__dir=tempfile.mkdtemp(prefix="bench-"))
+    ship_package(spark)
     QUERIES["shared_step_quality"](spark, sf).collect()  # start the Python workers
     seconds = {}
     for name in HEADLINE:
