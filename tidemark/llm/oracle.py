@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from tidemark.llm.bitslice import K, SCALE
 from tidemark.llm.chat import BREAK, CLOSE, LEARNED, OPEN
 from tidemark.llm.mixing import MOST, SEED, SHARE, WEIGHTS
 from tidemark.llm.packing import BUCKETS, BUDGET
+from tidemark.llm.shards import SHARDS
 
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
@@ -88,9 +91,44 @@ def _search() -> str:
     """
 
 
+def _duplicates(width: int, percent: int) -> str:
+    joined = " || ' ' || ".join(f"words[i + {k}]" for k in range(width))
+    return rf"""
+    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'),
+                         '[^\x20\x09-\x0D]+') AS words FROM documents),
+    s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < {width} THEN [array_to_string(words, ' ')]
+          ELSE list_transform(range(1, len(words) - {width - 2}), lambda i: {joined}) END)) AS g FROM d),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+    l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+    e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    r AS (SELECT doc_id, doc_id AS reached FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reached = e.a),
+    m AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY 1)
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+    FROM d JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)
+    """
+
+
+def _shards() -> str:
+    # The table of remainders of the checksum, and one step per byte.
+    table = "list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i))"
+    return f"""
+    WITH t AS (SELECT {table} AS crc),
+    d AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 1 AS size,
+          xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT),
+              lambda c, b: xor(c >> 8, crc[xor(c & 255, b) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32 FROM documents, t),
+    p AS (SELECT *, (coalesce(sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+          * {SHARDS} // (sum(size) OVER ()))::INT AS shard FROM d)
+    SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot,
+           NULL::INT AS grown_shard FROM p
+    """
+
+
 SQL: dict[str, str] = {
     "op1_length_buckets": _packing(),
     "op3_bit_sliced_search": _search(),
+    "op5_bottom_k_duplicates": _duplicates(3, 85),
     "op6_reply_paths": _chat(),
+    "op7_byte_shards": _shards(),
     "op8_systematic_mix": _mixing(),
 }
