@@ -47,24 +47,28 @@ def chosen_paths(messages: DataFrame, branches: int = BRANCHES) -> DataFrame:
     Returns ``conv_id, leaf_id, rank, msg_id, up``, ``up`` counted from the leaf.
     """
     nodes = messages.select("conv_id", "msg_id", "parent_id", F.coalesce("score", F.lit(0.0)).alias("score"))
-    # Where a parent does not exist the link is dropped by the join.
-    link = nodes.filter("parent_id < msg_id").select("conv_id", F.col("msg_id").alias("low"), F.col("parent_id").alias("high"))
     ends = nodes.select(F.col("conv_id").alias("_c"), F.col("msg_id").alias("_m"))
-    link = written(link.join(ends, link["conv_id"].eqNullSafe(ends["_c"]) & (link["high"] == ends["_m"])).select("conv_id", "low", "high"), "links")
-    links, sums = [], nodes.select("conv_id", "msg_id", "score")
-    roots = nodes.select("conv_id", "msg_id", F.col("msg_id").alias("root"))
-    while link.limit(1).count():
-        links.append(link)
-        sums = written(_climb(sums, link, "msg_id", "score", lambda own, far: own + F.coalesce(far, F.lit(0.0))), "scores")
-        roots = written(_climb(roots, link, "msg_id", "root", lambda own, far: F.coalesce(far, own)), "roots")
-        above = link.select(F.col("conv_id").alias("_c"), F.col("low").alias("_l"), F.col("high").alias("_h"))
-        same = link["conv_id"].eqNullSafe(above["_c"]) & (link["high"] == above["_l"])
-        link = written(link.join(above, same).select("conv_id", "low", F.col("_h").alias("high")), "links")
-    parents = (links[0] if links else link).select(F.col("conv_id").alias("_c"), F.col("high").alias("_h")).distinct()
-    leaf = nodes.select("conv_id", "msg_id").join(
-        parents, nodes["conv_id"].eqNullSafe(parents["_c"]) & (nodes["msg_id"] == parents["_h"]), "left_anti"
+    answers = nodes["conv_id"].eqNullSafe(ends["_c"]) & (nodes["parent_id"] == ends["_m"]) & (nodes["parent_id"] < nodes["msg_id"])
+    # From each message up to, not with, ``next``: their score and the highest of them.
+    reached = written(
+        nodes.join(ends, answers, "left").select("conv_id", "msg_id", F.col("_m").alias("next"), "score", F.col("msg_id").alias("root")), "reached"
     )
-    scored = _with(_with(leaf, roots, "root"), sums, "score")
+    links, ended = [], reached.filter("next is null")
+    open_ = reached.filter("next is not null")
+    while open_.limit(1).count():
+        links.append(open_.select("conv_id", F.col("msg_id").alias("low"), F.col("next").alias("high")))
+        far = ended.union(open_).toDF("_c", "_m", "_next", "_score", "_root")
+        on = open_["conv_id"].eqNullSafe(far["_c"]) & (open_["next"] == far["_m"])
+        reached = written(
+            open_.join(far, on).select(
+                "conv_id", "msg_id", F.col("_next").alias("next"), (F.col("score") + F.col("_score")).alias("score"), F.col("_root").alias("root")
+            ),
+            "reached",
+        )
+        ended, open_ = ended.union(reached.filter("next is null")), reached.filter("next is not null")
+    parents = (links[0] if links else open_.withColumn("high", F.col("next"))).select(F.col("conv_id").alias("_c"), F.col("high").alias("_h")).distinct()
+    leaf = ended["conv_id"].eqNullSafe(parents["_c"]) & (ended["msg_id"] == parents["_h"])
+    scored = ended.join(parents, leaf, "left_anti")
     best = Window.partitionBy("conv_id", "root").orderBy(F.col("score").desc(), "msg_id")
     ranked = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= branches)
     paths = written(ranked.select("conv_id", F.col("msg_id").alias("leaf_id"), "rank", "msg_id", F.lit(0).cast("long").alias("up")), "paths")
@@ -76,20 +80,6 @@ def chosen_paths(messages: DataFrame, branches: int = BRANCHES) -> DataFrame:
     return paths
 
 
-def _with(rows: DataFrame, other: DataFrame, name: str) -> DataFrame:
-    other = other.select(F.col("conv_id").alias("_c"), F.col("msg_id").alias("_m"), name)
-    return rows.join(other, rows["conv_id"].eqNullSafe(other["_c"]) & (rows["msg_id"] == other["_m"])).drop("_c", "_m")
-
-
-def _climb(rows: DataFrame, link: DataFrame, key: str, value: str, combine) -> DataFrame:
-    """Join to each row's value the value that stands at the far end of its link."""
-    link = link.select(F.col("conv_id").alias("_lc"), "low", "high")
-    far = rows.select(F.col("conv_id").alias("_c"), F.col(key).alias("_k"), F.col(value).alias("_v"))
-    reach = link.join(far, link["_lc"].eqNullSafe(far["_c"]) & (link["high"] == far["_k"])).select("_lc", "low", "_v")
-    both = rows.join(reach, rows["conv_id"].eqNullSafe(reach["_lc"]) & (rows[key] == reach["low"]), "left")
-    return both.select("conv_id", key, combine(F.col(value), F.col("_v")).alias(value))
-
-
 def format_chats(messages: DataFrame, branches: int = BRANCHES) -> DataFrame:
     """One formatted conversation per chosen path.
 
