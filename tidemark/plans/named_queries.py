@@ -100,7 +100,23 @@ def csv_examples_round_trip(spark, sf):
     good, _ = prep.validate_width(csv_examples.read_lines(spark, folder, header=False), "fields", 66)
     rows = good.select(F.element_at("fields", -1).cast("long").alias("row_id"), features_of("fields").alias("fields"))
     numbers = csv_examples.to_numbers(rows, keep=("row_id",))
-    return numbers.select("row_id", "label", F.size("features").alias("entries"))
+    return prep.long_vectors(numbers, "row_id", "label").select("row_id", "label", "feature", r6("x").alias("x"))
+
+
+@query
+def inferred_csv_scan(spark, sf):
+    """Events written as CSV with a header and scanned back with the types found in the files."""
+    folder = new_folder(spark, "csv-events")
+    table(spark, sf, "events").select("event_id", "user_id", "event_type", "value").write.option("header", True).csv(folder)
+    found = csv_examples.read_inferred(spark, folder)
+    return found.select(F.col("event_id").cast("long").alias("event_id"), F.col("user_id").cast("long").alias("user_id"), "event_type", r6("value").alias("value"))
+
+
+@query
+def server_log_round_trip(spark, sf):
+    folder = new_folder(spark, "server-log")
+    runlogs.write_server_log(fx.server_log(spark, sf), folder)
+    return runlogs.read_server_log(spark, folder)
 
 
 @query

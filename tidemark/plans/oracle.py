@@ -108,8 +108,10 @@ SQL: dict[str, str] = {
     "decode_tagged_json": """SELECT event_id, 'gMsg' AS tag, CAST(event_id AS INTEGER) AS clock, CAST(user_id AS INTEGER) AS range_start,
         CAST(user_id + 1 AS INTEGER) AS range_end, ROUND(value, 2) AS v, user_id % 4 AS worker FROM events""",
     "decode_json_field": "SELECT event_id, CAST(props->>'$.k' AS INTEGER) AS k FROM events",
-    "csv_examples_round_trip": _with(EXAMPLES, LONG) + """SELECT row_id, label,
-        CAST(COUNT(*) FILTER (abs(x) >= 0.1) AS INTEGER) AS entries FROM lv GROUP BY ALL""",
+    "csv_examples_round_trip": _with(EXAMPLES, LONG, SPARSE) + """SELECT row_id, label, CAST(feature AS INTEGER) AS feature, ROUND(x, 6) AS x FROM sv""",
+    "inferred_csv_scan": "SELECT event_id, user_id, event_type, ROUND(value, 6) AS value FROM events",
+    "server_log_round_trip": _with(WORKER_LOG) + """SELECT timestamp, CAST(-1 AS INTEGER) AS partition,
+        CAST("vectorClock" AS INTEGER) AS "vectorClock", CAST(-1 AS DOUBLE) AS loss, "fMeasure", accuracy FROM wl WHERE partition = 0""",
     "run_log_round_trip": _with(WORKER_LOG) + """SELECT timestamp, CAST(partition AS INTEGER) AS partition,
         CAST("vectorClock" AS INTEGER) AS "vectorClock", loss, "fMeasure", accuracy, "numTuplesSeen" FROM wl""",
     # preparation
