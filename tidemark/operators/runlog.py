@@ -73,6 +73,19 @@ def series(log: DataFrame, metrics: Sequence[str], partitions: Sequence[int], by
     return log.groupBy(*by, "vectorClock").agg(*columns)
 
 
+def report(server: DataFrame, worker: DataFrame, metrics: Sequence[str], num_workers: int) -> DataFrame:
+    """Series of several runs that can be compared, in one plan.
+
+    Both logs up to the common clock of each run, one column per metric and
+    worker (the server is worker ``num_workers``), the rows seen by all workers
+    at each clock, up to the rows seen that every run reached.
+    """
+    kept = to_common_clock(union_logs(server, worker))
+    totals = rows_seen(kept)
+    lines = series(relabel(kept, SERVER, num_workers), metrics, range(num_workers + 1))
+    return lines.join(totals, ["run", "vectorClock"]).filter(F.col("total_seen") <= comparable_extent(totals).scalar())
+
+
 def latest(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row of every group, reduced in each task before the shuffle."""
     rest = [c for c in df.columns if c not in by]

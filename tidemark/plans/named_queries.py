@@ -620,6 +620,14 @@ def metric_series(spark, sf):
     return out.select("run", "vectorClock", *[r6(f"{m}{p}").alias(f"{m}{p}") for m in ("loss", "fMeasure") for p in range(WORKERS)])
 
 
+@query
+def run_report(spark, sf):
+    metrics = ["loss", "fMeasure", "accuracy"]
+    out = runlog.report(fx.server_log(spark, sf), fx.worker_log(spark, sf), metrics, WORKERS)
+    columns = [r6(f"{m}{p}").alias(f"{m}{p}") for m in metrics for p in range(WORKERS + 1)]
+    return out.select("run", "vectorClock", "total_seen", *columns)
+
+
 @query
 def union_logs(spark, sf):
     out = runlog.union_logs(fx.server_log(spark, sf), fx.worker_log(spark, sf))

@@ -315,3 +315,19 @@ SQL |= {
     "gate": _with(TRACE) + """, c AS (SELECT worker, MAX(clock) + 1 AS clock FROM tr GROUP BY worker)
         SELECT worker, clock FROM c WHERE clock - (SELECT MIN(clock) FROM c) <= 10""",
 }
+
+_REPORT = ", ".join(
+    f'ROUND(MAX({c}) FILTER (partition = {p}), 6) AS "{n}{4 if p < 0 else p}"'
+    for c, n in (("loss", "loss"), ('"fMeasure"', "fMeasure"), ("accuracy", "accuracy"))
+    for p in (0, 1, 2, 3, -1)
+)
+SQL["run_report"] = _with(
+    WORKER_LOG,
+    """u AS (SELECT run, partition, "vectorClock", loss, "fMeasure", accuracy, "numTuplesSeen" FROM wl
+        UNION ALL SELECT run, -1, "vectorClock", -1.0, "fMeasure", accuracy, NULL FROM wl WHERE partition = 0)""",
+    """cc AS (SELECT run, MIN(last) AS cc FROM (SELECT run, partition, MAX("vectorClock") AS last FROM u GROUP BY ALL) GROUP BY run)""",
+    'k AS (SELECT u.* FROM u JOIN cc USING (run) WHERE "vectorClock" <= cc)',
+    't AS (SELECT run, "vectorClock", CAST(SUM("numTuplesSeen") AS BIGINT) AS total_seen FROM k WHERE partition <> -1 GROUP BY ALL)',
+    "x AS (SELECT MIN(m) AS extent FROM (SELECT run, MAX(total_seen) AS m FROM t GROUP BY run))",
+) + f"""SELECT run, "vectorClock", total_seen, {_REPORT} FROM k JOIN t USING (run, "vectorClock"), x
+    WHERE total_seen <= extent GROUP BY run, "vectorClock", total_seen"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
+# Field names of the log format.
 SERVER_LOG = T.StructType(
     [
         T.StructField("timestamp", T.LongType()),

@@ -36,8 +36,8 @@ def read_messages(
         )
         if max_per_trigger is not None:
             reader = reader.option("maxOffsetsPerTrigger", max_per_trigger)
-        # Keys are 8-byte big-endian integers.
-        key = F.conv(F.hex("key"), 16, 10).cast("long")
+        # Keys are signed 8-byte big-endian integers.
+        key = F.conv(F.hex("key"), 16, -10).cast("long")
         return reader.load().select(key.alias("key"), F.col("value").cast("string").alias("value"))
     reader = spark.readStream.schema(MESSAGE)
     if max_per_trigger is not None:
