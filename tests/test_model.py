@@ -188,3 +188,11 @@ def test_hot_key_history_is_cut_into_ranges(spark):
     assert sorted(map(tuple, plain.select("arrival", "class", "value").collect())) == sorted(
         map(tuple, cut.select("arrival", "class", "value").collect())
     )
+
+
+def test_wide_rows_come_in_small_blocks():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000))], names=["x"])
+    sizes = lambda width: {b.num_rows for b in scoring.row_blocks(batch, width)}
+    assert max(sizes(64)) == 4096 and max(sizes(1_000_000)) == 4 and sum(b.num_rows for b in scoring.row_blocks(batch, 10**9)) == 10_000

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.functions import softmax
 from tidemark.storage import small_side
 
-ROWS_PER_BLOCK = 4096
+ROWS_PER_BLOCK, BLOCK_VALUES = 4096, 4_194_304  # a dense block holds at most so many rows and values
 FLUSH_VALUES = 4_000_000  # partial sums one task holds before it passes them on
 
 
@@ -104,6 +104,13 @@ def log_loss(vectors: DataFrame, weights: DataFrame, row: str = "row_id", by: Se
 # ---- block form -----------------------------------------------------------
 
 
+def row_blocks(batch: pa.RecordBatch, width: int):
+    """A batch in pieces that stay small as dense blocks, however wide the rows are."""
+    rows = max(1, min(ROWS_PER_BLOCK, BLOCK_VALUES // (width + 1)))
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
+
+
 def predict(examples: DataFrame, weights: np.ndarray, keep: Sequence[str] = ("row_id", "label")) -> DataFrame:
     """Predicted class of every row, without moving rows."""
     width = weights.shape[1] - 1
@@ -112,8 +119,7 @@ def predict(examples: DataFrame, weights: np.ndarray, keep: Sequence[str] = ("ro
 
     def score(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS_PER_BLOCK):
-                part = batch.slice(start, ROWS_PER_BLOCK)
+            for part in row_blocks(batch, width):
                 x = softmax.with_bias(softmax.dense_block(part.column("features"), width))
                 best = softmax.margins(x, model.value).argmax(axis=1).astype(np.int32)
                 columns = [part.column(c) for c in keep]
@@ -133,8 +139,7 @@ def predict_versions(
 
     def score(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS_PER_BLOCK):
-                part = batch.slice(start, ROWS_PER_BLOCK)
+            for part in row_blocks(batch, width):
                 x = softmax.with_bias(softmax.dense_block(part.column("features"), width))
                 for version, w in models.value.items():
                     best = softmax.margins(x, w).argmax(axis=1).astype(np.int32)
@@ -167,8 +172,7 @@ def _sums_per_group(examples: DataFrame, by: str, width: int, models, measure, m
     def reduce(batches):
         sums: dict[int, list] = {}
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS_PER_BLOCK):
-                part = batch.slice(start, ROWS_PER_BLOCK)
+            for part in row_blocks(batch, width):
                 groups = part.column(by).to_numpy(zero_copy_only=False)
                 labels = part.column("label").to_numpy(zero_copy_only=False)
                 x = softmax.with_bias(softmax.dense_block(part.column("features"), width))
