@@ -68,28 +68,28 @@ def sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
     return map_batches(docs, work, "doc_id long, n long, digest binary, sketch array<long>")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """``id, n, values``: the full sets of the documents in ``ids``."""
+def full_sets(docs: DataFrame, width: int) -> DataFrame:
+    """``id, n, values``: the full set of each document."""
 
     def work(batch):
         sets = shingle_sets(batch.column("text").to_pylist(), width)
         return {"id": batch.column("doc_id"), "n": [len(s) for s in sets], "values": sets}
 
-    wanted = docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    return map_batches(wanted.select("doc_id", "text"), work, "id long, n long, values array<long>")
+    return map_batches(docs, work, "id long, n long, values array<long>")
 
 
 def lists(sets: DataFrame, needed: Column) -> DataFrame:
-    """Inverted lists of ``id, n, values``: one row ``id, n, v, df, listed, common`` per value that another text has.
+    """Inverted lists of ``id, n, values``: one row ``id, n, common, v, df, listed`` per value that another text has.
 
     ``listed`` marks the values that must be listed if partners agree on
-    ``needed`` of them; ``common`` counts the text's values in long lists.
+    ``needed`` (of ``n``) of them; ``common`` counts the text's values in long
+    lists.
     """
-    rows = sets.select("id", "n", F.size("values").cast("long").alias("size"), needed.alias("needed"), F.explode("values").alias("v"))
+    rows = sets.select("id", "n", F.explode("values").alias("v"))
     counts = rows.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    shared = rows.join(counts, "v").groupBy("id", "n", "size", "needed").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held"))
-    # Values that no other text has are the rarest; they need no list.
-    most = F.col("size") - F.col("needed") + 1 - (F.col("size") - F.size("held"))
+    shared = rows.join(counts, "v").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held"))
+    # Of all values the rarest but ``needed - 1`` are listed; those that no other text has are the rarest and need no list.
+    most = F.size("held") - needed + 1
     common = F.size(F.filter("held", lambda h: h["df"] > LONG)).cast("long")
     spread = shared.select("id", "n", common.alias("common"), most.alias("most"), F.posexplode("held").alias("at", "h"))
     return spread.select("id", "n", "common", F.col("h.v").alias("v"), F.col("h.df").alias("df"), (F.col("at") < F.col("most")).alias("listed"))
@@ -113,17 +113,25 @@ def hub_pairs(entries: DataFrame, percent: int) -> DataFrame:
 
 
 def crossing_pairs(entries: DataFrame, percent: int, long: bool) -> DataFrame:
-    """Pairs of a list that lie in different components; at least one lies outside the list's largest."""
+    """Pairs of a list that lie in different components; at least one lies outside the list's largest.
+
+    Texts of ``long`` lists share many of them; a pair is made in the first.
+    """
+    if long:
+        entries = entries.join(entries.groupBy("id").agg(F.collect_list("v").alias("held")), "id")
+    else:
+        entries = entries.withColumn("held", F.lit(None).cast("array<long>"))
     sizes = entries.groupBy("v", "component").agg(F.count(F.lit(1)).alias("c"))
     main = sizes.groupBy("v").agg(F.max(F.struct("c", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     split = written(entries.join(main.select("v", F.col("main.component").alias("main")), "v"), "lists")
-    one = split.filter("component <> main").select("v", F.col("id").alias("a"), F.col("n").alias("n"), F.col("common").alias("h"), F.col("component").alias("c"))
-    other = split.select("v", F.col("id").alias("b"), F.col("n").alias("m"), F.col("common").alias("g"), F.col("component").alias("d"), "main")
+    one = split.filter("component <> main").select("v", F.col("id").alias("a"), F.col("n").alias("n"), F.col("common").alias("h"), F.col("component").alias("c"), F.col("held").alias("held_a"))
+    other = split.select("v", F.col("id").alias("b"), F.col("n").alias("m"), F.col("common").alias("g"), F.col("component").alias("d"), F.col("held").alias("held_b"), "main")
     # Two texts outside the largest component meet once.
     meet = (F.col("c") != F.col("d")) & ((F.col("d") == F.col("main")) | (F.col("a") < F.col("b"))) & near_size("n", "m", percent)
     if long:
         most = F.least("h", "g")
         meet = meet & (most * 100 >= (F.col("n") + F.col("m") - most) * percent)
+        meet = meet & (F.array_min(F.array_intersect("held_a", "held_b")) == one["v"])
     return ordered(one.join(other, (one["v"] == other["v"]) & meet).select("a", "b"))
 
 
@@ -142,10 +150,8 @@ def promising(pairs: DataFrame, reps: DataFrame, percent: int, k: int) -> DataFr
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose full sets, made anew from the texts, reach the threshold."""
     pairs = written(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text")
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    both = pairs.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    both = both.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def work(batch):
         ones = shingle_sets(batch.column("text_a").to_pylist(), width)
@@ -181,7 +187,6 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
         F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
     )
     reps = written(classes, "classes")
-    named = docs.filter("doc_id is not null")
 
     # A set no larger than the sketch is kept whole; a larger partner's sketch may lack some of it.
     n = F.col("n")
@@ -189,8 +194,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     whole = F.greatest(F.lit(1), F.ceil(n * percent / 100) - cut)
     first = written(lists(reps.select("id", "n", F.col("sketch").alias("values")), F.when(n <= k, whole).otherwise(F.lit(agreeing(k, percent)))), "lists")
     short = first.filter(f"listed and df <= {LONG}")
-    again = first.filter(f"listed and df > {LONG}").select("id").distinct()
-    second = written(lists(full_sets(named, again, width), F.ceil(n * percent / 100)), "lists")
+    # From here on only texts that share a listed value are read.
+    listed = first.filter("listed").groupBy("id").agg((F.max("df") > LONG).alias("again"))
+    named = written(docs.join(listed.withColumnRenamed("id", "doc_id"), "doc_id"), "texts")
+    second = written(lists(full_sets(named.filter("again").select("doc_id", "text"), width), F.ceil(n * percent / 100)), "lists")
     long = second.filter(f"listed and df > {LONG}")
     dense = long.select("id").distinct()
     # Texts of long lists meet by any rare shingle: the bound in crossing_pairs counts on it.

@@ -10,10 +10,18 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.storage import ship_package
 
+ROWS = 512  # of a batch that are Python objects at one time
+
 
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: T.StructType | str) -> DataFrame:
-    """Columns that ``work`` makes of each batch (a dict by column name, of lists or arrays)."""
-    return map_stream(df, lambda batches: (work(b) for b in batches), schema)
+    """Columns that ``work`` makes of each batch (a dict by column name, of lists or arrays), a few rows at a time."""
+
+    def pieces(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                yield work(batch.slice(at, ROWS))
+
+    return map_stream(df, pieces, schema)
 
 
 def map_stream(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]], schema: T.StructType | str) -> DataFrame:
