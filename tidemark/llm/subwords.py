@@ -16,7 +16,8 @@ RATE = 0.3
 FIRM, FIRMEST = 0.02, 1e-5  # weight of the squared vectors in the loss: FIRM over the rows, FIRMEST at most
 SEED = 5
 BALANCE = 0.5  # 1: both classes weigh the same; 0: each row does
-LEAST_SHARE, MOST_SHARE = 0.005, 0.4  # of the fitted texts
+LEAST_TEXTS = 3  # fitted texts, of either class, that a subword must be in
+MOST_SHARE = 0.4  # of the fitted texts of each class
 MAX_CACHED = 300_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -113,7 +114,7 @@ class SubwordSoftmax:
             inside.append(np.array([words.setdefault(w, len(words)) for w in counts], dtype=np.int32))
             share.append(np.array([*counts.values()], dtype=np.float32) / max(1, counts.total()))
             sizes.append(len(counts))
-        by_word, used = cls._known_subwords(list(words), inside)
+        by_word, used = cls._known_subwords(list(words), inside, labels)
         owner, inside, share = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.concatenate(inside), np.concatenate(share)
         by_text = _Sums(owner, inside, share, len(sizes), len(words))
         truth = np.eye(2, dtype=np.float32)[labels]
@@ -142,23 +143,26 @@ class SubwordSoftmax:
         return cls(vectors, params[1], params[2])
 
     @staticmethod
-    def _known_subwords(words: list[str], texts: list[np.ndarray]) -> tuple[_Sums, np.ndarray]:
+    def _known_subwords(words: list[str], texts: list[np.ndarray], labels: np.ndarray) -> tuple[_Sums, np.ndarray]:
         """Averages of subword vectors by word, over subwords that are neither rare nor everywhere, and their buckets.
 
-        A subword of few texts says more about these texts than about the
-        class, one of most texts says nothing; their vectors stay zero.
+        A subword of one or two texts says more about these texts than about
+        the class, one of most texts of both classes says nothing; their
+        vectors stay zero.  The first is a number of texts and the second a
+        share inside each class, so that many texts of one class never hide
+        the words of a few of the other.
         """
         parts = [subwords(words[i : i + 20_000]) for i in range(0, len(words), 20_000)]
         counts = np.concatenate([np.zeros(0, dtype=np.int64), *[np.diff(np.append(starts, len(found))) for found, starts in parts]])
         buckets = np.concatenate([np.zeros(0, dtype=np.int32), *[found for found, _ in parts]])
         of_word = np.split(buckets, np.cumsum(counts)[:-1]) if len(words) else []
-        texts_with = np.zeros(BUCKETS, dtype=np.int64)
-        for own in texts:
+        texts_with = np.zeros((2, BUCKETS), dtype=np.int64)
+        for own, label in zip(texts, labels):
             if len(own):
-                texts_with[np.unique(np.concatenate([of_word[w] for w in own]))] += 1
+                texts_with[label, np.unique(np.concatenate([of_word[w] for w in own]))] += 1
         del of_word, parts
-        share = texts_with / len(texts)
-        number = np.cumsum((share >= LEAST_SHARE) & (share <= MOST_SHARE) & (texts_with > 0), dtype=np.int32)
+        everywhere = (texts_with > MOST_SHARE * np.bincount(labels, minlength=2)[:, None]).all(0)
+        number = np.cumsum((texts_with.sum(0) >= LEAST_TEXTS) & ~everywhere, dtype=np.int32)
         used = np.flatnonzero(np.diff(number, prepend=np.int32(0)))
         known = np.isin(np.arange(BUCKETS), used)[buckets]
         word_of = np.repeat(np.arange(len(words), dtype=np.int32), counts)[known]
