@@ -12,6 +12,7 @@ from tidemark.storage import small_side
 
 KEY = ["class", "feature"]
 MAX_BROADCAST_WEIGHTS = 10_000_000
+GAP_PIECE = 1 << 20  # ids one row of a gap stands for at most before they are listed
 
 
 def init_weights(spark: SparkSession, classes: int, features: int) -> DataFrame:
@@ -156,13 +157,23 @@ def weight_history(
     return summed.join(settle(weights), KEY).withColumn("value", F.col("value") + F.col("_sum") / n).drop("_sum")
 
 
-def missing_ids(df: DataFrame, id_col: str, low: int, high: int) -> DataFrame:
-    """Ids of ``[low, high]`` that ``df`` does not hold; only gaps between neighbours are filled."""
+def missing_ids(df: DataFrame, id_col: str, low: int, high: int, piece: int = GAP_PIECE) -> DataFrame:
+    """Ids of ``[low, high]`` that ``df`` does not hold; only gaps between neighbours are filled.
+
+    A gap is split into blocks of ``piece`` pieces of ``piece`` ids, and the
+    pieces are dealt out before their ids are listed, so neither an array nor
+    a task grows with a gap.
+    """
     held = df.select(F.col(id_col).cast("long").alias("_id")).filter(F.col("_id").between(low, high)).distinct()
     ends = df.sparkSession.range(1).select(F.explode(F.array(F.lit(low - 1), F.lit(high + 1)).cast("array<long>")).alias("_id"))
     next_id = running(held.union(ends).select((-F.col("_id")).alias("_down"), "_id"), [], ["_down"], {"_next": Running("last", F.col("_id"), current=False)})
-    gaps = next_id.filter("_next > _id + 1")
-    return gaps.select(F.explode(F.sequence(F.col("_id") + 1, F.col("_next") - 1)).alias(id_col))
+    gaps = next_id.filter("_next > _id + 1").select((F.col("_id") + 1).alias("_from"), (F.col("_next") - 1).alias("_to"))
+    for step in (piece * piece, piece):
+        starts = gaps.select("_to", F.explode(F.sequence("_from", "_to", F.lit(step).cast("long"))).alias("_from"))
+        # A stated number of partitions is kept: Spark would join them again, as the rows are few.
+        dealt = starts.select("_from", (F.col("_from") + F.least(F.lit(step - 1), F.col("_to") - F.col("_from"))).alias("_to"))
+        gaps = dealt.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_from")
+    return gaps.select(F.explode(F.sequence("_from", "_to")).alias(id_col))
 
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
