@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -43,7 +45,7 @@ def source_offset(source: str, seed: int = SEED) -> Column:
     return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def mix(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
+def mix(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED, ties: Sequence[str] = ()) -> DataFrame:
     """How often the mix takes each row of ``doc_id, source, size``.
 
     Inside a source, rows stand in order of size and id; row i adds
@@ -53,18 +55,19 @@ def mix(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     largest document.  Adds ``source_size, target, copies, taken``; every
     number follows from the rows and the seed, so reruns agree.  A source
     without words has target 0 and each of its rows is taken once, for 0 words.
-    Null sources are one source; repeated rows are rows of their own.
+    Null sources are one source; repeated rows are rows of their own.  ``ties``
+    are more columns of ``rows``: they order those of equal size and id, and stay.
     """
-    rows = written(rows.select("doc_id", "source", "size"), "sizes")
+    rows = written(rows.select("doc_id", "source", "size", *ties), "sizes")
     targets = written(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
-    placed = running_totals(rows, ["source"], ["size", "doc_id"])
+    placed = running_totals(rows, ["source"], ["size", "doc_id", *ties])
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
     offset = source_offset("source", seed)
     copies = F.floor(offset + each * (F.col("rank") + 1)) - F.floor(offset + each * F.col("rank"))
     named = targets.withColumnRenamed("source", "_source")
     joined = placed.join(named, placed["source"].eqNullSafe(named["_source"]))
     return joined.withColumn("copies", copies).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *ties
     )
 
 
@@ -76,13 +79,13 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: each document as often as the mix takes it.
 
-    Rows that share id, source and size are told apart by their place in text
-    order, so repeated rows are taken independently.
+    Rows that share id, source and size stand in the order of a hash of their
+    texts.  Each row is written once with a key of its own, which goes through
+    the mix in the place of the row, so no key has more than one row.
     """
-    key = F.struct("doc_id", "source", "size")  # a struct may hold nulls and still join
-    sized = docs.select(F.struct("*").alias("_row"), "doc_id", "source", count_words("text").alias("size"))
-    taken = mix(sized.drop("_row"), **options).groupBy(key.alias("_key")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
-    both = sized.select("_row", key.alias("_key")).join(taken, "_key")
-    place = F.row_number().over(Window.partitionBy("_key").orderBy("_row.text"))
-    copies = both.withColumn("_n", F.element_at("_copies", place)).filter("_n > 0")
-    return copies.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select("_row.*")
+    text = F.xxhash64(F.col("text").isNull(), "text")
+    numbered = docs.select(F.struct("*").alias("_row"), "doc_id", "source", count_words("text").alias("size"), text.alias("_text"), F.monotonically_increasing_id().alias("_key"))
+    keyed = written(numbered, "keyed")
+    taken = mix(keyed.drop("_row"), ties=("_text", "_key"), **options).filter("copies > 0").select("_key", "copies")
+    copies = keyed.select("_row", "_key").join(taken, "_key")
+    return copies.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")
