@@ -18,9 +18,10 @@ import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.llm.bpe_count import byte_symbols
 from tidemark.llm.prefix import running_totals
 from tidemark.llm.tasks import map_batches, map_stream
-from tidemark.llm.tokenizing import MAX_CACHED, PIECE, UNUSUAL, load, public_path
+from tidemark.llm.tokenizing import KNOWN, MAX_CACHED, PIECE, UNUSUAL, load, public_path
 from tidemark.storage import new_folder
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -28,7 +29,6 @@ END_ID = 0
 SEGMENT_IDS = 1 << 20  # a segment is closed at the first document end after so many ids
 MAGIC = b"DAC1"
 BLOCK = 512  # bits per directory entry
-SINGLE = re.compile(r" ?[^ \t\r\n]+")
 _encoders: dict[str, "PieceEncoder"] = {}
 
 
@@ -97,41 +97,41 @@ class Dac:
         return values
 
 
-class PieceEncoder:
+class PieceEncoder(dict):
     """Encodes whole texts with the library, each distinct piece once.
 
-    New pieces go to the library joined by line breaks.  A piece without a line
-    break or other inner white space gives the same ids there as in its text,
-    and the line break's id, which no such piece holds, tells them apart.
+    The mapping holds the ids of pieces.  A piece that is one cut of the
+    pattern goes straight to the library's merges, any other to the whole
+    library, as does a text with a special string or odd white space.
     """
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
-        self.ids: dict[str, bytes] = {}
-        (self.line_break,) = self._library("\n")
+        self.merges = self.tokenizer.model
+        self.characters = dict(enumerate(byte_symbols()))
+        names = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([UNUSUAL.pattern, *names]))
 
-    def _library(self, text: str) -> np.ndarray:
+    def _library(self, text: str) -> bytes:
         (made,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
-        return np.array(made.ids, dtype="<u4")
+        return np.array(made.ids, dtype="<u4").tobytes()
 
-    def _learn(self, pieces: set[str]) -> None:
-        plain = [p for p in pieces if SINGLE.fullmatch(p)]
-        ids = self._library("".join(["\n" + p for p in plain]))
-        for piece, own in zip(plain, np.split(ids, np.flatnonzero(ids == self.line_break))[1:]):
-            self.ids[piece] = own[1:].tobytes()
-        for piece in pieces.difference(plain):
-            self.ids[piece] = self._library(piece).tobytes()
+    def __missing__(self, piece: str) -> bytes:
+        if KNOWN.match(piece):
+            symbols = piece.encode().decode("latin-1").translate(self.characters)
+            ids = np.array([t.id for t in self.merges.tokenize(symbols)], dtype="<u4").tobytes()
+        else:
+            ids = self._library(piece)
+        self[piece] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit numbers."""
-        if UNUSUAL.search(text):
-            return self._library(text).tobytes()
-        pieces = PIECE.findall(text)
-        if len(self.ids) > MAX_CACHED:
-            self.ids.clear()
-        if new := set(pieces).difference(self.ids):
-            self._learn(new)
-        return b"".join(map(self.ids.__getitem__, pieces))
+        if self.whole.search(text):
+            return self._library(text)
+        if len(self) > MAX_CACHED:
+            self.clear()
+        return b"".join(map(self.__getitem__, PIECE.findall(text)))
 
 
 def encoder(path: str) -> PieceEncoder:
