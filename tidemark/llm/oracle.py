@@ -124,6 +124,37 @@ def _shards() -> str:
     """
 
 
+def _audit() -> str:
+    return r"""
+    WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    least AS (SELECT text, min(doc_id) AS least FROM d GROUP BY 1),
+    marks AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY 1),
+    fails AS (SELECT d.part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+          CASE WHEN len(words) < 200 THEN 'A' ELSE '' END
+          || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+          || CASE WHEN 100 * len(regexp_extract_all(d.text, '[A-Z]')) > 2 * length(d.text) THEN 'C' ELSE '' END
+          || CASE WHEN regexp_matches(d.text, '[#$%&*|]') THEN 'D' ELSE '' END
+          || CASE WHEN d.doc_id > least THEN 'E' ELSE '' END AS failed
+          FROM d JOIN least USING (text) LEFT JOIN marks ON marks.doc_id = d.doc_id),
+    g AS (SELECT part, failed, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM fails GROUP BY 1, 2),
+    orders AS (SELECT '' AS o UNION ALL SELECT o || c FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) t(c) WHERE NOT contains(o, c)),
+    steps AS (SELECT o AS filter_order, i::INT AS step, o[i] AS f, o[1:i - 1] AS ahead FROM orders, range(1, 6) r(i) WHERE length(o) = 5),
+    figures AS (SELECT part, filter_order, step, f,
+          sum(n) FILTER (WHERE failed = '' OR translate(failed, ahead || f, '') = failed) AS kept,
+          sum(n) FILTER (WHERE contains(failed, f) AND translate(failed, ahead, '') = failed) AS removed,
+          sum(n) FILTER (WHERE contains(failed, f) AND translate(failed, ahead, '') <> failed) AS redundant,
+          sum(n) FILTER (WHERE failed = f) AS unique_fails,
+          sum(good) FILTER (WHERE contains(failed, f) AND translate(failed, ahead, '') = failed) AS good_lost,
+          sum(toxic) FILTER (WHERE contains(failed, f) AND translate(failed, ahead, '') = failed) AS toxic_lost
+          FROM g, steps GROUP BY 1, 2, 3, 4)
+    SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+           coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+           coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+           (sum(coalesce(removed, 0)) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM figures
+    """
+
+
 SQL: dict[str, str] = {
     "op1_length_buckets": _packing(),
     "op3_bit_sliced_search": _search(),
@@ -131,4 +162,5 @@ SQL: dict[str, str] = {
     "op6_reply_paths": _chat(),
     "op7_byte_shards": _shards(),
     "op8_systematic_mix": _mixing(),
+    "op12_filter_audit": _audit(),
 }

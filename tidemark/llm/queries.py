@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm.bitslice import top_k
 from tidemark.llm.bpe_count import token_counts
+from tidemark.llm.bpe_prefix import round_trips
 from tidemark.llm.chat import formatted_conversations
 from tidemark.llm.cws import fingerprints
 from tidemark.llm.dac import encoded_documents
+from tidemark.llm.filter_audit import audit_filters
 from tidemark.llm.mixing import mix_documents
 from tidemark.llm.neardup import near_duplicates
 from tidemark.llm.packing import pack_documents
+from tidemark.llm.runs import periodic_runs, run_digests
 from tidemark.llm.shards import balanced_shards
 from tidemark.llm.toxicity import scored
 
@@ -66,6 +69,24 @@ def op10_weighted_samples(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints(_table(spark, sf, "documents"))
 
 
+def op11_prefix_encoding(spark: SparkSession, sf: str) -> DataFrame:
+    coded = round_trips(_table(spark, sf, "documents"))
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return audit_filters(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
+def op13_branching_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return run_digests(periodic_runs(_table(spark, sf, "documents"), plant=True))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: f for name, f in globals().items() if name.startswith("op") and callable(f)
 }
