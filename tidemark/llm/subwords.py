@@ -10,7 +10,7 @@ import numpy as np
 
 BUCKETS = 1 << 17
 SIZES = (3, 4, 5)  # characters of an n-gram
-DIMENSIONS = 2
+DIMENSIONS = 4
 ROUNDS = 60
 RATE = 0.3
 FIRM, FIRMEST = 0.02, 1e-5  # weight of the squared vectors in the loss: FIRM over the rows, FIRMEST at most
