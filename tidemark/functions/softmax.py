@@ -10,6 +10,9 @@ from collections.abc import Generator
 import numpy as np
 import pyarrow as pa
 
+MEMORY, TOLERANCE = 10, 1e-6  # steps that L-BFGS remembers; size of the gradient, in units of the loss, at which it stops
+TRIES = 20  # lengths that are tried along a direction
+
 
 def dense_block(column: pa.Array, width: int) -> np.ndarray:
     """ARRAY<number> or MAP<INT, number> column as a dense ``(rows, width)`` block."""
@@ -52,7 +55,7 @@ def loss_and_gradient(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[floa
     return loss, residual.T @ x
 
 
-def lbfgs(w: np.ndarray, iterations: int, memory: int = 10, tolerance: float = 1e-6) -> Generator:
+def lbfgs(w: np.ndarray, iterations: int, memory: int = MEMORY, tolerance: float = TOLERANCE) -> Generator:
     """L-BFGS that asks for values: yields a point, is sent ``(loss, gradient)``.
 
     Returns ``(w, losses)`` where ``losses`` starts with the loss before the
@@ -100,23 +103,46 @@ def _inverse_hessian_times(gradient: np.ndarray, steps: list) -> np.ndarray:
     return q
 
 
-def _wolfe_step(point, direction, shape, loss0, slope0, length, decrease=1e-4, curvature=0.9, tries=20):
-    """A step length that lowers the loss enough and flattens the slope enough."""
-    low, high, best = 0.0, None, None
-    for _ in range(tries):
-        loss, gradient = yield (point + length * direction).reshape(shape)
-        gradient = gradient.ravel()
-        slope = float(direction @ gradient)
-        if loss > loss0 + decrease * length * slope0:
-            high = length
+class StepLength:
+    """Searches a step length that lowers the loss enough and flattens the slope enough.
+
+    ``length`` is the one to try next; :meth:`tell` takes the loss and the slope
+    found there.
+    """
+
+    def __init__(self, loss: float, slope: float, length: float, decrease: float = 1e-4, curvature: float = 0.9):
+        self.loss, self.slope, self.length = loss, slope, length
+        self.decrease, self.curvature = decrease, curvature
+        self.low, self.high, self.least = 0.0, None, None
+
+    def tell(self, loss: float, slope: float) -> tuple[bool, bool]:
+        """Whether the length is the best so far that lowers the loss enough, and whether the search is over."""
+        better = False
+        if loss > self.loss + self.decrease * self.length * self.slope:
+            self.high = self.length
         else:
-            if best is None or loss <= best[1]:
-                best = (length, loss, gradient)
-            if abs(slope) <= -curvature * slope0:
-                return length, loss, gradient
+            better = self.least is None or loss <= self.least
+            if better:
+                self.least = loss
+            if abs(slope) <= -self.curvature * self.slope:
+                return better, True
             if slope > 0:
-                high = length
+                self.high = self.length
             else:
-                low = length
-        length = length * 1.5 if high is None else (low + high) / 2
+                self.low = self.length
+        self.length = self.length * 1.5 if self.high is None else (self.low + self.high) / 2
+        return better, False
+
+
+def _wolfe_step(point, direction, shape, loss0, slope0, length):
+    search, best = StepLength(loss0, slope0, length), None
+    for _ in range(TRIES):
+        length = search.length
+        loss, gradient = yield (point + length * direction).reshape(shape)
+        gradient = gradient.ravel()
+        better, done = search.tell(loss, float(direction @ gradient))
+        if better or done:
+            best = (length, loss, gradient)
+        if done:
+            break
     return best

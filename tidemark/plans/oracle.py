@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tidemark.plans.oracle_fit import fit
+
 MS = "epoch_us(ts)//1000"
 COEFFICIENT = "CAST(600.0000238418579 AS DOUBLE)"
 
@@ -331,3 +333,36 @@ SQL["run_report"] = _with(
     "x AS (SELECT MIN(m) AS extent FROM (SELECT run, MAX(total_seen) AS m FROM t GROUP BY run))",
 ) + f"""SELECT run, "vectorClock", total_seen, {_REPORT} FROM k JOIN t USING (run, "vectorClock"), x
     WHERE total_seen <= extent GROUP BY run, "vectorClock", total_seen"""
+
+
+def _versions(count: int, table: str = "w") -> str:
+    return " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS version, class, feature, value FROM {table}{i}" for i in range(count))
+
+
+def _fit_rounds(rounds: int, *start: str) -> str:
+    """Quality after rounds of local fits on ``v``, from the weights ``w0``."""
+    parts = [*start, "sh AS (SELECT DISTINCT shard FROM v)"]
+    for i in range(rounds):
+        parts += [f"f{i}w AS MATERIALIZED (SELECT shard, class, feature, value FROM w{i}, sh)", *fit(f"f{i}", "v", f"f{i}w")]
+        parts.append(f"""w{i + 1} AS MATERIALIZED (SELECT class, feature, w{i}.value + SUM(delta) / 4 AS value FROM w{i} JOIN f{i}fit USING (class, feature)
+            GROUP BY class, feature, w{i}.value)""")
+    scored = [
+        f"wv AS ({_versions(rounds + 1)})",
+        "z AS (SELECT version, row_id, label, class, SUM(x * value) AS z FROM v JOIN wv USING (feature) GROUP BY ALL)",
+        "pr AS (SELECT version, label, arg_max(class, (z, -class)) AS prediction FROM z GROUP BY version, row_id, label)",
+    ]
+    return _with(*parts, *scored, _quality("version")) + "SELECT * FROM q"
+
+
+_LABELLED = r"""docs AS (SELECT doc_id, text, quality FROM documents JOIN labels USING (doc_id))"""
+SQL |= {
+    "local_fit": _with(*ROUNDS_START, "fw AS (SELECT shard, class, feature, value FROM w0, (SELECT DISTINCT shard FROM e))", *fit("f", "v", "fw"))
+    + """SELECT shard, CAST(class AS INTEGER) AS class, CAST(feature AS INTEGER) AS feature, ROUND(delta, 6) AS delta, ROUND(loss, 6) AS loss, rows FROM ffit""",
+    "local_fit_rounds": _fit_rounds(3, *ROUNDS_START),
+    "text_rounds": _fit_rounds(2, _LABELLED, TOKENS,
+        """v AS MATERIALIZED (SELECT doc_id % 4 AS shard, doc_id AS row_id, quality AS label,
+            CAST(CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) % 1024 AS INTEGER) AS feature, CAST(COUNT(*) AS DOUBLE) AS x
+            FROM tok JOIN docs USING (doc_id) GROUP BY ALL
+            UNION ALL SELECT doc_id % 4, doc_id, quality, -1, 1.0 FROM docs)""",
+        "w0 AS MATERIALIZED (SELECT class, feature, CAST(0 AS DOUBLE) AS value FROM (SELECT UNNEST([0, 1]) AS class), (SELECT UNNEST(range(-1, 1024)) AS feature))"),
+}

@@ -8,6 +8,7 @@ the driver holds is the model, whose size is checked.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,9 @@ from tidemark.functions import softmax
 from tidemark.functions.columns import LOCAL_ITERATIONS, NUM_WORKERS
 from tidemark.operators.quality import f1_accuracy
 from tidemark.operators.scoring import gradient_step, gradient_sums, moment_sums, predict, predict_versions
+from tidemark.operators import weights as model
 from tidemark.operators.weights import combine, weight_arrays, weights_frame
+from tidemark.plans.table_training import fit_tables, row_vectors, train_tables
 
 MAX_GROUP_ROWS = 16_384  # a buffer is far smaller; larger groups are fitted over all executors
 
@@ -28,7 +31,7 @@ FIT_SCHEMA = "class int, feature int, delta double, loss double, rows long"
 
 def local_fit(
     examples: DataFrame,
-    weights: np.ndarray | dict[int, np.ndarray],
+    weights: np.ndarray | dict[int, np.ndarray] | DataFrame,
     iterations: int = LOCAL_ITERATIONS,
     by: str = "shard",
     *,
@@ -44,7 +47,12 @@ def local_fit(
     each.  Where a group is larger, every step of all groups is one pass over
     all rows and only gradients leave the tasks.  ``bounded=True`` skips the
     check for groups known to be buffers.
+
+    Weights given as a table, and arrays over the broadcast limit, stay tables
+    throughout; see :mod:`tidemark.plans.table_training`.
     """
+    if isinstance(weights, DataFrame) or not fits_a_process(weights):
+        return fit_tables(row_vectors(examples, by), _as_table(examples.sparkSession, weights, by), iterations, by)
     if bounded is None:
         bounded = groups_are_bounded(examples, by)
     if bounded:
@@ -52,6 +60,21 @@ def local_fit(
     return _fit_over_rows(examples, weights, iterations, by)
 
 
+def fits_a_process(weights: np.ndarray | dict[int, np.ndarray]) -> bool:
+    """All arrays together are within the broadcast limit."""
+    arrays = weights.values() if isinstance(weights, dict) else [weights]
+    return sum(a.size for a in arrays) <= model.MAX_BROADCAST_WEIGHTS
+
+
+def _as_table(spark, weights, by: str) -> DataFrame:
+    if isinstance(weights, DataFrame):
+        return weights
+    if not isinstance(weights, dict):
+        return weights_frame(spark, weights)
+    tables = [weights_frame(spark, w).withColumn(by, F.lit(g).cast("long")) for g, w in weights.items()]
+    return reduce(DataFrame.unionByName, tables)
+
+
 def groups_are_bounded(examples: DataFrame, by: str) -> bool:
     """No group is larger than one task should hold."""
     largest = examples.groupBy(by).count().agg(F.max("count")).first()[0] or 0
@@ -61,12 +84,12 @@ def groups_are_bounded(examples: DataFrame, by: str) -> bool:
 def _fit_in_tasks(examples, weights, iterations, by):
     shared = not isinstance(weights, dict)
     width = (weights if shared else next(iter(weights.values()))).shape[1] - 1
-    model = examples.sparkSession.sparkContext.broadcast(weights)
+    sent = examples.sparkSession.sparkContext.broadcast(weights)
     narrow = examples.select(F.col(by).cast("long").alias(by), F.col("label").cast("int").alias("label"), "features")
 
     def fit(key, table):
         group = int(key[0].as_py())
-        old = model.value if shared else model.value.get(group)
+        old = sent.value if shared else sent.value.get(group)
         names = [by, "class", "feature", "delta", "loss", "rows"]
         if old is None:
             types = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int64()]
@@ -160,20 +183,25 @@ def _unscale(w: np.ndarray, scale: np.ndarray) -> np.ndarray:
 
 def train_rounds(
     examples: DataFrame,
-    weights: np.ndarray,
+    weights: np.ndarray | DataFrame,
     rounds: int,
     num_workers: int = NUM_WORKERS,
     *,
     rate: float | None = None,
     iterations: int = LOCAL_ITERATIONS,
     by: str = "shard",
-) -> list[np.ndarray]:
+) -> list[np.ndarray] | list[DataFrame]:
     """Weights after 0, 1 ... ``rounds`` rounds in which all workers step together.
 
     With ``rate`` a worker takes one full-batch step, else a local fit.  Each
     round is one job and starts from plain arrays, so no lineage builds up.
+
+    Weights given as a table give tables, as do arrays over the broadcast
+    limit: no version is then held by the driver.
     """
     spark = examples.sparkSession
+    if isinstance(weights, DataFrame) or not fits_a_process(weights):
+        return train_tables(examples, _as_table(spark, weights, by), rounds, num_workers, rate=rate, iterations=iterations, by=by)
     history = [weights]
     bounded = rate is None and groups_are_bounded(examples, by)
     for _ in range(rounds):
