@@ -4,13 +4,20 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.test_model import as_array, examples_frame, random_weights
+from tests import test_model
+from tests.test_model import as_array, random_weights
 from tidemark.functions import softmax
 from tidemark.operators import weights as model
 from tidemark.operators.prep import sparse_encode
 from tidemark.plans import table_training, training
 
 
+def examples_frame(spark, n):
+    """Three groups of unlike size."""
+    x, labels, df = test_model.examples_frame(spark, n=n)
+    return x, labels, df.withColumn("shard", F.when(F.col("row_id") % 2 == 0, F.lit(0)).otherwise(F.col("row_id") % 3).cast("long"))
+
+
 def fitted(df):
     return {(r["shard"], r["class"], r["feature"]): (r["delta"], r["loss"], r["rows"]) for r in df.collect()}
 
@@ -78,3 +85,32 @@ def test_the_recursion_on_products_is_the_recursion_on_vectors():
         vectors = np.array([s for s, _ in steps] + [y for _, y in steps] + [gradient])
         mix = table_training.inverse_hessian_mix(vectors @ vectors.T, [True] * m)
         assert np.allclose(mix @ vectors, softmax._inverse_hessian_times(gradient, steps))
+
+
+def test_many_versions_over_a_limit_of_three(spark, monkeypatch):
+    """Fifty versions, three to a broadcast; then a limit that not even one fits."""
+    _, _, df = examples_frame(spark, n=40)
+    versions = {v: random_weights(seed=v) for v in range(50)}
+    want = {tuple(r) for r in training.learning_curve(df, versions).collect()}
+    sent, broadcast = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or broadcast(self, value))
+    monkeypatch.setattr(model, "MAX_BROADCAST_WEIGHTS", 3 * 28)
+    assert {tuple(r) for r in training.learning_curve(df, versions).collect()} == want
+    assert len(sent) == 17 and all(sum(w.size for w in some.values()) <= 3 * 28 for some in sent)
+    sent.clear()
+    monkeypatch.setattr(model, "MAX_BROADCAST_WEIGHTS", 10)
+    few = {v: versions[v] for v in (0, 7, 49)}
+    assert {tuple(r) for r in training.learning_curve(df, few).collect()} == {r for r in want if r[0] in few}
+    tables = {v: model.weights_frame(spark, w) for v, w in few.items()}
+    assert {tuple(r) for r in training.learning_curve(df, tables).collect()} == {r for r in want if r[0] in few}
+    assert not any(isinstance(value, dict) for value in sent)
+
+
+def test_large_groups_beyond_the_limit(spark, monkeypatch):
+    """Sums of all groups together over the limit: the fit stays in tables, with the same numbers."""
+    _, _, df = examples_frame(spark, n=60)
+    start = np.zeros((4, 7))
+    want = fitted(training.local_fit(df, start, 2, bounded=False))
+    monkeypatch.setattr(model, "MAX_BROADCAST_WEIGHTS", 3 * 28 - 1)
+    monkeypatch.setattr(training, "_fit_over_rows", None)
+    assert_same(fitted(training.local_fit(df, start, 2, bounded=False)), want)

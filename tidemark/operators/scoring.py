@@ -5,20 +5,23 @@ Two forms of each:
 * table form (``margins``, ``softmax_gradient``): features joined with weights,
   for sparse rows and for models of any size;
 * block form (``predict``, ``gradient_sums``): rows stay where they are, the
-  weights travel to them after a check of their size, and every task sends
-  back one partial sum per shard and key.
+  weights travel to them, and every task sends back one partial sum per shard
+  and key.  ``predict`` takes the table form beyond the broadcast limit.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions import softmax
-from tidemark.storage import small_side
+from tidemark.operators import weights as model
+from tidemark.operators.prep import long_vectors
+from tidemark.storage import small_side, written
 
 ROWS_PER_BLOCK, BLOCK_VALUES = 4096, 4_194_304  # a dense block holds at most so many rows and values
 FLUSH_VALUES = 4_000_000  # partial sums one task holds before it passes them on
@@ -111,28 +114,43 @@ def row_blocks(batch: pa.RecordBatch, width: int):
         yield batch.slice(start, rows)
 
 
-def predict(examples: DataFrame, weights: np.ndarray, keep: Sequence[str] = ("row_id", "label")) -> DataFrame:
-    """Predicted class of every row, without moving rows."""
-    width = weights.shape[1] - 1
-    model = examples.sparkSession.sparkContext.broadcast(weights)
-    narrow = examples.select(*keep, "features")
-
-    def score(batches):
-        for batch in batches:
-            for part in row_blocks(batch, width):
-                x = softmax.with_bias(softmax.dense_block(part.column("features"), width))
-                best = softmax.margins(x, model.value).argmax(axis=1).astype(np.int32)
-                columns = [part.column(c) for c in keep]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(best)], names=[*keep, "prediction"])
-
-    fields = ", ".join(f"`{c}` {examples.schema[c].dataType.simpleString()}" for c in keep)
-    return narrow.mapInArrow(score, f"{fields}, prediction int")
+def predict(examples: DataFrame, weights: np.ndarray | DataFrame, keep: Sequence[str] = ("row_id", "label")) -> DataFrame:
+    """Predicted class of every row, without moving rows; weights given as a table, or over the limit, are joined."""
+    return predict_versions(examples, {0: weights}, keep).drop("version")
 
 
 def predict_versions(
-    examples: DataFrame, versions: dict[int, np.ndarray], keep: Sequence[str] = ("row_id", "label")
+    examples: DataFrame, versions: Mapping[int, np.ndarray | DataFrame], keep: Sequence[str] = ("row_id", "label")
 ) -> DataFrame:
-    """Predictions under several versions of the weights in one pass over the rows."""
+    """Predictions under several versions of the weights: ``version``, the ``keep`` columns and ``prediction``.
+
+    The product of rows and versions is made block by block.  Arrays go to the
+    rows, as many versions in one pass as the broadcast limit takes; no
+    broadcast grows with their number.  A version that is a table, or an array
+    over the limit, is joined to the rows by feature, and margins are added up
+    over the features.  Versions must have one width.
+    """
+    passes: list[dict[int, np.ndarray]] = []
+    tables: dict[int, DataFrame] = {}
+    held = 0
+    for version, weights in versions.items():
+        if isinstance(weights, DataFrame):
+            tables[version] = weights
+        elif weights.size > model.MAX_BROADCAST_WEIGHTS:
+            tables[version] = model.weights_frame(examples.sparkSession, weights)
+        else:
+            if not passes or held + weights.size > model.MAX_BROADCAST_WEIGHTS:
+                passes.append({})
+                held = 0
+            passes[-1][version] = weights
+            held += weights.size
+    parts = [_predict_in_place(examples, some, keep) for some in passes]
+    if tables:
+        parts.append(_predict_by_join(examples, tables, keep))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _predict_in_place(examples, versions, keep) -> DataFrame:
     width = next(iter(versions.values())).shape[1] - 1
     models = examples.sparkSession.sparkContext.broadcast(versions)
     narrow = examples.select(*keep, "features")
@@ -147,8 +165,22 @@ def predict_versions(
                     columns = [part.column(c) for c in keep]
                     yield pa.RecordBatch.from_arrays([number, *columns, pa.array(best)], names=["version", *keep, "prediction"])
 
-    fields = ", ".join(f"`{c}` {examples.schema[c].dataType.simpleString()}" for c in keep)
-    return narrow.mapInArrow(score, f"version long, {fields}, prediction int")
+    return narrow.mapInArrow(score, f"version long, {_fields(examples, keep)}, prediction int")
+
+
+def _predict_by_join(examples, versions, keep) -> DataFrame:
+    """Each row is numbered and written once, so that its features find together again."""
+    numbered = written(examples.select(*keep, "features", F.monotonically_increasing_id().alias("_row")), "rows")
+    vectors = long_vectors(numbered, "_row", bias=True)
+    parts = []
+    for version, weights in versions.items():
+        z = margin_arrays(vectors, weights, "_row", keep=())
+        parts.append(z.select("_row", F.lit(version).cast("long").alias("version"), best_class("z").alias("prediction")))
+    return numbered.drop("features").join(reduce(DataFrame.unionByName, parts), "_row").select("version", *keep, "prediction")
+
+
+def _fields(examples: DataFrame, keep: Sequence[str]) -> str:
+    return ", ".join(f"`{c}` {examples.schema[c].dataType.simpleString()}" for c in keep)
 
 
 def _sums_per_group(examples: DataFrame, by: str, width: int, models, measure, measures: Sequence[str]) -> DataFrame:
@@ -159,7 +191,7 @@ def _sums_per_group(examples: DataFrame, by: str, width: int, models, measure, m
     its own rows first and sends one array per group.
     """
     shared = not isinstance(models, dict)
-    model = examples.sparkSession.sparkContext.broadcast(models)
+    sent = examples.sparkSession.sparkContext.broadcast(models)
     narrow = examples.select(F.col(by).cast("long").alias(by), F.col("label").cast("int").alias("label"), "features")
     names = [by, "class", "feature", *measures, "loss", "rows"]
 
@@ -177,7 +209,7 @@ def _sums_per_group(examples: DataFrame, by: str, width: int, models, measure, m
                 labels = part.column("label").to_numpy(zero_copy_only=False)
                 x = softmax.with_bias(softmax.dense_block(part.column("features"), width))
                 for group in np.unique(groups):
-                    w = model.value if shared else model.value.get(int(group))
+                    w = sent.value if shared else sent.value.get(int(group))
                     if w is None and not shared:
                         continue
                     pick = groups == group

@@ -1,13 +1,13 @@
 """Local fits, synchronous rounds and evaluation of a shared model.
 
 Rows never move between rounds: every round is one Spark job that sends the
-weights to the rows and brings one partial sum per shard and key back.  What
-the driver holds is the model, whose size is checked.
+weights to the rows and brings one partial sum per shard and key back.  The
+driver holds the model up to a limit; beyond it weights are tables.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 import numpy as np
@@ -48,8 +48,8 @@ def local_fit(
     all rows and only gradients leave the tasks.  ``bounded=True`` skips the
     check for groups known to be buffers.
 
-    Weights given as a table, and arrays over the broadcast limit, stay tables
-    throughout; see :mod:`tidemark.plans.table_training`.
+    Weights given as a table, arrays over the broadcast limit, and large groups
+    whose sums together would be over it, stay tables throughout; see :mod:`tidemark.plans.table_training`.
     """
     if isinstance(weights, DataFrame) or not fits_a_process(weights):
         return fit_tables(row_vectors(examples, by), _as_table(examples.sparkSession, weights, by), iterations, by)
@@ -57,6 +57,9 @@ def local_fit(
         bounded = groups_are_bounded(examples, by)
     if bounded:
         return _fit_in_tasks(examples, weights, iterations, by)
+    size = (next(iter(weights.values())) if isinstance(weights, dict) else weights).size
+    if examples.agg(F.count_distinct(by)).first()[0] * size > model.MAX_BROADCAST_WEIGHTS:
+        return fit_tables(row_vectors(examples, by), _as_table(examples.sparkSession, weights, by), iterations, by)
     return _fit_over_rows(examples, weights, iterations, by)
 
 
@@ -153,7 +156,7 @@ def _fit_over_rows(examples, weights, iterations, by):
 
 
 def _arrays(sums: DataFrame, by: str, shape: tuple[int, int], names: Sequence[str]) -> dict[int, tuple[list[np.ndarray], float, int]]:
-    """Arrays, loss and rows per group; one model-sized array per group comes to the driver."""
+    """Arrays, loss and rows per group; one model-sized array per group comes to the driver, within its limit."""
     rows = sums.toArrow()
     groups, c, f, loss, n = (rows[k].to_numpy() for k in (by, "class", "feature", "loss", "rows"))
     out = {}
@@ -196,11 +199,11 @@ def train_rounds(
     With ``rate`` a worker takes one full-batch step, else a local fit.  Each
     round is one job and starts from plain arrays, so no lineage builds up.
 
-    Weights given as a table give tables, as do arrays over the broadcast
-    limit: no version is then held by the driver.
+    Weights given as a table give tables, as do arrays whose versions together
+    are over the broadcast limit: none is then held by the driver.
     """
     spark = examples.sparkSession
-    if isinstance(weights, DataFrame) or not fits_a_process(weights):
+    if isinstance(weights, DataFrame) or (rounds + 1) * weights.size > model.MAX_BROADCAST_WEIGHTS:
         return train_tables(examples, _as_table(spark, weights, by), rounds, num_workers, rate=rate, iterations=iterations, by=by)
     history = [weights]
     bounded = rate is None and groups_are_bounded(examples, by)
@@ -214,13 +217,13 @@ def train_rounds(
     return history
 
 
-def evaluate(test: DataFrame, weights: np.ndarray, by: Sequence[str] = ()) -> DataFrame:
+def evaluate(test: DataFrame, weights: np.ndarray | DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Weighted F1 and accuracy of one version of the weights, without fitting."""
     return f1_accuracy(predict(test, weights, ("label", *by)), by)
 
 
-def learning_curve(test: DataFrame, versions: dict[int, np.ndarray]) -> DataFrame:
-    """F1 and accuracy of several versions; the test rows are read once for all."""
+def learning_curve(test: DataFrame, versions: Mapping[int, np.ndarray | DataFrame]) -> DataFrame:
+    """F1 and accuracy of several versions; the test rows are read once for as many as fit the broadcast limit."""
     return f1_accuracy(predict_versions(test, versions, ("label",)), ["version"])
 
 
