@@ -103,6 +103,35 @@ def _inverse_hessian_times(gradient: np.ndarray, steps: list) -> np.ndarray:
     return q
 
 
+def scale_of(sums: np.ndarray, squares: np.ndarray, n: int) -> np.ndarray:
+    """Sample deviation per feature, 1 for the intercept, 0 for a constant feature."""
+    if n < 2:
+        scale = np.ones_like(sums)
+    else:
+        variance = (squares - sums * sums / n) / (n - 1)
+        scale = np.sqrt(np.where(variance > 1e-12 * np.maximum(1.0, squares / n), variance, 0.0))
+    scale[0] = 1.0
+    return scale
+
+
+def unscale(w: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.divide(w, scale, out=np.zeros_like(w), where=scale > 0)
+
+
+def fit_block(x: np.ndarray, y: np.ndarray, old: np.ndarray, iterations: int) -> tuple[np.ndarray, float]:
+    """New minus old weights after L-BFGS steps on one block of rows, and the mean loss at the end."""
+    scale = scale_of(x.sum(axis=0), (x * x).sum(axis=0), len(y))
+    steps = lbfgs(old * scale, iterations)
+    point = next(steps)
+    while True:
+        loss, gradient = loss_and_gradient(x, y, unscale(point, scale))
+        try:
+            point = steps.send((loss / len(y), unscale(gradient, scale) / len(y)))
+        except StopIteration as done:
+            new, losses = done.value
+            return np.where(scale > 0, unscale(new, scale) - old, 0.0), losses[-1]
+
+
 class StepLength:
     """Searches a step length that lowers the loss enough and flattens the slope enough.
 

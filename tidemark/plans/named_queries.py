@@ -726,8 +726,15 @@ def reference_model(spark, sf):
 
 @query
 def stream_adaptive_buffer(spark, sf):
-    """`events` read as a stream; what the stateful buffer did at each arrival."""
-    return stream_buffer.run_on_events(spark, sf, WORKERS, *BUFFER)
+    """`events` read as a stream of ten micro-batches or more; what the stateful buffer did at each arrival."""
+    return stream_buffer.run_on_events(spark, sf, WORKERS, *BUFFER)[0]
+
+
+@query
+def stream_buffer_contents(spark, sf):
+    """What the stateful buffer holds after all micro-batches, read from the stream's own state."""
+    held = stream_buffer.run_on_events(spark, sf, WORKERS, *BUFFER)[1]
+    return held.select("id", "shard", "insertion_id", r6("value").alias("value"))
 
 
 @query

@@ -280,6 +280,8 @@ SQL: dict[str, str] = {
         _quality("version")) + "SELECT * FROM q",
     # streams: the same answers as their batch twins
     "stream_adaptive_buffer": _with(*BUFFER) + OCCUPANCY_ROWS,
+    "stream_buffer_contents": _with(*BUFFER) + """SELECT o.id, o.shard, o.n AS insertion_id, ROUND(o.value, 6) AS value FROM o JOIN
+        (SELECT shard, MAX(n) AS n, arg_max(occupancy, n) AS b FROM o GROUP BY shard) l USING (shard) WHERE o.n > l.n - l.b""",
     "stream_arrival_rate": _with(ARRIVALS) + "SELECT shard, t_ms // 3600000 * 3600000 AS window_ms, COUNT(*) AS rows FROM a GROUP BY ALL",
     "stream_deduped_deltas": "SELECT user_id % 4 AS worker, event_id AS clock FROM events",
 }

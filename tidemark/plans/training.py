@@ -99,21 +99,11 @@ def _fit_in_tasks(examples, weights, iterations, by):
             return pa.table([pa.array([], t) for t in types], names=names)
         x = softmax.with_bias(softmax.dense_block(table.column("features"), width))
         y = table.column("label").to_numpy()
-        scale = _scale(x.sum(axis=0), (x * x).sum(axis=0), len(y))
-        steps = softmax.lbfgs(old * scale, iterations)
-        point = next(steps)
-        while True:
-            loss, gradient = softmax.loss_and_gradient(x, y, _unscale(point, scale))
-            try:
-                point = steps.send((loss / len(y), _unscale(gradient, scale) / len(y)))
-            except StopIteration as done:
-                new, losses = done.value
-                break
-        delta = np.where(scale > 0, _unscale(new, scale) - old, 0.0)
+        delta, loss = softmax.fit_block(x, y, old, iterations)
         c, f = (a.ravel().astype(np.int32) for a in np.indices(delta.shape))
         size = delta.size
         return pa.table(
-            [np.full(size, group, np.int64), c, f - 1, delta.ravel(), np.full(size, losses[-1]), np.full(size, len(y), np.int64)],
+            [np.full(size, group, np.int64), c, f - 1, delta.ravel(), np.full(size, loss), np.full(size, len(y), np.int64)],
             names=names,
         )
 
@@ -129,19 +119,19 @@ def _fit_over_rows(examples, weights, iterations, by):
     scales, steps, points, done = {}, {}, {}, {}
     for group in old.keys() & moments.keys():
         (total, squares), _, n = moments[group]
-        scales[group] = _scale(total[0], squares[0], n)
+        scales[group] = softmax.scale_of(total[0], squares[0], n)
         steps[group] = softmax.lbfgs(old[group] * scales[group], iterations)
         points[group] = next(steps[group])
     while points:
-        asked = {g: _unscale(p, scales[g]) for g, p in points.items()}
+        asked = {g: softmax.unscale(p, scales[g]) for g, p in points.items()}
         answers = _arrays(gradient_sums(examples, asked, by), by, shape, ("gradient",))
         for group in list(points):
             (gradient,), loss, n = answers[group]
             try:
-                points[group] = steps[group].send((loss / n, _unscale(gradient, scales[group]) / n))
+                points[group] = steps[group].send((loss / n, softmax.unscale(gradient, scales[group]) / n))
             except StopIteration as stop:
                 new, losses = stop.value
-                delta = np.where(scales[group] > 0, _unscale(new, scales[group]) - old[group], 0.0)
+                delta = np.where(scales[group] > 0, softmax.unscale(new, scales[group]) - old[group], 0.0)
                 done[group] = (delta, losses[-1], n)
                 del points[group]
     c, f = (a.ravel().astype(np.int32) for a in np.indices(shape))
@@ -169,21 +159,6 @@ def _arrays(sums: DataFrame, by: str, shape: tuple[int, int], names: Sequence[st
     return out
 
 
-def _scale(sums: np.ndarray, squares: np.ndarray, n: int) -> np.ndarray:
-    """Sample deviation per feature, 1 for the intercept, 0 for a constant feature."""
-    if n < 2:
-        scale = np.ones_like(sums)
-    else:
-        variance = (squares - sums * sums / n) / (n - 1)
-        scale = np.sqrt(np.where(variance > 1e-12 * np.maximum(1.0, squares / n), variance, 0.0))
-    scale[0] = 1.0
-    return scale
-
-
-def _unscale(w: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    return np.divide(w, scale, out=np.zeros_like(w), where=scale > 0)
-
-
 def train_rounds(
     examples: DataFrame,
     weights: np.ndarray | DataFrame,

@@ -5,6 +5,9 @@ Both have the schema ``key LONG, value STRING``.
 
 from __future__ import annotations
 
+import math
+import time
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -64,6 +67,30 @@ def write_messages(
     return writer.format("parquet").option("path", f"{folder}/{name}").start()
 
 
+def write_in_order(rows: DataFrame, order: list[str], folder: str, rows_per_file: int = 250_000, least_files: int = 1) -> int:
+    """Write ``rows`` as files that follow each other in ``order``; the number of files.
+
+    A file stream takes files by age, so with ``maxFilesPerTrigger`` of 1 its
+    micro-batches follow the order and none holds more than a file: the rows
+    of one key are never together in one task but for that many.  Files get
+    their place by their time of change, one second apart, so the store has to
+    keep such times.
+    """
+    files = max(least_files, math.ceil(rows.count() / rows_per_file))
+    rows.repartitionByRange(files, *order).sortWithinPartitions(*order).write.parquet(folder)
+    spark = rows.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(str(f.getPath()) for f in store.listStatus(path) if f.getPath().getName().startswith("part-"))
+    first = int(time.time() - len(names)) * 1000
+    for place, name in enumerate(names):
+        file = spark._jvm.org.apache.hadoop.fs.Path(name)
+        store.setTimes(file, first + 1000 * place, -1)
+        if store.getFileStatus(file).getModificationTime() != first + 1000 * place:
+            raise RuntimeError(f"{folder} does not keep the times of files")
+    return len(names)
+
+
 def append_messages(messages: DataFrame, name: str, folder: str) -> None:
     """Publish a finite set of messages to a folder stream."""
     messages.select(F.col("key").cast("long").alias("key"), "value").write.mode("append").parquet(f"{folder}/{name}")

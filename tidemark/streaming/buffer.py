@@ -12,7 +12,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tidemark.functions.columns import BUFFER_COEFFICIENT, DEFAULT_GAP_MS, GAP_HISTORY, MAX_BUFFER, MIN_BUFFER, epoch_ms
 from tidemark.operators.prep import shard_rows
 from tidemark.operators.runlog import latest
-from tidemark.storage import new_folder
+from tidemark.sources.streams import write_in_order
+from tidemark.storage import new_folder, written
 from tidemark.streaming.replay import rocksdb_state, table_stream
 
 OUTPUT = "shard long, id long, t_ms long, n long, target long, occupancy long, evicted_from long, evicted_to long"
@@ -21,8 +22,10 @@ OUTPUT = "shard long, id long, t_ms long, n long, target long, occupancy long, e
 class BufferProcessor(StatefulProcessor):
     """State per shard: counters, the last arrival times and the rows in the buffer.
 
-    The rows of one micro-batch are put in ``(t_ms, id)`` order; bound the
-    micro-batch at the source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).
+    The rows of one micro-batch are put in ``(t_ms, id)`` order, so a task holds
+    a shard's part of one micro-batch, which is bounded at the source:
+    ``maxOffsetsPerTrigger``, or ``maxFilesPerTrigger`` over files that
+    :func:`tidemark.sources.streams.write_in_order` made.
     """
 
     def __init__(self, low: int, high: int, coefficient: float, history: int, payload: str):
@@ -34,7 +37,11 @@ class BufferProcessor(StatefulProcessor):
         self.rows = handle.getMapState("rows", "insertion_id long", f"id long, t_ms long, {self.payload}")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(["t_ms", "id"], kind="stable").reset_index(drop=True)
+        yield self.take_in(key[0], pd.concat(list(rows), ignore_index=True))
+
+    def take_in(self, shard: int, new: pd.DataFrame) -> pd.DataFrame:
+        """Put rows into the buffer; what each of them did there."""
+        new = new.sort_values(["t_ms", "id"], kind="stable").reset_index(drop=True)
         n0, floor0 = self.counters.get() if self.counters.exists() else (0, np.iinfo(np.int64).max)
         earlier = np.array([r[0] for r in self.times.get()], dtype=np.int64)
         times = np.concatenate([earlier, new["t_ms"].to_numpy(np.int64)])
@@ -44,7 +51,7 @@ class BufferProcessor(StatefulProcessor):
         released = np.maximum(0, -floor)
         out = pd.DataFrame(
             {
-                "shard": key[0],
+                "shard": shard,
                 "id": new["id"],
                 "t_ms": new["t_ms"],
                 "n": n,
@@ -62,7 +69,7 @@ class BufferProcessor(StatefulProcessor):
             self.rows.updateValue((number,), tuple(row))
         self.counters.update((int(n[-1]), int(floor[-1])))
         self.times.put([(int(t),) for t in times[-(self.history + 1):]])
-        yield out
+        return out
 
     def _targets(self, times: np.ndarray) -> np.ndarray:
         place = np.arange(len(times))
@@ -109,14 +116,31 @@ def arrival_rate_stream(stream: DataFrame, minutes: int = 1, watermark: str | No
     return rows.groupBy("shard", F.window("ts", f"{minutes} minutes").alias("w")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def run_on_events(spark: SparkSession, sf: str, workers: int, low: int, high: int, coefficient: float) -> DataFrame:
-    events = table_stream(spark, sf, "events").select(F.col("event_id").alias("id"), epoch_ms("ts").alias("t_ms"), "value")
+def buffered_rows(spark: SparkSession, checkpoint: str, batch: int | None = None) -> DataFrame:
+    """What the buffers of a query held after its last (or the given) micro-batch, read from its checkpoint.
+
+    ``shard, insertion_id, id, t_ms`` and the payload columns.
+    """
+    reader = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "rows")
+    if batch is not None:
+        reader = reader.option("batchId", batch)
+    return reader.load().select("key.shard", "user_map_key.insertion_id", "user_map_value.*")
+
+
+def run_on_events(spark: SparkSession, sf: str, workers: int, low: int, high: int, coefficient: float, least_batches: int = 10) -> tuple[DataFrame, DataFrame]:
+    """The stateful buffer over `events` in many bounded micro-batches: what it did at each arrival, and what it holds."""
+    events = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("id"), epoch_ms("ts").alias("t_ms"), "value")
     folder = new_folder(spark, "buffer")
+    write_in_order(shard_rows(events, "id", workers), ["t_ms", "id"], f"{folder}/in", least_files=least_batches)
+    schema = "id long, t_ms long, value double, shard long"
     with rocksdb_state(spark):
-        out = adaptive_buffer(shard_rows(events, "id", workers), low, high, coefficient)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        out = adaptive_buffer(stream, low, high, coefficient)
         sink = out.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")
         sink.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(OUTPUT).parquet(f"{folder}/rows").select("id", "shard", "n", "target", "occupancy")
+        held = written(buffered_rows(spark, f"{folder}/checkpoint"), "held")
+    done = spark.read.schema(OUTPUT).parquet(f"{folder}/rows").select("id", "shard", "n", "target", "occupancy")
+    return done, held.select("id", "shard", "insertion_id", "value")
 
 
 def rate_on_events(spark: SparkSession, sf: str, workers: int, minutes: int) -> DataFrame:
