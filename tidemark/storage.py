@@ -43,7 +43,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder; what follows starts from the copy, also after a lost executor."""
     folder = new_folder(df.sparkSession, name)
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    copy = df.sparkSession.read.schema(df.schema).parquet(folder)
+    copy._folder = folder
+    return copy
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove the copies that :func:`written` made of ``tables``, once nothing that is still to run reads them.
+
+    What was worked out from them must have been written itself, as a lost
+    executor makes Spark read their files again.
+    """
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._folder)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship_package(spark: SparkSession) -> None:
