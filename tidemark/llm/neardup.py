@@ -34,13 +34,14 @@ from pyspark.sql.window import Window
 
 from tidemark.llm.components import components
 from tidemark.llm.shingles import shingle_sets
-from tidemark.llm.tasks import map_batches
-from tidemark.storage import written
+from tidemark.llm.tasks import ROWS, map_batches, map_stream
+from tidemark.storage import dropped, written
 
 WIDTH, PERCENT = 5, 80
 SKETCH = 32
 LONG = 32
 LOST = 1e-8
+HUB_PAIRS = 256  # pairs of one text that are compared in one piece
 
 
 def agreeing(k: int, percent: int) -> int:
@@ -87,7 +88,9 @@ def lists(sets: DataFrame, needed: Column) -> DataFrame:
     """
     rows = sets.select("id", "n", F.explode("values").alias("v"))
     counts = rows.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    shared = rows.join(counts, "v").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held"))
+    # Dealt to a stated number of tasks: few bytes here become many rows below, which Spark would leave to few tasks.
+    dealt = rows.join(counts, "v").repartition(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    shared = dealt.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held"))
     # Of all values the rarest but ``needed - 1`` are listed; those that no other text has are the rarest and need no list.
     most = F.size("held") - needed + 1
     common = F.size(F.filter("held", lambda h: h["df"] > LONG)).cast("long")
@@ -112,10 +115,11 @@ def hub_pairs(entries: DataFrame, percent: int) -> DataFrame:
     return ordered(both.filter((F.col("id") != F.col("b")) & near_size("n", "m", percent)).select(F.col("id").alias("a"), "b"))
 
 
-def crossing_pairs(entries: DataFrame, percent: int, long: bool) -> DataFrame:
+def crossing_pairs(entries: DataFrame, percent: int, long: bool) -> tuple[DataFrame, DataFrame]:
     """Pairs of a list that lie in different components; at least one lies outside the list's largest.
 
     Texts of ``long`` lists share many of them; a pair is made in the first.
+    Also gives the written table that the pairs come from.
     """
     if long:
         entries = entries.join(entries.groupBy("id").agg(F.collect_list("v").alias("held")), "id")
@@ -132,7 +136,7 @@ def crossing_pairs(entries: DataFrame, percent: int, long: bool) -> DataFrame:
         most = F.least("h", "g")
         meet = meet & (most * 100 >= (F.col("n") + F.col("m") - most) * percent)
         meet = meet & (F.array_min(F.array_intersect("held_a", "held_b")) == one["v"])
-    return ordered(one.join(other, (one["v"] == other["v"]) & meet).select("a", "b"))
+    return ordered(one.join(other, (one["v"] == other["v"]) & meet).select("a", "b")), split
 
 
 def promising(pairs: DataFrame, reps: DataFrame, percent: int, k: int) -> DataFrame:
@@ -148,22 +152,48 @@ def promising(pairs: DataFrame, reps: DataFrame, percent: int, k: int) -> DataFr
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full sets, made anew from the texts, reach the threshold."""
-    pairs = written(pairs, "pairs")
-    both = pairs.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-
-    def work(batch):
-        ones = shingle_sets(batch.column("text_a").to_pylist(), width)
-        others = shingle_sets(batch.column("text_b").to_pylist(), width)
-        keep = []
-        for x, y in zip(ones, others):
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * common >= percent * (len(x) + len(y) - common))
-        keep = np.array(keep, dtype=bool)
-        return {c: np.asarray(batch.column(c))[keep] for c in ("a", "b")}
+    """The pairs whose full sets, made anew from the texts, reach the threshold.
 
-    return written(map_batches(both, work, "a long, b long").distinct(), "links")
+    Of a pair, the text with more pairs is the hub.  A hub's pairs are dealt
+    into pieces of ``HUB_PAIRS``; its text goes to each piece once, ahead of
+    the others, so neither a task nor the copies of a text grow with a hub.
+    """
+    pairs = written(pairs, "pairs")
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+    degrees = written(ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree")), "degrees")
+    side = lambda x: degrees.select(F.col("id").alias(x), F.col("degree").alias(f"d_{x}"))
+    a_leads = (F.col("d_a") > F.col("d_b")) | ((F.col("d_a") == F.col("d_b")) & (F.col("a") < F.col("b")))
+    hub, other = F.when(a_leads, F.col("a")).otherwise(F.col("b")), F.when(a_leads, F.col("b")).otherwise(F.col("a"))
+    piece = F.pmod(F.xxhash64("id"), F.ceil(F.col("degree") / HUB_PAIRS))
+    led = pairs.join(side("a"), "a").join(side("b"), "b").select(hub.alias("hub"), other.alias("id"), F.greatest("d_a", "d_b").alias("degree"))
+    led = led.select("hub", piece.alias("piece"), F.lit(1).alias("place"), "id")
+    heads = led.select("hub", "piece").distinct().select("hub", "piece", F.lit(0).alias("place"), F.col("hub").alias("id"))
+    rows = heads.union(led).join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
+    dealt = rows.repartition("hub", "piece").sortWithinPartitions("hub", "piece", "place")
+
+    def work(batches):
+        key, hubs = None, {}  # an id whose rows differ has several sets
+        for part in (batch.slice(at, ROWS) for batch in batches for at in range(0, batch.num_rows, ROWS)):
+            found = {"a": [], "b": []}
+            sets = shingle_sets(part.column("text").to_pylist(), width)
+            for first, piece, place, other, own in zip(*(part.column(c).to_pylist() for c in ("hub", "piece", "place", "id")), sets):
+                if key != (first, piece):
+                    key, hubs = (first, piece), {}
+                if place == 0:
+                    hubs[own.tobytes()] = own
+                elif any(_alike(known, own, percent) for known in hubs.values()):
+                    found["a"].append(min(first, other))
+                    found["b"].append(max(first, other))
+            yield found
+
+    links = written(map_stream(dealt.select("hub", "piece", "place", "id", "text"), work, "a long, b long").distinct(), "links")
+    dropped(pairs, degrees)
+    return links
+
+
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
 
 def labelled(entries: DataFrame, labels: DataFrame) -> DataFrame:
@@ -179,7 +209,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     fewer than ``width`` words is one shingle; null and blank texts have an
     empty set and no links.  ``component_id`` is the smallest id reachable.
     Rows of one id count as one document.  A row without an id stands alone
-    (``component_id`` null, ``kept`` true).  Other columns play no part.
+    (``component_id`` null, ``kept`` true).  An empty table gives no rows.
+    Other columns play no part.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     features = written(sketches(docs, width, k), "sketches")
@@ -207,17 +238,16 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
     pairs = ordered(hub_pairs(short, percent).union(hub_pairs(long, percent)))
     links = confirmed(promising(pairs, reps, percent, k), named, width, percent)
-    labels = components(links)
-    more = ordered(
-        crossing_pairs(labelled(short, labels), percent, long=False).union(crossing_pairs(labelled(long, labels), percent, long=True))
-    )
-    more_links = confirmed(promising(more, reps, percent, k), named, width, percent)
+    labels, early = components(links)
+    (few, split), (many, split_long) = (crossing_pairs(labelled(rows, labels), percent, long=rows is long) for rows in (short, long))
+    more_links = confirmed(promising(ordered(few.union(many)), reps, percent, k), named, width, percent)
 
     # An id whose rows have different sets ties their classes together.
     twice = features.filter("doc_id is not null").groupBy("doc_id").agg((F.min("digest") != F.max("digest")).alias("differ")).filter("differ")
     ties = features.join(twice, "doc_id", "left_semi").join(reps.select("digest", "id"), "digest")
     ties = ties.filter("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    labels = components(links.union(more_links).union(ties))
+    labels, _ = components(links.union(more_links).union(ties))
+    dropped(first, named, second, short, early, split, split_long, links, more_links)
 
     found = features.select("doc_id", "n", "digest").join(reps.select("digest", "id"), "digest", "left")
     joined = found.withColumn("id", F.coalesce("id", "doc_id")).join(labels, "id", "left")
@@ -230,7 +260,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """One row of each component, with all its columns: the one of the smallest id, of rows of that id the first in text order.
 
-    Rows without an id or without words stay.
+    Rows without an id or without words stay; of equal rows of one id one stays.
+    An empty table stays empty.
     """
     kept = near_duplicates(docs, **options).filter("kept and doc_id is not null").groupBy("doc_id").agg(F.max("n_shingles").alias("_n"))
     rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"))
