@@ -177,8 +177,10 @@ def top_k(vectors: DataFrame, queries: Column, k: int = K, scale: int = SCALE, i
     block of the index; a task keeps k rows per query, and these are ranked
     over all tasks.  A query's candidates are all rows of its width but those
     of its own id; repeated rows are candidates of their own, repeated query
-    ids count once (the smallest vector).  Ties go to the smaller id.  Returns
-    ``query_id, rank, vec_id, score``.
+    ids count once (the smallest vector).  Ties go to the smaller id.  Vectors
+    that are null, empty or hold a null or non-finite component and rows without
+    an id take no part; an empty table gives no rows.  Returns ``query_id, rank,
+    vec_id, score``.
     """
     rows = quantised(vectors, id_col, vector_col, scale)
     index = written(blocks(rows, BLOCK), "index")

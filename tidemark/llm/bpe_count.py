@@ -152,7 +152,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIM
 
     ``vocabulary`` names a public vocabulary file or is a path.  A null text is
     empty: no bytes, no tokens.  Ids may be null or repeat; every row gives a
-    row, and other columns play no part.
+    row, an empty table none, and other columns play no part.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
 

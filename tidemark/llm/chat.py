@@ -87,7 +87,8 @@ def format_chats(messages: DataFrame, branches: int = BRANCHES) -> DataFrame:
     columns play no part.  A turn is an opening mark with its role, the escaped
     text and a closing mark; a null text is empty, a null role stays null.
     Returns ``conv_id, leaf_id, rank, formatted`` and ``loss``, the spans
-    (start from 0 and length, in characters) of the assistant's texts.
+    (start from 0 and length, in characters) of the assistant's texts; no
+    messages, no rows.
     """
     paths = chosen_paths(messages, branches)
     said = messages.select(F.col("conv_id").alias("_c"), F.col("msg_id").alias("_m"), "role", "text")

@@ -55,7 +55,8 @@ def mix(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     largest document.  Adds ``source_size, target, copies, taken``; every
     number follows from the rows and the seed, so reruns agree.  A source
     without words has target 0 and each of its rows is taken once, for 0 words.
-    Null sources are one source; repeated rows are rows of their own.  ``ties``
+    Null sources are one source; repeated rows are rows of their own; no rows
+    give none.  ``ties``
     are more columns of ``rows``: they order those of equal size and id, and stay.
     """
     rows = written(rows.select("doc_id", "source", "size", *ties), "sizes")
@@ -81,7 +82,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     Rows that share id, source and size stand in the order of a hash of their
     texts.  Each row is written once with a key of its own, which goes through
-    the mix in the place of the row, so no key has more than one row.
+    the mix in the place of the row, so no key has more than one row.  Null and
+    blank texts have no words and come once where their source has none, else
+    as often as their place in it says.  All columns stay, whatever they are
+    called; an empty table stays empty.
     """
     text = F.xxhash64(F.col("text").isNull(), "text")
     numbered = docs.select(F.struct("*").alias("_row"), "doc_id", "source", count_words("text").alias("size"), text.alias("_text"), F.monotonically_increasing_id().alias("_key"))

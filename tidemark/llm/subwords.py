@@ -90,7 +90,8 @@ class _Sums:
 class SubwordSoftmax:
     """Subword vectors averaged over a text's words, then a two-class softmax; vectors and softmax are trained together."""
 
-    def __init__(self, vectors: np.ndarray, weights: np.ndarray, bias: np.ndarray):
+    def __init__(self, vectors: np.ndarray, weights: np.ndarray, bias: np.ndarray, fitted: bool = True):
+        self.fitted = fitted
         self.vectors, self.weights, self.bias = vectors, weights, bias
         # The score's margin is linear in the average, so each subword adds one number.
         self.margins = (vectors @ (weights[:, 1] - weights[:, 0])).astype(np.float64)
@@ -106,7 +107,7 @@ class SubwordSoftmax:
         bias = np.zeros(2, dtype=np.float32)
         labels = np.asarray(labels, dtype=np.int64)
         if not len(labels):
-            return cls(vectors * 0, weights, bias)
+            return cls(vectors * 0, weights, bias, fitted=False)
         words: dict[str, int] = {}
         inside, share, sizes = [], [], []
         for text in texts:

@@ -42,8 +42,8 @@ def scored(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
     ``held_out`` marks fold 0, whose labels the fit never sees (a null id is in
     no fold).  Null and blank texts get the score of the bias.  Repeated rows
-    give rows of their own; other columns play no part; without labelled rows
-    every score is one half.
+    give rows of their own, an empty table none; other columns play no part;
+    without labelled rows every score is one half.
     """
     docs = docs.select("doc_id", "text")
     model = fit(docs, labels, **options)
@@ -57,9 +57,17 @@ def scored(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that are not predicted toxic, with all their columns."""
+    """The documents that are not predicted toxic, with all their columns, whatever these are called.
+
+    Null and blank texts get the score of the bias and stay where it is below
+    one half; repeated rows stay or go together; rows without an id are judged
+    like any other.  Without labelled rows every score is one half: that is no
+    verdict, and all documents stay.  An empty table stays empty.
+    """
     ship_package(docs.sparkSession)
     model = fit(docs.select("doc_id", "text"), labels, **options)
+    if not model.fitted:
+        return docs
     at = docs.columns.index("text")
 
     def run(batches):
