@@ -14,7 +14,7 @@ from tidemark.plans import fixtures as fx, training
 from tidemark.plans.fixtures import COEFFICIENT, HIGH, LOW, WORKERS, table
 from tidemark.sources import examples as csv_examples, messages, runlogs, streams
 from tidemark.storage import new_folder
-from tidemark.streaming import buffer as stream_buffer, training as stream_training
+from tidemark.streaming import buffer as stream_buffer, training as stream_training, worker as stream_worker
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -777,6 +777,30 @@ def stream_gate_eventual(spark, sf):
     return stream_training.gated_on_embeddings(spark, sf, WORKERS, delay=-1)
 
 
+def _message_run(spark, sf, **worker) -> DataFrame:
+    """Four pieces of `embeddings` as messages; gaps between arrivals grow, so the buffers shrink."""
+    arrived = F.col("row_id") * F.col("row_id") * 10
+    rows = fx.examples(spark, sf).select("shard", F.col("row_id").alias("id"), arrived.alias("t_ms"), "label", "features")
+    start = model.init_weights_for(fx.examples(spark, sf)).select("class", "feature", "value")
+    classes, width = start.agg(F.max("class") + 1, F.max("feature") + 1).first()
+    folder = new_folder(spark, "messages")
+    run = stream_worker.MessageTraining(spark, folder, classes, width, num_workers=WORKERS, low=LOW, high=HIGH, coefficient=5.0, **worker)
+    out = stream_worker.train_on_messages(rows, "id", 4, folder, run, start)
+    return out.select("worker", "clock", "version", r6("loss").alias("loss"), "rows", "class", "feature", r6("value").alias("value"))
+
+
+@query
+def stream_worker_steps(spark, sf):
+    """Workers and server that talk in messages: version, local loss and local weights by worker and clock, gradient steps."""
+    return _message_run(spark, sf, rate=0.5)
+
+
+@query
+def stream_worker_fits(spark, sf):
+    """The same with local fits."""
+    return _message_run(spark, sf)
+
+
 @query
 def gate(spark, sf):
     """Workers that may step now under a delay of 10, all with pending data."""

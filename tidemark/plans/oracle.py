@@ -368,3 +368,46 @@ SQL |= {
             UNION ALL SELECT doc_id % 4, doc_id, quality, -1, 1.0 FROM docs)""",
         "w0 AS MATERIALIZED (SELECT class, feature, CAST(0 AS DOUBLE) AS value FROM (SELECT UNNEST([0, 1]) AS class), (SELECT UNNEST(range(-1, 1024)) AS feature))"),
 }
+
+
+def _message_run(fits: bool, pieces: int = 4) -> str:
+    """Buffers by windows, and from piece to piece what each worker makes of the weights it is sent."""
+    parts = [
+        """a AS (SELECT vec_id AS id, vec_id % 4 AS shard, vec_id * vec_id * 10 AS t_ms, label, embedding,
+            (vec_id - (SELECT MIN(vec_id) FROM embeddings)) // ((SELECT MAX(vec_id) - MIN(vec_id) FROM embeddings) // 4 + 1) AS piece FROM embeddings)""",
+        BUFFER[1], BUFFER[2], BUFFER[3].replace(COEFFICIENT, "CAST(5 AS DOUBLE)"), BUFFER[4],
+        f"{KEYS}, w0 AS MATERIALIZED (SELECT class, feature, CAST(0 AS DOUBLE) AS value FROM k)",
+    ]
+    for r in range(pieces):
+        parts += [
+            f"""h{r} AS MATERIALIZED (SELECT o.shard, o.id AS row_id, label, embedding FROM o JOIN
+                (SELECT shard, MAX(n) AS n, arg_max(occupancy, n) AS b FROM o WHERE piece <= {r} GROUP BY shard) l USING (shard)
+                WHERE o.n <= l.n AND o.n > l.n - l.b)""",
+            f"""v{r} AS MATERIALIZED (SELECT shard, row_id, label, p - 1 AS feature, CAST(embedding[p] AS DOUBLE) AS x
+                FROM (SELECT *, UNNEST(range(1, len(embedding) + 1)) AS p FROM h{r}) UNION ALL SELECT shard, row_id, label, -1, 1.0 FROM h{r})""",
+            f"""m{r} AS MATERIALIZED (SELECT shard, class, feature, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value FROM w{r}, (SELECT DISTINCT shard FROM h{r}))""",
+        ]
+        if fits:
+            parts += fit(f"f{r}", f"v{r}", f"m{r}")
+        else:
+            parts += [
+                f"z{r} AS (SELECT v.shard, row_id, label, class, SUM(x * value) AS z FROM v{r} v JOIN m{r} USING (shard, feature) GROUP BY ALL)",
+                PROBABILITIES.replace("p AS (", f"p{r} AS MATERIALIZED (", 1).replace("FROM z)", f"FROM z{r})"),
+                f"n{r} AS (SELECT shard, COUNT(*) AS rows, AVG(nll) AS loss FROM p{r} WHERE class = label GROUP BY shard)",
+                f"""f{r}fit AS MATERIALIZED (SELECT g.shard, class, feature, value, -0.5 * gradient / rows AS delta, loss, rows FROM
+                    (SELECT p.shard, class, feature, SUM((p.p - CASE WHEN class = p.label THEN 1 ELSE 0 END) * x) AS gradient
+                     FROM p{r} p JOIN v{r} USING (shard, row_id) GROUP BY ALL) g JOIN n{r} USING (shard) JOIN m{r} USING (shard, class, feature))""",
+            ]
+        parts += [
+            f"d{r} AS MATERIALIZED (SELECT shard, class, feature, value, CAST(CAST(delta AS FLOAT) AS DOUBLE) AS delta, loss, rows FROM f{r}fit)",
+            f"""w{r + 1} AS MATERIALIZED (SELECT w.class, w.feature, w.value + SUM(delta) / 4 AS value FROM w{r} w JOIN d{r} USING (class, feature)
+                GROUP BY w.class, w.feature, w.value)""",
+        ]
+    return _with(*parts) + " UNION ALL ".join(
+        f"""SELECT shard AS worker, CAST({r} AS BIGINT) AS clock, CAST({r} AS BIGINT) AS version, ROUND(loss, 6) AS loss, rows,
+        CAST(class AS INTEGER) AS class, CAST(feature AS INTEGER) AS feature, ROUND(value + delta, 6) AS value FROM d{r}"""
+        for r in range(pieces)
+    )
+
+
+SQL |= {"stream_worker_steps": _message_run(False), "stream_worker_fits": _message_run(True)}
