@@ -214,3 +214,23 @@ def test_gate(spark):
     free = lambda d: sorted(r["worker"] for r in clocks.gate(state, pending, d).collect())
     assert free(0) == [1] and free(1) == [1, 2] and free(3) == [0, 1, 2] and free(-1) == [0, 1, 2]
     assert clocks.gate(state, pending.limit(0), 0).count() == 0
+
+
+@pytest.mark.parametrize("rows_per_task", [None, 40])
+def test_summaries_of_buffers_equal_their_rows(spark, rows_per_task):
+    """Two lookups a run against the rows themselves, in one task per shard and in blocks; with NULL values and early runs."""
+    _, df = arrivals_frame(spark, 11, n=300)
+    df = df.withColumn("value", F.when(F.col("id") % 13 != 0, F.col("value")))
+    times = df.select("shard", (F.col("t_ms") + F.col("id") % 5 * 40 - 100).alias("t_ms"), (F.col("id") + 1000).alias("time_id"))
+    rows = buffer.buffer_at(times, df, 4, 30, 0.2, history=20, payload=("value",)).groupBy("shard", "time_id").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.min("insertion_id").alias("first_id"),
+        F.max("insertion_id").alias("last_id"),
+        F.round(F.coalesce(F.sum("value"), F.lit(0.0)), 6).alias("total"),
+        F.min("value").alias("least"),
+        F.max("value").alias("greatest"),
+    )
+    got = buffer.buffer_summary_at(times, df, 4, 30, 0.2, history=20, value="value", rows_per_task=rows_per_task).withColumn("total", F.round("total", 6))
+    columns = ["shard", "time_id", "rows", "first_id", "last_id", "total", "least", "greatest"]
+    assert rows_of(got, *columns) == rows_of(rows, *columns)
+    assert got.count() > 200

@@ -25,8 +25,8 @@ from tidemark.functions.columns import (
     target_size,
 )
 from tidemark.operators.lookups import asof
-from tidemark.operators.ordered import Running, blocks, carry_over, largest_group, number_rows, task_rows
-from tidemark.storage import cut_lineage, small_side
+from tidemark.operators.ordered import Running, blocks, carry_over, largest_group, number_rows, running, task_rows
+from tidemark.storage import cut_lineage, small_side, written
 
 BY = ["shard"]
 ARRIVAL = ["t_ms", "id"]  # ``id`` is unique
@@ -213,6 +213,69 @@ def buffer_at(
     return spread.join(rows, hit).select("shard", time_id, "trained_ms", "insertion_id", *payload)
 
 
+def buffer_summary_at(
+    times: DataFrame,
+    arrivals: DataFrame,
+    low=MIN_BUFFER,
+    high=MAX_BUFFER,
+    coefficient=BUFFER_COEFFICIENT,
+    *,
+    value: str,
+    time_id: str = "time_id",
+    rows_per_task: int | None = None,
+    **options,
+) -> DataFrame:
+    """What :func:`buffer_at` would give, summed up: ``rows, first_id, last_id, total, least, greatest`` of ``value`` per run.
+
+    A run sees the insertion ids ``(released, n]``, so their number and ends are
+    known, and no row is spread over the runs that see it.  The total comes
+    from running sums.  Least and greatest come from two stretches of the
+    largest power of two that fits: one ends at ``n``, one begins behind
+    ``released``.  Every arrival knows those values for the stretches that end
+    at it, so a run looks up two arrivals, whatever the size of the buffer.
+    """
+    line = written(timeline(arrivals.select(*NARROW, value), low, high, coefficient, rows_per_task=rows_per_task, **options).select(*BY, "t_ms", "n", "released", value), "line")
+    x = F.col(value).cast("double")
+    summed = running(line, BY, ["n"], {"_sum": Running("sum", F.coalesce(x, F.lit(0.0)))}, rows_per_task=rows_per_task)
+    levels = int(high).bit_length()
+    if largest_group(line, BY)[0] <= task_rows(line, rows_per_task):
+        cut, window, own = summed, Window.partitionBy(*BY).orderBy("n"), F.lit(True)
+    else:
+        cut = blocks(summed, BY, "n", high, rows_per_task)
+        window, own = Window.partitionBy(*BY, "_block").orderBy("n"), F.col("_own")
+    # A stretch of twice the length is the one that ends here and the one that ends where it begins.
+    cut = cut.withColumns({"_t0": F.coalesce(x, F.lit(0.0)), "_l0": x, "_g0": x})
+    for k in range(1, levels):
+        back = lambda c: F.lag(f"{c}{k - 1}", 1 << (k - 1)).over(window)  # noqa: B023, E731
+        cut = cut.withColumns(
+            {
+                f"_t{k}": F.col(f"_t{k - 1}") + F.coalesce(back("_t"), F.lit(0.0)),
+                f"_l{k}": F.least(f"_l{k - 1}", back("_l")),
+                f"_g{k}": F.greatest(f"_g{k - 1}", back("_g")),
+            }
+        )
+    each = lambda c: F.array(*[f"{c}{k}" for k in range(levels)])
+    known = written(cut.filter(own).select(*BY, "t_ms", "n", "released", "_sum", each("_t").alias("_t"), each("_l").alias("_l"), each("_g").alias("_g")), "known")
+    take = ["n", "released", "_sum", "_l", "_g"]
+    runs = asof(times.select(*BY, "t_ms", time_id), known, "t_ms", BY, take, left_tie=time_id, right_tie="n", rows_per_task=rows_per_task)
+    runs = runs.filter(F.col("n").isNotNull()).withColumn("_k", F.floor(F.log2((F.col("n") - F.col("released")).cast("double"))).cast("int"))
+    runs = runs.withColumn("_at", F.expr("released + shiftleft(1L, _k)"))
+    first = known.select(F.col("shard").alias("_shard"), F.col("n").alias("_n"), F.col("_sum").alias("_sum1"), "_t", F.col("_l").alias("_l1"), F.col("_g").alias("_g1"))
+    both = runs.join(first, F.col("shard").eqNullSafe(F.col("_shard")) & (F.col("_at") == F.col("_n")))
+    at = lambda c: F.get(c, F.col("_k"))
+    return both.select(
+        *BY,
+        time_id,
+        F.col("t_ms").alias("trained_ms"),
+        (F.col("n") - F.col("released")).alias("rows"),
+        (F.col("released") + 1).alias("first_id"),
+        F.col("n").alias("last_id"),
+        (F.col("_sum") - F.col("_sum1") + at("_t")).alias("total"),
+        F.least(at("_l"), at("_l1")).alias("least"),
+        F.greatest(at("_g"), at("_g1")).alias("greatest"),
+    )
+
+
 def arrival_rate(arrivals: DataFrame, minutes: int = 1) -> DataFrame:
     """Rows per shard and tumbling window of ``minutes``."""
     width = minutes * 60_000

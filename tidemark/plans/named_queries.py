@@ -496,7 +496,15 @@ def shard_stats(spark, sf):
 
 @query
 def buffer_at_training(spark, sf):
-    """How many rows, and which, each training run saw."""
+    """How many rows, and which, each training run saw, and their values summed up."""
+    runs = fx.trace(spark, sf).select(F.col("worker").alias("shard"), "t_ms", F.col("event_id").alias("time_id"))
+    seen = buffer.buffer_summary_at(runs, fx.arrivals(spark, sf), *BUFFER, value="value")
+    return seen.select("shard", "time_id", "rows", "first_id", "last_id", F.round("total", 4).alias("total"), r6("least").alias("least"), r6("greatest").alias("greatest"))
+
+
+@query
+def buffer_rows_at_training(spark, sf):
+    """The rows of each training run's buffer, counted and summed from the rows themselves."""
     runs = fx.trace(spark, sf).select(F.col("worker").alias("shard"), "t_ms", F.col("event_id").alias("time_id"))
     seen = buffer.buffer_at(runs, fx.arrivals(spark, sf), *BUFFER, payload=("value",))
     return seen.groupBy("shard", "time_id").agg(

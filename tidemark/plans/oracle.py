@@ -219,6 +219,12 @@ SQL: dict[str, str] = {
     "shard_stats": _with(*BUFFER) + """SELECT shard, MAX(n) AS rows_seen, arg_max(occupancy, n) AS rows_in_buffer,
         MAX(n) - arg_max(occupancy, n) + 1 AS min_id, MAX(n) AS max_id FROM o GROUP BY shard""",
     "buffer_at_training": _with(*BUFFER, "ti AS (SELECT user_id % 4 AS shard, " + MS + " AS t_ms, event_id AS time_id FROM events)",
+        "ol AS (SELECT shard, t_ms, MAX(n) AS n, arg_max(occupancy, n) AS b FROM o GROUP BY shard, t_ms)",
+        """st AS (SELECT ti.shard, ti.time_id, ol.n, ol.b FROM ti ASOF JOIN ol ON ti.shard = ol.shard AND ti.t_ms >= ol.t_ms)""") + """
+        SELECT st.shard, time_id, COUNT(*) AS rows, MIN(o.n) AS first_id, MAX(o.n) AS last_id, ROUND(SUM(value), 4) AS total,
+        ROUND(MIN(value), 6) AS least, ROUND(MAX(value), 6) AS greatest
+        FROM st JOIN o ON o.shard = st.shard AND o.n > st.n - st.b AND o.n <= st.n GROUP BY st.shard, time_id""",
+    "buffer_rows_at_training": _with(*BUFFER, "ti AS (SELECT user_id % 4 AS shard, " + MS + " AS t_ms, event_id AS time_id FROM events)",
         "ol AS (SELECT shard, t_ms, MAX(n) AS n, arg_max(occupancy, n) AS b FROM o GROUP BY shard, t_ms)",
         """st AS (SELECT ti.shard, ti.time_id, ol.n, ol.b FROM ti ASOF JOIN ol ON ti.shard = ol.shard AND ti.t_ms >= ol.t_ms)""") + """
         SELECT st.shard, time_id, COUNT(*) AS rows, MIN(o.n) AS first_id, MAX(o.n) AS last_id, ROUND(SUM(value), 4) AS total
