@@ -75,6 +75,21 @@ def test_sparse_rows_give_the_same_block(spark):
     assert any(type(r["vector"]).__name__ == "SparseVector" for r in vectors)
 
 
+def test_sparse_vectors_of_great_width(spark):
+    """Ten million wide, five entries a row; keys beyond the width, zeros, empty and NULL maps."""
+    width = 10_000_000
+    key = lambda k: (F.col("id") * 7919 + k * 1_999_993) % width
+    entries = F.map_from_arrays(F.array(*[key(k).cast("int") for k in range(5)]), F.array(*[F.lit(k + 0.5) for k in range(5)]))
+    wide = spark.range(5_000).select("id", entries.alias("features"))
+    rows = to_sparse_vector(wide, "features", width).select("id", "vector").collect()
+    assert all(r["vector"].size == width and len(r["vector"].indices) == 5 for r in rows)
+    assert {r["id"]: float(r["vector"][(r["id"] * 7919 + 1_999_993) % width]) for r in rows} == {i: 1.5 for i in range(5_000)}
+    odd = spark.createDataFrame([(1, {0: 1.0, 9: 2.0, -1: 3.0, 2: 0.0}), (2, {}), (3, None), (4, {0: 1.0, 1: 2.0, 2: 3.0})], "id long, features map<int,double>")
+    got = {r["id"]: r["vector"].toArray().tolist() for r in to_sparse_vector(odd, "features", 4).collect()}
+    assert got == {1: [1, 0, 0, 0], 2: [0] * 4, 3: [0] * 4, 4: [1, 2, 3, 0]}
+    assert to_sparse_vector(odd.limit(0), "features", 4).count() == 0
+
+
 def test_dense_block_of_slices_and_wrong_width():
     lists = pa.array([[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]])
     assert softmax.dense_block(lists.slice(1), 2).tolist() == [[3, 4], [5, 6]]

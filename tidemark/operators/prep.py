@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import HashingTF, VectorAssembler
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 from tidemark.functions.columns import BIAS, NUM_FEATURES, NUM_WORKERS, features_of, label_of, sorted_entries, sparse_map
@@ -61,13 +63,36 @@ def feature_entries(df: DataFrame, features: str = "features") -> DataFrame:
 
 
 def to_sparse_vector(df: DataFrame, features: str, width: int, out: str = "vector") -> DataFrame:
-    """Feature map to an ML vector of ``width`` entries, stored sparse where that is smaller."""
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(width - 1)),
-        lambda i: F.coalesce(F.try_element_at(F.col(features), i).cast("double"), F.lit(0.0)),
-    )
-    whole = df.withColumn("_dense", array_to_vector(dense))
-    return VectorAssembler(inputCols=["_dense"], outputCol=out).transform(whole).drop("_dense")
+    """Feature map to an ML vector of ``width`` entries, stored sparse where that is smaller.
+
+    A row costs what its entries cost, whatever the width.  Keys outside
+    ``[0, width)`` are left out; a NULL map is a vector of zeros.
+    """
+    inside = lambda e: (e["value"] != 0) & (e["key"] >= 0) & (e["key"] < width)
+    entries = F.array_sort(F.filter(F.map_entries(F.coalesce(features, F.create_map().cast(df.schema[features].dataType))), inside))
+    rows = df.withColumns({"_keys": entries["key"].cast("array<int>"), "_values": entries["value"].cast("array<double>")})
+
+    def build(batches):
+        for batch in batches:
+            keys, values = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], vectors_of(keys, values, width)], names=[*batch.schema.names[:-2], out])
+
+    return rows.mapInArrow(build, T.StructType([*df.schema.fields, T.StructField(out, VectorUDT())]))
+
+
+def vectors_of(keys: pa.ListArray, values: pa.ListArray, width: int) -> pa.StructArray:
+    """Sorted keys and values as the rows of a vector column: type (0 sparse, 1 dense), size, indices, values."""
+    counts = np.diff(keys.offsets.to_numpy())
+    dense = 1.5 * (counts + 1) >= width  # the size at which a dense row is no larger
+    if dense.any():
+        spread = [v if not full else np.zeros(width) for v, full in zip(values.to_numpy(zero_copy_only=False), dense)]
+        for row, at, v, full in zip(spread, keys.to_numpy(zero_copy_only=False), values.to_numpy(zero_copy_only=False), dense):
+            if full:
+                row[np.asarray(at, dtype=np.int64)] = v
+        values = pa.array(spread, pa.list_(pa.float64()))
+        keys = pa.array([None if full else k for k, full in zip(keys.to_numpy(zero_copy_only=False), dense)], pa.list_(pa.int32()))
+    sizes = pa.array([None if full else width for full in dense], pa.int32())
+    return pa.StructArray.from_arrays([pa.array(dense.astype(np.int8)), sizes, keys, values], names=["type", "size", "indices", "values"])
 
 
 def long_vectors(df: DataFrame, *keep: str, features: str = "features", bias: bool = False) -> DataFrame:

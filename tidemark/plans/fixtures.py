@@ -9,7 +9,7 @@ from tidemark.operators.clocks import worker_clock
 from tidemark.operators.ordered import number_rows
 from tidemark.operators.prep import long_vectors, shard_rows
 from tidemark.operators.runlog import SERVER
-from tidemark.operators.weights import init_weights_for
+from tidemark.operators.weights import combine, init_weights_for
 
 WORKERS = 4
 # Small bounds and a large coefficient make the buffer size vary on `events`,
@@ -68,6 +68,13 @@ def weights(spark: SparkSession, sf: str) -> DataFrame:
     return init_weights_for(examples(spark, sf)).withColumn("value", value)
 
 
+def combined_weights(spark: SparkSession, sf: str) -> tuple[DataFrame, int, int]:
+    """The weights that all deltas of the log add up to, with the classes and the width of the examples."""
+    zero = init_weights_for(examples(spark, sf))
+    classes, width = zero.agg(F.max("class") + 1, F.max("feature") + 1).first()
+    return combine(zero, deltas(spark, sf), WORKERS), classes, width
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
 

@@ -8,12 +8,12 @@ import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.functions.columns import features_of, key_between, lookup, same_message
+from tidemark.functions.columns import NUM_FEATURES, features_of, key_between, lookup, same_message
 from tidemark.operators import buffer, clocks, lookups, ordered, prep, quality, runlog, scoring, weights as model
 from tidemark.plans import fixtures as fx, training
 from tidemark.plans.fixtures import COEFFICIENT, HIGH, LOW, WORKERS, table
 from tidemark.sources import examples as csv_examples, messages, runlogs, streams
-from tidemark.storage import new_folder
+from tidemark.storage import new_folder, written
 from tidemark.streaming import buffer as stream_buffer, training as stream_training, worker as stream_worker
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -189,7 +189,9 @@ def sorted_feature_entries(spark, sf):
 
 @query
 def sparse_vector(spark, sf):
-    rows = prep.to_sparse_vector(prep.sparse_encode(fx.sparse(spark, sf), "features"), "features", 64)
+    rows = fx.sparse(spark, sf)
+    width = rows.agg(F.max(F.size("features"))).first()[0]
+    rows = prep.to_sparse_vector(prep.sparse_encode(rows, "features"), "features", width)
     array = vector_to_array("vector")
     total = F.aggregate(array, F.lit(0.0), lambda a, x: a + x)
     filled = F.size(F.filter(array, lambda x: x != 0))
@@ -202,18 +204,23 @@ def missing_key_lookup(spark, sf):
     return rows.filter("x is not null").select("row_id", r6("x").alias("x"))
 
 
-def _flat(spark, sf) -> DataFrame:
-    return model.to_flat(fx.weights(spark, sf), 10, 64)
+def _flat(spark, sf) -> tuple[DataFrame, int]:
+    """Combined weights under flat keys, and the number of keys."""
+    weights, classes, width = fx.combined_weights(spark, sf)
+    return model.to_flat(weights, classes, width).select("key", r6("value").alias("value")), classes * (width + 1)
 
 
 @query
 def key_range_half_open(spark, sf):
-    return prep.in_key_range(_flat(spark, sf), "key", 100, 200)
+    """The second worker's quarter of the keys."""
+    flat, keys = _flat(spark, sf)
+    return prep.in_key_range(flat, "key", keys // 4, keys // 2)
 
 
 @query
 def key_range_closed(spark, sf):
-    return _flat(spark, sf).filter(key_between("key", 100, 200))
+    flat, keys = _flat(spark, sf)
+    return flat.filter(key_between("key", keys // 4, keys // 2))
 
 
 @query
@@ -309,12 +316,14 @@ def initial_weights(spark, sf):
 
 @query
 def flat_weights(spark, sf):
-    return _flat(spark, sf)
+    return _flat(spark, sf)[0]
 
 
 @query
 def flat_weights_round_trip(spark, sf):
-    return model.from_flat(_flat(spark, sf), 10, 64)
+    weights, classes, width = fx.combined_weights(spark, sf)
+    back = model.from_flat(model.to_flat(weights, classes, width), classes, width)
+    return back.select("class", "feature", r6("value").alias("value"))
 
 
 @query
@@ -354,15 +363,15 @@ def weight_history(spark, sf):
 
 @query
 def key_extent(spark, sf):
-    return model.key_extent(_flat(spark, sf))
+    return model.key_extent(_flat(spark, sf)[0])
 
 
 @query
 def collect_weights(spark, sf):
-    """Map per class, shown as its size and its entries scaled to whole tenths."""
-    maps = model.collect_weights(fx.weights(spark, sf))
+    """Map per class, shown as its size and its entries in millionths."""
+    maps = model.collect_weights(fx.combined_weights(spark, sf)[0])
     text = F.array_join(
-        F.transform(F.map_entries("values"), lambda e: F.concat_ws(":", e["key"].cast("string"), F.round(e["value"] * 10).cast("long").cast("string"))),
+        F.transform(F.map_entries("values"), lambda e: F.concat_ws(":", e["key"].cast("string"), F.round(e["value"] * 1_000_000).cast("long").cast("string"))),
         ",",
     )
     return maps.select("class", F.size("values").alias("entries"), text.alias("text"))
@@ -377,9 +386,9 @@ def missing_ids(spark, sf):
 
 @query
 def key_difference(spark, sf):
-    """Model keys that no delta of an even event touches."""
-    keys = fx.weights(spark, sf).select("class", "feature")
-    return model.difference(keys, fx.deltas(spark, sf).filter("arrival % 2 = 0").select("class", "feature"))
+    """Keys of the model after an upsert that brings new classes, but for those that a delta of the log touches."""
+    keys = model.upsert_weights(fx.weights(spark, sf), _new_values(spark, sf)).select("class", "feature")
+    return model.difference(keys, fx.deltas(spark, sf).select("class", "feature"))
 
 
 # ---- scoring and quality --------------------------------------------------
@@ -716,8 +725,8 @@ def text_rounds(spark, sf):
     """Texts hashed to 1,024 features, dealt out to workers, and two rounds of local fits on them."""
     docs = fx.documents(spark, sf)
     hashed = prep.hashed_maps(docs, "text", "doc_id").join(docs.select("doc_id", F.col("quality").alias("label")), "doc_id")
-    rows = prep.shard_rows(hashed, "doc_id", WORKERS).persist()
-    history = training.train_rounds(rows, np.zeros((2, 1025)), 2, WORKERS)
+    rows = written(prep.shard_rows(hashed, "doc_id", WORKERS), "texts")
+    history = training.train_rounds(rows, np.zeros((2, NUM_FEATURES + 1)), 2, WORKERS)
     out = training.learning_curve(rows, dict(enumerate(history)))
     return out.select("version", r6("f1").alias("f1"), r6("accuracy").alias("accuracy"), "rows")
 

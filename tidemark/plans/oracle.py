@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.functions.columns import BUFFER_COEFFICIENT, MAX_BUFFER
 from tidemark.plans.oracle_fit import fit
 
 MS = "epoch_us(ts)//1000"
@@ -25,7 +26,10 @@ WEIGHTS = f"""{KEYS}, w AS (SELECT class, feature, ((class * 7 + (feature + 1) *
 ZERO = f"""{KEYS}, w AS (SELECT class, feature, CAST(0 AS DOUBLE) AS value FROM k)"""
 DOCS = "docs AS (SELECT doc_id, text FROM documents)"
 TOKENS = r"""tok AS (SELECT doc_id, UNNEST(list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f]+'), lambda t: t <> '')) AS token FROM docs)"""
-FLAT = f"""{WEIGHTS}, fl AS (SELECT CASE WHEN feature = -1 THEN 640 + class ELSE feature * 10 + class END AS key, value FROM w)"""
+COMBINED = f"""{KEYS}, {DELTAS}, w AS (SELECT class, feature, ROUND(COALESCE(total, 0) / 4, 6) AS value FROM k
+    LEFT JOIN (SELECT class, feature, SUM(delta) AS total FROM d GROUP BY ALL) USING (class, feature))"""
+FLAT = f"""{COMBINED}, s AS (SELECT MAX(label) + 1 AS c, MAX(len(embedding)) AS f FROM embeddings),
+    fl AS (SELECT CASE WHEN feature = -1 THEN c * f + class ELSE feature * c + class END AS key, value, c * (f + 1) AS keys FROM w, s)"""
 WORKER_LOG = f"""wl AS (SELECT event_type AS run, user_id % 4 AS partition, {MS} AS timestamp, value AS loss,
     value / 1000 AS "fMeasure", value / 500 AS accuracy, event_id AS "numTuplesSeen",
     ROW_NUMBER() OVER (PARTITION BY event_type, user_id % 4 ORDER BY {MS}, event_id) - 1 AS "vectorClock" FROM events)"""
@@ -130,8 +134,8 @@ SQL: dict[str, str] = {
     "sparse_vector": _with(EXAMPLES, LONG, SPARSE) + """SELECT e.row_id, CAST(COUNT(feature) AS INTEGER) AS entries,
         ROUND(COALESCE(SUM(x), 0), 6) AS total FROM e LEFT JOIN sv USING (row_id) GROUP BY e.row_id""",
     "missing_key_lookup": _with(EXAMPLES, LONG, SPARSE) + "SELECT row_id, ROUND(x, 6) AS x FROM sv WHERE feature = 5",
-    "key_range_half_open": _with(FLAT) + "SELECT CAST(key AS INTEGER) AS key, value FROM fl WHERE key >= 100 AND key < 200",
-    "key_range_closed": _with(FLAT) + "SELECT CAST(key AS INTEGER) AS key, value FROM fl WHERE key BETWEEN 100 AND 200",
+    "key_range_half_open": _with(FLAT) + "SELECT CAST(key AS INTEGER) AS key, value FROM fl WHERE key >= keys // 4 AND key < keys // 2",
+    "key_range_closed": _with(FLAT) + "SELECT CAST(key AS INTEGER) AS key, value FROM fl WHERE key BETWEEN keys // 4 AND keys // 2",
     "shard_slice": _with(ARRIVALS) + "SELECT id, shard FROM a WHERE shard = 2",
     "common_clock_rows": _with(WORKER_LOG) + """SELECT run, CAST(partition AS INTEGER) AS partition, "vectorClock", "numTuplesSeen" FROM wl
         JOIN (SELECT run, MIN(last) AS cc FROM (SELECT run, partition, MAX("vectorClock") AS last FROM wl GROUP BY ALL) GROUP BY run) USING (run)
@@ -154,7 +158,7 @@ SQL: dict[str, str] = {
     # weights
     "initial_weights": _with(ZERO) + "SELECT CAST(class AS INTEGER) AS class, CAST(feature AS INTEGER) AS feature, value FROM w",
     "flat_weights": _with(FLAT) + "SELECT CAST(key AS INTEGER) AS key, value FROM fl",
-    "flat_weights_round_trip": _with(WEIGHTS) + "SELECT CAST(class AS INTEGER) AS class, CAST(feature AS INTEGER) AS feature, value FROM w",
+    "flat_weights_round_trip": _with(COMBINED) + "SELECT CAST(class AS INTEGER) AS class, CAST(feature AS INTEGER) AS feature, value FROM w",
     "match_delta": _with(WEIGHTS, DELTAS) + """SELECT arrival, CAST(class AS INTEGER) AS class, CAST(feature AS INTEGER) AS feature,
         ROUND(delta, 6) AS delta, ROUND(value, 6) AS value FROM d JOIN w USING (class, feature)""",
     "weight_upsert": _with(WEIGHTS, DELTAS) + """, nv AS (SELECT class + 5 AS class, feature, MAX(delta) AS value FROM d GROUP BY ALL)
@@ -169,12 +173,12 @@ SQL: dict[str, str] = {
     "weight_history": _with(WEIGHTS, DELTAS) + """SELECT arrival, CAST(class AS INTEGER) AS class, CAST(feature AS INTEGER) AS feature,
         ROUND(value + SUM(delta) OVER (PARTITION BY class, feature ORDER BY arrival) / 4, 6) AS value FROM d JOIN w USING (class, feature)""",
     "key_extent": _with(FLAT) + 'SELECT CAST(MIN(key) AS INTEGER) AS start, CAST(MAX(key) + 1 AS INTEGER) AS "end" FROM fl',
-    "collect_weights": _with(WEIGHTS) + """SELECT CAST(class AS INTEGER) AS class, CAST(COUNT(*) AS INTEGER) AS entries,
-        string_agg(feature || ':' || CAST(ROUND(value * 10) AS BIGINT), ',' ORDER BY feature) AS text FROM w GROUP BY class""",
+    "collect_weights": _with(COMBINED) + """SELECT CAST(class AS INTEGER) AS class, CAST(COUNT(*) AS INTEGER) AS entries,
+        string_agg(feature || ':' || CAST(ROUND(value * 1000000) AS BIGINT), ',' ORDER BY feature) AS text FROM w GROUP BY class""",
     "missing_ids": """SELECT CAST(i AS BIGINT) AS doc_id FROM (SELECT UNNEST(range((SELECT MIN(doc_id) FROM documents), (SELECT MAX(doc_id) + 1 FROM documents))) AS i)
         WHERE i NOT IN (SELECT doc_id FROM labels)""",
     "key_difference": _with(WEIGHTS, DELTAS) + """SELECT CAST(class AS INTEGER) AS class, CAST(feature AS INTEGER) AS feature FROM
-        (SELECT class, feature FROM w EXCEPT SELECT class, feature FROM d WHERE arrival % 2 = 0)""",
+        ((SELECT class, feature FROM w UNION SELECT class + 5, feature FROM d) EXCEPT SELECT class, feature FROM d)""",
     # scoring and quality
     "margins": _with(EXAMPLES, LONG, VECTORS, WEIGHTS, MARGINS) + "SELECT row_id, label, CAST(class AS INTEGER) AS class, ROUND(z, 6) AS z FROM z",
     "softmax_gradient": _with(EXAMPLES, LONG, VECTORS, WEIGHTS, MARGINS, PROBABILITIES, GRADIENT) + """SELECT shard,
@@ -376,6 +380,49 @@ SQL |= {
 }
 
 
+def _held(r: int) -> list[str]:
+    """The rows in each worker's buffer after the pieces up to ``r``, and their vectors."""
+    return [
+        f"""h{r} AS MATERIALIZED (SELECT o.shard, o.id AS row_id, label, embedding FROM o JOIN
+            (SELECT shard, MAX(n) AS n, arg_max(occupancy, n) AS b FROM o WHERE piece <= {r} GROUP BY shard) l USING (shard)
+            WHERE o.n <= l.n AND o.n > l.n - l.b)""",
+        f"""v{r} AS MATERIALIZED (SELECT shard, row_id, label, p - 1 AS feature, CAST(embedding[p] AS DOUBLE) AS x
+            FROM (SELECT *, UNNEST(range(1, len(embedding) + 1)) AS p FROM h{r}) UNION ALL SELECT shard, row_id, label, -1, 1.0 FROM h{r})""",
+    ]
+
+
+def _streamed(pieces: int = 5) -> str:
+    """Local fits piece by piece; in `embeddings` every worker has rows in every piece, so every rule lets all go on."""
+    parts = [
+        f"""a AS (SELECT vec_id AS id, vec_id % 4 AS shard, vec_id * 1000 AS t_ms, label, embedding,
+            (vec_id - (SELECT MIN(vec_id) FROM embeddings)) // ((SELECT MAX(vec_id) - MIN(vec_id) FROM embeddings) // {pieces} + 1) AS piece FROM embeddings)""",
+        BUFFER[1], BUFFER[2],
+        f"x AS (SELECT *, CAST(GREATEST(16, LEAST({MAX_BUFFER}, FLOOR(CAST({BUFFER_COEFFICIENT!r} AS DOUBLE) * 60000 / mg + 0.5))) AS BIGINT) AS target FROM m)",
+        BUFFER[4], EXAMPLES, LONG, VECTORS, f"{KEYS}, w0 AS MATERIALIZED (SELECT class, feature, CAST(0 AS DOUBLE) AS value FROM k)",
+    ]
+    scopes = []
+    for r in range(pieces):
+        parts += _held(r)
+        # The fits' own vectors are named apart from those of the test rows.
+        parts += [f"m{r} AS MATERIALIZED (SELECT shard, class, feature, value FROM w{r}, (SELECT DISTINCT shard FROM h{r}))", *fit(f"f{r}", f"v{r}", f"m{r}")]
+        parts.append(f"""w{r + 1} AS MATERIALIZED (SELECT class, feature, w.value + SUM(delta) / 4 AS value FROM w{r} w JOIN f{r}fit USING (class, feature)
+            GROUP BY class, feature, w.value)""")
+        scopes += [f"SELECT {r} AS batch, shard AS part, class, feature, value + delta AS value FROM f{r}fit", f"SELECT {r}, -1, class, feature, value FROM w{r + 1}"]
+    losses = " UNION ALL ".join(f"SELECT DISTINCT {r} AS batch, shard AS part, loss FROM f{r}fit" for r in range(pieces))
+    parts += [
+        f"wv AS MATERIALIZED ({' UNION ALL '.join(scopes)})",
+        "zt AS (SELECT batch, part, row_id, label, class, SUM(x * value) AS z FROM v JOIN wv USING (feature) GROUP BY ALL)",
+        "pr AS (SELECT batch * 100 + part AS version, label, arg_max(class, (z, -class)) AS prediction FROM zt GROUP BY batch, part, row_id, label)",
+        _quality("version"),
+        f"ls AS (SELECT batch * 100 + part AS version, loss FROM ({losses}))",
+        "se AS (SELECT shard, piece, MAX(n) AS seen FROM o GROUP BY ALL)",
+    ]
+    return _with(*parts) + """SELECT CAST((version + 1) // 100 AS BIGINT) AS batch, CASE WHEN part = -1 THEN 'shared' ELSE 'local' END AS scope,
+        CAST(part AS INTEGER) AS partition, CAST((version + 1) // 100 AS INTEGER) AS "vectorClock",
+        CASE WHEN part = -1 THEN -1.0::DOUBLE ELSE ROUND(loss, 6) END AS loss, f1, accuracy, seen
+        FROM (SELECT q.*, q.version - (q.version + 1) // 100 * 100 AS part, loss FROM q LEFT JOIN ls USING (version)) LEFT JOIN se ON se.shard = part AND piece = (version + 1) // 100"""
+
+
 def _message_run(fits: bool, pieces: int = 4) -> str:
     """Buffers by windows, and from piece to piece what each worker makes of the weights it is sent."""
     parts = [
@@ -386,11 +433,7 @@ def _message_run(fits: bool, pieces: int = 4) -> str:
     ]
     for r in range(pieces):
         parts += [
-            f"""h{r} AS MATERIALIZED (SELECT o.shard, o.id AS row_id, label, embedding FROM o JOIN
-                (SELECT shard, MAX(n) AS n, arg_max(occupancy, n) AS b FROM o WHERE piece <= {r} GROUP BY shard) l USING (shard)
-                WHERE o.n <= l.n AND o.n > l.n - l.b)""",
-            f"""v{r} AS MATERIALIZED (SELECT shard, row_id, label, p - 1 AS feature, CAST(embedding[p] AS DOUBLE) AS x
-                FROM (SELECT *, UNNEST(range(1, len(embedding) + 1)) AS p FROM h{r}) UNION ALL SELECT shard, row_id, label, -1, 1.0 FROM h{r})""",
+            *_held(r),
             f"""m{r} AS MATERIALIZED (SELECT shard, class, feature, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value FROM w{r}, (SELECT DISTINCT shard FROM h{r}))""",
         ]
         if fits:
@@ -417,3 +460,4 @@ def _message_run(fits: bool, pieces: int = 4) -> str:
 
 
 SQL |= {"stream_worker_steps": _message_run(False), "stream_worker_fits": _message_run(True)}
+SQL |= {f"stream_training_{rule}": _streamed() for rule in ("sequential", "bounded", "eventual")}

@@ -27,6 +27,7 @@ from tidemark.functions.columns import (
     NUM_WORKERS,
     target_size,
 )
+from tidemark.operators import weights as model
 from tidemark.operators.buffer import recent_mean_gap
 from tidemark.operators.clocks import lets_go
 from tidemark.operators.ordered import number_rows
@@ -214,13 +215,15 @@ def next_release(state: dict[int, dict], seen: dict[int, int], stepped, delay: i
 
 def _write_metrics(store, number, deltas, models, weights, state, seen, test) -> None:
     """Rows of the server log (shared weights) and the worker log (each worker's local weights)."""
-    versions, losses = {SERVER: weights}, {SERVER: -1.0}
-    if deltas is not None:
-        rows = deltas.select("shard", "class", "feature", F.col("delta").alias("value"), "loss")
+    losses = {SERVER: -1.0}
+    scored = _quality(test, {SERVER: weights})
+    # The driver holds as many workers' weights at a time as the limit takes.
+    workers, step = sorted(models), max(1, model.MAX_BROADCAST_WEIGHTS // weights.size)
+    for some in (workers[i : i + step] for i in range(0, len(workers), step)):
+        rows = deltas.filter(F.col("shard").isin(some)).select("shard", "class", "feature", F.col("delta").alias("value"), "loss")
         local, loss = weight_arrays(rows, by="shard", also="loss")
-        versions |= {w: models[w] + local[w] for w in local}
+        scored |= _quality(test, {w: models[w] + local[w] for w in local})
         losses |= loss
-    scored = {r["version"]: r for r in f1_accuracy(predict_versions(test, versions, ("label",)), ["version"]).collect()}
     now = int(time.time() * 1000)
     slowest = min(s["clock"] for s in state.values())
     out = [
@@ -234,11 +237,15 @@ def _write_metrics(store, number, deltas, models, weights, state, seen, test) ->
             seen.get(p),
             SHARED if p == SERVER else LOCAL,
         )
-        for p in versions
+        for p in scored
     ]
     store.write_rows(out, METRICS, "metrics", number)
 
 
+def _quality(test: DataFrame, versions: dict[int, np.ndarray]) -> dict[int, dict]:
+    return {r["version"]: r for r in f1_accuracy(predict_versions(test, versions, ("label",)), ["version"]).collect()}
+
+
 def train_stream(
     stream: DataFrame,
     folder: str,
@@ -321,7 +328,7 @@ def dedupe_on_events(spark: SparkSession, sf: str, workers: int) -> DataFrame:
 
 
 def train_on_embeddings(spark: SparkSession, sf: str, workers: int, delay: int, pieces: int = 5) -> DataFrame:
-    """Quality of the shared weights after each micro-batch."""
+    """After each micro-batch, the quality of the shared weights (partition -1) and of each worker's own, with its loss."""
     table = spark.read.parquet(f"{sf}/embeddings.parquet")
     rows = table.select(
         F.col("vec_id").alias("id"), (F.col("vec_id") * 1000).alias("t_ms"), F.col("label").cast("int").alias("label"), F.col("embedding").alias("features")
@@ -337,9 +344,16 @@ def train_on_embeddings(spark: SparkSession, sf: str, workers: int, delay: int,
 
     replay(sharded, "id", pieces, f"{folder}/input", run)
     test.unpersist()
-    shared = TrainingStore(spark, f"{folder}/run").all_metrics().filter(F.col("scope") == SHARED)
-    return shared.select(
-        F.col("number").alias("batch"), "vectorClock", F.round("fMeasure", 6).alias("f1"), F.round("accuracy", 6).alias("accuracy")
+    metrics = TrainingStore(spark, f"{folder}/run").all_metrics()
+    return metrics.select(
+        F.col("number").alias("batch"),
+        "scope",
+        "partition",
+        "vectorClock",
+        F.round("loss", 6).alias("loss"),
+        F.round("fMeasure", 6).alias("f1"),
+        F.round("accuracy", 6).alias("accuracy"),
+        F.col("numTuplesSeen").alias("seen"),
     )
 
 
