@@ -19,6 +19,7 @@ BALANCE = 0.5  # 1: both classes weigh the same; 0: each row does
 LEAST_TEXTS = 3  # fitted texts, of either class, that a subword must be in
 MOST_SHARE = 0.4  # of the fitted texts of each class
 MAX_CACHED = 300_000
+PAIRS = 1 << 18  # pairs of owner and row that are summed together
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,34 +58,49 @@ def subwords(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Sums:
-    """Weighted sums of rows by owner, and the same backwards; both orders are sorted once."""
+    """Weighted sums of rows by owner, and the same backwards; both orders are sorted once.
 
-    def __init__(self, owners: np.ndarray, rows: np.ndarray, weights: np.ndarray, n_owners: int, n_rows: int):
-        self.shape = n_owners, n_rows
+    A weight belongs to a pair (``weights``) or to an owner (``scale``).  Sums
+    are taken some owners at a time, so no more than ``PAIRS`` rows (or the
+    rows of one owner) are laid out together.
+    """
+
+    def __init__(self, owners: np.ndarray, rows: np.ndarray, n_owners: int, n_rows: int, weights: np.ndarray | None = None, scale: np.ndarray | None = None):
+        self.shape, self.scale = (n_owners, n_rows), None if scale is None else scale[:, None]
         self.forward = self._plan(owners, rows, weights)
         self.backward = self._plan(rows, owners, weights)
 
     @staticmethod
     def _plan(to, of, weights):
-        order = np.argsort(to, kind="stable")
-        to = to[order]
+        if (to[1:] < to[:-1]).any():
+            order = np.argsort(to, kind="stable").astype(np.int32)
+            to, of, weights = to[order], of[order], None if weights is None else weights[order]
         starts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, dtype=int)
-        return to[starts], starts, of[order], weights[order].astype(np.float32)[:, None]
+        ends = np.append(starts[1:], len(to))
+        pieces, first = [], 0
+        while first < len(starts):
+            last = max(first + 1, int(np.searchsorted(ends, starts[first] + PAIRS, side="right")))
+            pieces.append((first, last, int(starts[first]), int(ends[last - 1])))
+            first = last
+        return to[starts], starts, pieces, of, None if weights is None else weights[:, None]
 
-    def _apply(self, plan, values, n):
-        to, starts, of, weights = plan
+    @staticmethod
+    def _apply(plan, values, n):
+        to, starts, pieces, of, weights = plan
         out = np.zeros((n, values.shape[1]), dtype=np.float32)
-        if len(to):
-            part = values.take(of, axis=0)
-            part *= weights
-            out[to] = np.add.reduceat(part, starts)
+        for first, last, lo, hi in pieces:
+            part = values.take(of[lo:hi], axis=0)
+            if weights is not None:
+                part *= weights[lo:hi]
+            out[to[first:last]] = np.add.reduceat(part, starts[first:last] - lo)
         return out
 
     def up(self, values):
-        return self._apply(self.forward, values, self.shape[0])
+        out = self._apply(self.forward, values, self.shape[0])
+        return out if self.scale is None else out * self.scale
 
     def down(self, values):
-        return self._apply(self.backward, values, self.shape[1])
+        return self._apply(self.backward, values if self.scale is None else values * self.scale, self.shape[1])
 
 
 class SubwordSoftmax:
@@ -117,7 +133,7 @@ class SubwordSoftmax:
             sizes.append(len(counts))
         by_word, used = cls._known_subwords(list(words), inside, labels)
         owner, inside, share = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.concatenate(inside), np.concatenate(share)
-        by_text = _Sums(owner, inside, share, len(sizes), len(words))
+        by_text = _Sums(owner, inside, len(sizes), len(words), weights=share)
         truth = np.eye(2, dtype=np.float32)[labels]
         balance = (truth / np.maximum(truth.sum(0), 1) ** BALANCE).sum(1, keepdims=True)
         balance /= balance.sum()
@@ -167,8 +183,9 @@ class SubwordSoftmax:
         used = np.flatnonzero(np.diff(number, prepend=np.int32(0)))
         known = np.isin(np.arange(BUCKETS), used)[buckets]
         word_of = np.repeat(np.arange(len(words), dtype=np.int32), counts)[known]
-        weights = (1 / np.maximum(counts, 1)).astype(np.float32)[word_of]
-        return _Sums(word_of, number[buckets[known]] - np.int32(1), weights, len(words), len(used)), used
+        found = number[buckets[known]] - np.int32(1)
+        del buckets, known
+        return _Sums(word_of, found, len(words), len(used), scale=(1 / np.maximum(counts, 1)).astype(np.float32)), used
 
     def score(self, text: str | None) -> float:
         """Chance of class 1; a text without words gets that of the bias alone."""
