@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import HashingTF, VectorAssembler
@@ -131,23 +136,56 @@ def tokens(text: Column | str) -> Column:
 def token_buckets(text: Column | str, buckets: int = NUM_FEATURES) -> Column:
     """Sorted ``ARRAY<STRUCT<feature, x>>`` of a text's term counts, made inside the row.
 
-    bucket = first 8 hex digits of a token's md5 mod ``buckets``.  The bucket
-    of every token is sorted, and each run of equal ones is one entry: its
-    length is the distance between the places where runs start.
+    bucket = first 8 hex digits of a token's md5 mod ``buckets``.  A word is
+    hashed once per task and its repeats are counted; texts come and counts go
+    in Arrow batches.  A NULL or blank text has an empty array.
     """
-    bucket = lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int")
-    sorted_buckets = F.array_sort(F.transform(F.coalesce(tokens(text), F.array().cast("array<string>")), bucket))
-    none = F.array().cast("array<struct<feature: int, x: bigint>>")
-
-    def entries(found):
-        starts = F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda i: (i == 0) | (F.get(found, i) != F.get(found, i - 1)))
-        run = lambda of: lambda s, i: F.struct(
-            F.get(found, s).alias("feature"), (F.coalesce(F.get(of, i + 1), F.size(found)) - s).cast("long").alias("x")
-        )
-        return F.element_at(F.transform(F.array(starts), lambda of: F.transform(of, run(of))), 1)
+    text = F.col(text) if isinstance(text, str) else text
+    return _term_counts(buckets)(F.lower(text))
+
+
+TERMS = "array<struct<feature: int, x: bigint>>"
+KNOWN_WORDS = 200_000  # words whose bucket a worker remembers
+_WORD = re.compile("[^ \t\n\r\f]+")
+
+
+class _Buckets(dict):
+    """Bucket by word."""
+
+    def __init__(self, buckets: int):
+        self.buckets = buckets
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        made = self[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.buckets
+        return made
+
+
+@cache
+def _bucket_of(buckets: int) -> _Buckets:
+    """This process's memory of buckets."""
+    return _Buckets(buckets)
+
+
+@cache
+def _term_counts(buckets: int):
+    @F.arrow_udf(TERMS)
+    def term_counts(texts: pa.Array) -> pa.Array:
+        bucket_of, ends, features, counts = _bucket_of(buckets), [0], [], []
+        for text in texts.to_pylist():
+            found: dict[int, int] = {}
+            for word, times in Counter(_WORD.findall(text or "")).items():
+                bucket = bucket_of[word]
+                found[bucket] = found.get(bucket, 0) + times
+            for bucket in sorted(found):
+                features.append(bucket)
+                counts.append(found[bucket])
+            ends.append(len(features))
+        entries = pa.StructArray.from_arrays([pa.array(features, pa.int32()), pa.array(counts, pa.int64())], names=["feature", "x"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)
 
-    made = F.transform(F.array(sorted_buckets), lambda found: F.when(F.size(found) > 0, entries(found)).otherwise(none))
-    return F.element_at(made, 1)
+    return term_counts
 
 
 def hash_text(df: DataFrame, text: str, id_col: str, buckets: int = NUM_FEATURES) -> DataFrame:

@@ -14,7 +14,7 @@ from tidemark.plans import fixtures as fx, training
 from tidemark.plans.fixtures import COEFFICIENT, HIGH, LOW, WORKERS, table
 from tidemark.sources import examples as csv_examples, messages, runlogs, streams
 from tidemark.storage import new_folder, written
-from tidemark.streaming import buffer as stream_buffer, training as stream_training, worker as stream_worker
+from tidemark.streaming import buffer as stream_buffer, tracker as stream_tracker, training as stream_training, worker as stream_worker
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -764,6 +764,12 @@ def stream_deduped_deltas(spark, sf):
     return stream_training.dedupe_on_events(spark, sf, WORKERS)
 
 
+@query
+def stream_clock_faults(spark, sf):
+    """A run with repeated and leaping deltas: what the tracker took and what it put aside."""
+    return stream_tracker.tracked_events(spark, fx.trace(spark, sf).select("worker", "event_id", "clock"))
+
+
 @query
 def stream_training_sequential(spark, sf):
     return stream_training.train_on_embeddings(spark, sf, WORKERS, delay=0)

@@ -293,6 +293,9 @@ SQL: dict[str, str] = {
     "stream_buffer_contents": _with(*BUFFER) + """SELECT o.id, o.shard, o.n AS insertion_id, ROUND(o.value, 6) AS value FROM o JOIN
         (SELECT shard, MAX(n) AS n, arg_max(occupancy, n) AS b FROM o GROUP BY shard) l USING (shard) WHERE o.n > l.n - l.b""",
     "stream_arrival_rate": _with(ARRIVALS) + "SELECT shard, t_ms // 3600000 * 3600000 AS window_ms, COUNT(*) AS rows FROM a GROUP BY ALL",
+    "stream_clock_faults": _with(TRACE) + """SELECT worker, event_id * 3 AS sent, clock, clock AS expected, NULL::VARCHAR AS fault, 'deltas' AS output FROM tr
+        UNION ALL SELECT worker, event_id * 3 + 1, clock, clock + 1, 'repeat', 'faults' FROM tr WHERE event_id % 7 = 0
+        UNION ALL SELECT worker, event_id * 3 + 2, clock + 5, clock + 1, 'gap', 'faults' FROM tr WHERE event_id % 11 = 0""",
     "stream_deduped_deltas": "SELECT user_id % 4 AS worker, event_id AS clock FROM events",
 }
 SQL["message_stream_round_trip"] = SQL["encode_tagged_json"].replace("SELECT event_id,", "SELECT event_id AS key,")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -26,6 +27,24 @@ def rocksdb_state(spark: SparkSession):
             spark.conf.set(PROVIDER, before)
 
 
+@contextmanager
+def only_with_data(spark: SparkSession):
+    """Queries started inside run no micro-batch without rows.
+
+    An operator with processing time would run such batches for ever, so a
+    query that is to stop by itself needs this.
+    """
+    before = spark.conf.get(NO_DATA, None)
+    spark.conf.set(NO_DATA, "false")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(NO_DATA)
+        else:
+            spark.conf.set(NO_DATA, before)
+
+
 def table_stream(spark: SparkSession, folder: str, name: str, max_files: int | None = None) -> DataFrame:
     """The parquet table ``name`` of ``folder`` as a stream."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
