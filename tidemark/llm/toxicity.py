@@ -5,12 +5,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidemark.llm.subwords import SubwordSoftmax
-from tidemark.llm.tasks import map_batches
+from tidemark.llm.subwords import BUCKETS, SubwordSoftmax
+from tidemark.llm.tasks import map_batches, map_stream
 from tidemark.storage import ship_package
 
 FOLDS = 5
+MODEL = ("vectors", "weights", "bias")
 TRAIN_ROWS = (4_000, 2_000)  # at most so many rows of class 0 and of class 1 are fitted
 TRAIN_CHARS = 10_000  # labelled texts longer than this are not fitted; all are scored
 
@@ -24,7 +26,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = TRAIN_ROWS,
 
     Per class the ``rows`` ids with the smallest hash are taken, so the sample
     is the same in every run and at most ``sum(rows) * chars`` characters reach
-    the driver.  An id with several labels counts as toxic if any says so.
+    the one task that fits; the driver gets the model.  An id with several
+    labels counts as toxic if any says so.
     """
     marked = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     usable = docs.filter(F.char_length("text") <= chars).select("doc_id").join(marked.filter(fold_of("doc_id") != 0), "doc_id").distinct()
@@ -33,8 +36,20 @@ def fit(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = TRAIN_ROWS,
         own = usable.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = own if chosen is None else chosen.union(own)
     texts = docs.filter(F.char_length("text") <= chars).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    sample = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toArrow().sort_by("doc_id")
-    return SubwordSoftmax.fit(sample["text"].to_pylist(), sample["toxic"].to_pylist())
+    sample = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+
+    def train(batches):
+        rows = pa.Table.from_batches(batches, schema=arrow).sort_by("doc_id")
+        model = SubwordSoftmax.fit(rows["text"].to_pylist(), rows["toxic"].to_pylist())
+        yield {name: [getattr(model, name).tobytes()] for name in MODEL} | {"fitted": [model.fitted]}
+
+    sample = sample.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
+    arrow = to_arrow_schema(sample.schema)
+    made = map_stream(sample.repartition(1), train, ", ".join(f"{name} binary" for name in MODEL) + ", fitted boolean").first()
+    if made is None:  # Spark runs no task on a sample that it knows to be empty
+        return SubwordSoftmax.fit([], [])
+    vectors, weights, bias = (np.frombuffer(made[name], dtype=np.float32) for name in MODEL)
+    return SubwordSoftmax(vectors.reshape(BUCKETS, -1), weights.reshape(-1, 2), bias, made["fitted"])
 
 
 def scored(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
