@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -13,6 +14,13 @@ from tidemark.storage import ship_package
 ROWS = 512  # of a batch that are Python objects at one time
 
 
+def give_back_memory() -> None:
+    """Hand freed memory back to the system, so that a worker that goes on does not keep the peak of one task."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
+
+
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: T.StructType | str) -> DataFrame:
     """Columns that ``work`` makes of each batch (a dict by column name, of lists or arrays), a few rows at a time."""
 

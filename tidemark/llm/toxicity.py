@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.llm.subwords import BUCKETS, SubwordSoftmax
-from tidemark.llm.tasks import map_batches, map_stream
+from tidemark.llm.tasks import give_back_memory, map_batches, map_stream
 from tidemark.storage import ship_package
 
 FOLDS = 5
@@ -42,6 +42,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = TRAIN_ROWS,
         rows = pa.Table.from_batches(batches, schema=arrow).sort_by("doc_id")
         model = SubwordSoftmax.fit(rows["text"].to_pylist(), rows["toxic"].to_pylist())
         yield {name: [getattr(model, name).tobytes()] for name in MODEL} | {"fitted": [model.fitted]}
+        del rows, model
+        give_back_memory()
 
     sample = sample.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
     arrow = to_arrow_schema(sample.schema)
