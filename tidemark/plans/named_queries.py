@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.functions.columns import NUM_FEATURES, features_of, key_between, lookup, same_message
 from tidemark.operators import buffer, clocks, lookups, ordered, prep, quality, runlog, scoring, weights as model
 from tidemark.plans import fixtures as fx, training
+from tidemark.plans.certificate import certificate
 from tidemark.plans.fixtures import COEFFICIENT, HIGH, LOW, WORKERS, table
 from tidemark.sources import examples as csv_examples, messages, runlogs, streams
 from tidemark.storage import new_folder, written
@@ -738,6 +739,17 @@ def reference_model(spark, sf):
     return quality.f1_accuracy(scored).select(r6("f1").alias("f1"), r6("accuracy").alias("accuracy"), "rows")
 
 
+@query
+def reference_certificate(spark, sf):
+    """The library's model under a penalty, its objective and the lower bound that proves it the best there is."""
+    penalty = 0.1
+    fitted = training.reference_model(fx.examples(spark, sf), regParam=penalty, standardization=False, maxIter=500, tol=1e-8)
+    out = certificate(fx.vectors(spark, sf), training.reference_weights(spark, fitted), penalty)
+    return out.select(
+        "rows", F.round("objective", 4).alias("objective"), F.round("lower_bound", 4).alias("lower_bound"), (F.col("gap") < 1e-5).alias("optimal")
+    )
+
+
 # ---- streams --------------------------------------------------------------
 
 

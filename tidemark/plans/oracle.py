@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidemark.functions.columns import BUFFER_COEFFICIENT, MAX_BUFFER
-from tidemark.plans.oracle_fit import fit
+from tidemark.plans.oracle_fit import fit, minimum
 
 MS = "epoch_us(ts)//1000"
 COEFFICIENT = "CAST(600.0000238418579 AS DOUBLE)"
@@ -464,3 +464,5 @@ def _message_run(fits: bool, pieces: int = 4) -> str:
 
 SQL |= {"stream_worker_steps": _message_run(False), "stream_worker_fits": _message_run(True)}
 SQL |= {f"stream_training_{rule}": _streamed() for rule in ("sequential", "bounded", "eventual")}
+SQL["reference_certificate"] = _with(EXAMPLES, LONG, VECTORS, KEYS, *minimum(0.1)) + """SELECT rows, ROUND(objective, 4) AS objective,
+    ROUND(lower_bound, 4) AS lower_bound, objective - lower_bound < 1e-5 AS optimal FROM best"""

@@ -98,3 +98,41 @@ def _try(a: str, i: int, k: int) -> list[str]:
                     FROM (SELECT t.*, e.loss, e.slope, COALESCE(e.loss > loss0 + 1e-4 * len * slope0, TRUE) AS worse
                         FROM {a}t{i}_{k} t LEFT JOIN {a}e{i}_{k} e USING (shard)))))""",
     ]
+
+
+def minimum(penalty: float, steps: int = 70, momentum: float = 0.6) -> list[str]:
+    """CTEs ending in ``best``: objective and dual bound after so many accelerated gradient steps from zero, without line search.
+
+    ``v`` has the rows and ``k`` the keys; intercepts are free of the penalty.
+    """
+    parts = [
+        "n AS MATERIALIZED (SELECT COUNT(*) AS n, (SELECT SUM(x * x) FROM v WHERE feature >= 0) / COUNT(*) AS size FROM v WHERE feature = -1)",
+        "m0 AS MATERIALIZED (SELECT class, feature, CAST(0 AS DOUBLE) AS p, CAST(0 AS DOUBLE) AS y FROM k)",
+    ]
+    for i in range(steps):
+        parts += _chances(i)
+        parts.append(
+            f"""m{i + 1} AS MATERIALIZED (SELECT class, feature, p, p + {momentum} * (p - before) AS y FROM
+                (SELECT m.class, m.feature, m.p AS before, CASE WHEN m.feature = -1 THEN m.y - COALESCE(g, 0)
+                    ELSE m.y - (COALESCE(g, 0) + {penalty} * m.y) / (size + 2 * {penalty}) END AS p
+                 FROM m{i} m LEFT JOIN f{i} USING (class, feature), n))"""
+        )
+    parts += [p.replace("x * y", "x * p") for p in _chances(steps)]
+    parts.append(
+        f"""best AS (SELECT n AS rows, (SELECT SUM(nll) FROM h{steps} WHERE class = label) / n
+                + {penalty} / 2 * (SELECT SUM(p * p) FROM m{steps} WHERE feature >= 0) AS objective,
+            (SELECT SUM(-chance * LN(chance)) FROM h{steps}) / n
+                - (SELECT SUM(g * g) FROM f{steps} WHERE feature >= 0) / (2 * {penalty}) AS lower_bound FROM n)"""
+    )
+    return parts
+
+
+def _chances(i: int) -> list[str]:
+    return [
+        f"""h{i} AS MATERIALIZED (SELECT row_id, label, class, EXP(z - lse) AS chance, lse - z AS nll FROM
+            (SELECT *, m + LN(SUM(EXP(z - m)) OVER (PARTITION BY row_id)) AS lse FROM
+                (SELECT *, MAX(z) OVER (PARTITION BY row_id) AS m FROM
+                    (SELECT row_id, label, class, SUM(x * y) AS z FROM v JOIN m{i} USING (feature) GROUP BY ALL))))""",
+        f"""f{i} AS MATERIALIZED (SELECT class, feature, SUM((chance - CASE WHEN class = h.label THEN 1 ELSE 0 END) * x) / ANY_VALUE(n) AS g
+            FROM h{i} h JOIN v USING (row_id), n GROUP BY class, feature)""",
+    ]

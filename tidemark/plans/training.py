@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import softmax
 from tidemark.functions.columns import LOCAL_ITERATIONS, NUM_WORKERS
@@ -208,6 +208,11 @@ def reference_model(examples: DataFrame, **options) -> LogisticRegressionModel:
     return LogisticRegression(family="multinomial", **options).fit(rows)
 
 
+def reference_weights(spark: SparkSession, fitted: LogisticRegressionModel) -> DataFrame:
+    """The library's coefficients and intercepts as a table of weights."""
+    return weights_frame(spark, np.column_stack([fitted.interceptVector.toArray(), fitted.coefficientMatrix.toArray()]))
+
+
 def reference_predictions(model: LogisticRegressionModel, examples: DataFrame, *keep: str) -> DataFrame:
     rows = examples.withColumn("features", array_to_vector(F.col("features")))
     return model.transform(rows).select(*keep, "label", F.col("prediction").cast("int").alias("prediction"))
