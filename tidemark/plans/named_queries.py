@@ -15,7 +15,13 @@ from tidemark.plans.certificate import certificate
 from tidemark.plans.fixtures import COEFFICIENT, HIGH, LOW, WORKERS, table
 from tidemark.sources import examples as csv_examples, messages, runlogs, streams
 from tidemark.storage import new_folder, written
-from tidemark.streaming import buffer as stream_buffer, tracker as stream_tracker, training as stream_training, worker as stream_worker
+from tidemark.streaming import (
+    buffer as stream_buffer,
+    timers as stream_timers,
+    tracker as stream_tracker,
+    training as stream_training,
+    worker as stream_worker,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -782,6 +788,13 @@ def stream_clock_faults(spark, sf):
     return stream_tracker.tracked_events(spark, fx.trace(spark, sf).select("worker", "event_id", "clock"))
 
 
+@query
+def stream_start_timer(spark, sf):
+    """Each worker's one-shot timer: it fires once, not before it is due, however many messages follow."""
+    fired = stream_timers.timed_on_events(spark, sf, WORKERS)
+    return fired.select("worker", "run", (F.col("fired_ms") >= F.col("due_ms")).alias("due"), (F.col("due_ms") - F.col("registered_ms")).alias("after_ms"))
+
+
 @query
 def stream_training_sequential(spark, sf):
     return stream_training.train_on_embeddings(spark, sf, WORKERS, delay=0)

@@ -466,3 +466,4 @@ SQL |= {"stream_worker_steps": _message_run(False), "stream_worker_fits": _messa
 SQL |= {f"stream_training_{rule}": _streamed() for rule in ("sequential", "bounded", "eventual")}
 SQL["reference_certificate"] = _with(EXAMPLES, LONG, VECTORS, KEYS, *minimum(0.1)) + """SELECT rows, ROUND(objective, 4) AS objective,
     ROUND(lower_bound, 4) AS lower_bound, objective - lower_bound < 1e-5 AS optimal FROM best"""
+SQL["stream_start_timer"] = "SELECT DISTINCT user_id % 4 AS worker, CAST(1 AS INTEGER) AS run, TRUE AS due, CAST(1 AS BIGINT) AS after_ms FROM events"
