@@ -56,12 +56,14 @@ def certificate(vectors: DataFrame, weights: DataFrame, penalty: float = 0.0) ->
 
 def _lower_bound(vectors, weights, slopes, counts, rows, penalty) -> float:
     classes = weights.agg(F.max("class")).first()[0] + 1
+    made = []
     share = [counts.get(c, 0) / rows for c in range(classes)]
     if not all(share):
         absent = F.col("class").isin([c for c in range(classes) if not share[c]])
         value = F.when(absent & (F.col("feature") == -1), F.lit(NEVER)).otherwise(F.when(absent, F.lit(0.0)).otherwise(F.col("value")))
         weights = weights.withColumn("value", value)
         slopes = written(softmax_gradient(vectors, weights), "slopes")
+        made.append(slopes)
     chances = softmax_of("z")
     entropy = F.aggregate(chances, F.lit(0.0), lambda a, p: a + F.when(p > 0, -p * F.log(p)).otherwise(0.0))
     mean_entropy = margin_arrays(vectors, weights).agg(F.avg(entropy)).first()[0]
@@ -79,5 +81,5 @@ def _lower_bound(vectors, weights, slopes, counts, rows, penalty) -> float:
     chance = F.element_at(F.array(*[F.lit(p) for p in other]), F.col("class") + 1)
     cell = (1 - mixed) * F.col("gradient") + mixed * (chance * F.col("all") - F.coalesce("own", F.lit(0.0)))
     squares = cells.agg(F.coalesce(F.sum(cell * cell), F.lit(0.0))).first()[0] / rows**2
-    dropped(sums)
+    dropped(sums, *made)
     return mean_entropy - squares / (2 * penalty)
