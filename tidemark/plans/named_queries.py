@@ -785,7 +785,7 @@ def stream_deduped_deltas(spark, sf):
 @query
 def stream_clock_faults(spark, sf):
     """A run with repeated and leaping deltas: what the tracker took and what it put aside."""
-    return stream_tracker.tracked_events(spark, fx.trace(spark, sf).select("worker", "event_id", "clock"))
+    return stream_tracker.tracked_events(spark, fx.trace(spark, sf).select("worker", "event_id", "clock"), WORKERS)
 
 
 @query

@@ -70,9 +70,9 @@ def write_messages(
 def write_in_order(rows: DataFrame, order: list[str], folder: str, rows_per_file: int = 250_000, least_files: int = 1) -> int:
     """Write ``rows`` as files that follow each other in ``order``; the number of files.
 
-    A file stream takes files by age, so with ``maxFilesPerTrigger`` of 1 its
-    micro-batches follow the order and none holds more than a file: the rows
-    of one key are never together in one task but for that many.  Files get
+    A file stream takes files by age, so with ``maxFilesPerTrigger`` its
+    micro-batches follow the order and none holds more than that many files:
+    the rows of one key are never together in one task but for these.  Files get
     their place by their time of change, one second apart, so the store has to
     keep such times.
     """
@@ -91,6 +91,18 @@ def write_in_order(rows: DataFrame, order: list[str], folder: str, rows_per_file
     return len(names)
 
 
+def files_at_once(files: int, least_batches: int, most: int | None = 4) -> int:
+    """``maxFilesPerTrigger`` for files of :func:`write_in_order`: as many as leave ``least_batches`` micro-batches, up to ``most``.
+
+    A micro-batch has its own costs, so it takes several files where there are
+    many; ``most`` bounds the rows of one key that a task holds.  Without
+    ``most`` the number of micro-batches stays the same as the table grows,
+    for operators that hold no rows.
+    """
+    fit = max(1, files // least_batches)
+    return fit if most is None else min(most, fit)
+
+
 def append_messages(messages: DataFrame, name: str, folder: str) -> None:
     """Publish a finite set of messages to a folder stream."""
     messages.select(F.col("key").cast("long").alias("key"), "value").write.mode("append").parquet(f"{folder}/{name}")

@@ -11,16 +11,27 @@ from pyspark.sql.streaming import StreamingQuery
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+PARTITIONS = "spark.sql.shuffle.partitions"
+PARTITIONS_PER_KEY = 3
 
 
 @contextmanager
-def rocksdb_state(spark: SparkSession):
-    """Keep operator state in RocksDB, off the heap, for queries started inside."""
-    before = spark.conf.get(PROVIDER, None)
+def rocksdb_state(spark: SparkSession, keys: int | None = None):
+    """Keep operator state in RocksDB, off the heap, for queries started inside.
+
+    Each micro-batch pays for every partition of the state, empty ones too: a
+    Python worker, a store and its commit.  Where an operator has few ``keys``,
+    give their number: it gets three partitions for each, so that few keys
+    meet in one, and never more than the session sets.
+    """
+    before, partitions = spark.conf.get(PROVIDER, None), spark.conf.get(PARTITIONS)
     spark.conf.set(PROVIDER, ROCKSDB)
+    if keys is not None:
+        spark.conf.set(PARTITIONS, min(int(partitions), PARTITIONS_PER_KEY * keys))
     try:
         yield
     finally:
+        spark.conf.set(PARTITIONS, partitions)
         if before is None:
             spark.conf.unset(PROVIDER)
         else:

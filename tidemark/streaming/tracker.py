@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidemark.sources.streams import write_in_order
-from tidemark.storage import new_folder
+from tidemark.sources.streams import files_at_once, write_in_order
+from tidemark.storage import dropped, new_folder, written
 from tidemark.streaming.replay import only_with_data, rocksdb_state
 
 DAY_MS = 86_400_000
@@ -66,7 +66,7 @@ def fault_sink(folder: str) -> Callable[[DataFrame, int], None]:
     return store
 
 
-def tracked_events(spark: SparkSession, trace: DataFrame, least_batches: int = 5) -> DataFrame:
+def tracked_events(spark: SparkSession, trace: DataFrame, workers: int, least_batches: int = 5, rows_per_file: int = 250_000) -> DataFrame:
     """A recorded run sent with repeats and leaps among its deltas, over several micro-batches; all that came out.
 
     Every seventh event is sent a second time, every eleventh is followed by
@@ -78,9 +78,12 @@ def tracked_events(spark: SparkSession, trace: DataFrame, least_batches: int = 5
     sent = trace.select("worker", "event_id", F.explode(F.array_compact(F.array(first, again, ahead))).alias("m"))
     sent = sent.select("worker", F.col("m.clock").cast("long").alias("clock"), (F.col("event_id") * 3 + F.col("m.turn")).cast("long").alias("sent"))
     folder = new_folder(spark, "tracked")
-    write_in_order(sent, ["sent"], f"{folder}/in", least_files=least_batches)
-    with rocksdb_state(spark), only_with_data(spark):
-        stream = spark.readStream.schema("worker long, clock long, sent long").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    sent = written(sent, "sent")  # counted, sampled and dealt out, but worked out once
+    files = write_in_order(sent, ["sent"], f"{folder}/in", rows_per_file, least_batches)
+    dropped(sent)
+    with rocksdb_state(spark, workers), only_with_data(spark):
+        reader = spark.readStream.schema("worker long, clock long, sent long")
+        stream = reader.option("maxFilesPerTrigger", files_at_once(files, least_batches)).parquet(f"{folder}/in")
         sink = track_clocks(stream).writeStream.foreachBatch(fault_sink(folder)).option("checkpointLocation", f"{folder}/checkpoint")
         sink.trigger(availableNow=True).start().awaitTermination()
     good, faults = (spark.read.schema(TRACKED).parquet(f"{folder}/{name}") for name in ("deltas", "faults"))
