@@ -3,12 +3,13 @@
 import glob
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.compare import connect, differences
 from tidemark.plans import fixtures as fx
 from tidemark.plans.oracle import SQL
 from tidemark.storage import ship_package
-from tidemark.streaming import tracker
+from tidemark.streaming import buffer as stream_buffer, tracker
 
 
 @pytest.fixture
@@ -34,3 +35,13 @@ def test_tracker_takes_several_files_a_batch_and_has_few_partitions(spark, tiny,
     batches, partitions = batches_and_partitions(rows, "tracked")
     assert 5 <= batches <= 8 and partitions == 12
     assert differences(rows, connect(tiny), SQL["stream_clock_faults"]) is None
+
+
+def test_buffer_takes_several_files_a_batch_and_has_few_partitions(spark, tiny, many_partitions):
+    limits = fx.LOW, fx.HIGH, fx.COEFFICIENT
+    rows, held = stream_buffer.run_on_events(spark, tiny, fx.WORKERS, *limits, least_batches=4, rows_per_file=50)
+    batches, partitions = batches_and_partitions(rows, "buffer")
+    assert 4 <= batches <= 6 and partitions == 12
+    assert differences(rows, connect(tiny), SQL["stream_adaptive_buffer"]) is None
+    held = held.withColumn("value", F.round("value", 6))
+    assert differences(held, connect(tiny), SQL["stream_buffer_contents"]) is None

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tidemark.functions.columns import BUFFER_COEFFICIENT, DEFAULT_GAP_MS, GAP_HISTORY, MAX_BUFFER, MIN_BUFFER, epoch_ms
 from tidemark.operators.prep import shard_rows
 from tidemark.operators.runlog import latest
-from tidemark.sources.streams import write_in_order
+from tidemark.sources.streams import files_at_once, write_in_order
 from tidemark.storage import new_folder, written
 from tidemark.streaming.replay import rocksdb_state, table_stream
 
@@ -127,14 +127,16 @@ def buffered_rows(spark: SparkSession, checkpoint: str, batch: int | None = None
     return reader.load().select("key.shard", "user_map_key.insertion_id", "user_map_value.*")
 
 
-def run_on_events(spark: SparkSession, sf: str, workers: int, low: int, high: int, coefficient: float, least_batches: int = 10) -> tuple[DataFrame, DataFrame]:
+def run_on_events(
+    spark: SparkSession, sf: str, workers: int, low: int, high: int, coefficient: float, least_batches: int = 10, rows_per_file: int = 250_000
+) -> tuple[DataFrame, DataFrame]:
     """The stateful buffer over `events` in many bounded micro-batches: what it did at each arrival, and what it holds."""
     events = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("id"), epoch_ms("ts").alias("t_ms"), "value")
     folder = new_folder(spark, "buffer")
-    write_in_order(shard_rows(events, "id", workers), ["t_ms", "id"], f"{folder}/in", least_files=least_batches)
+    files = write_in_order(shard_rows(events, "id", workers), ["t_ms", "id"], f"{folder}/in", rows_per_file, least_batches)
     schema = "id long, t_ms long, value double, shard long"
-    with rocksdb_state(spark):
-        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    with rocksdb_state(spark, workers):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once(files, least_batches)).parquet(f"{folder}/in")
         out = adaptive_buffer(stream, low, high, coefficient)
         sink = out.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")
         sink.trigger(availableNow=True).start().awaitTermination()
