@@ -9,7 +9,8 @@ from tests.compare import connect, differences
 from tidemark.plans import fixtures as fx
 from tidemark.plans.oracle import SQL
 from tidemark.storage import ship_package
-from tidemark.streaming import buffer as stream_buffer, tracker
+from tidemark.streaming import buffer as stream_buffer, timers, tracker
+from tidemark.streaming.replay import only_with_data, rocksdb_state
 
 
 @pytest.fixture
@@ -45,3 +46,23 @@ def test_buffer_takes_several_files_a_batch_and_has_few_partitions(spark, tiny,
     assert differences(rows, connect(tiny), SQL["stream_adaptive_buffer"]) is None
     held = held.withColumn("value", F.round("value", 6))
     assert differences(held, connect(tiny), SQL["stream_buffer_contents"]) is None
+
+
+def test_timers_take_no_more_batches_for_more_files(spark, tiny, many_partitions):
+    rows = timers.timed_on_events(spark, tiny, fx.WORKERS, rows_per_file=20)
+    batches, partitions = batches_and_partitions(rows, "timed")
+    assert 5 <= batches <= 6 and partitions == 12
+    assert sorted(tuple(r) for r in rows.select("worker", "run").collect()) == [(w, 1) for w in range(4)]
+
+
+def test_a_null_worker_is_heard_of_like_the_others(spark, tmp_path):
+    ship_package(spark)
+    source = str(tmp_path / "in")
+    for _ in range(3):
+        spark.createDataFrame([(None,), (1,), (1,), (None,)], "worker long").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("worker long").option("maxFilesPerTrigger", 1).parquet(source)
+    with rocksdb_state(spark, 2), only_with_data(spark):
+        sink = timers.timed_runs(stream, 1).writeStream.format("parquet").option("path", str(tmp_path / "runs"))
+        sink.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    runs = spark.read.schema(timers.RUNS).parquet(str(tmp_path / "runs")).select("worker", "run").collect()
+    assert sorted(map(tuple, runs), key=repr) == [(1, 1), (None, 1)]
