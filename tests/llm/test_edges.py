@@ -80,6 +80,19 @@ def test_a_hub_of_many_pairs(spark, monkeypatch):
     assert got == want and 10 < len(want) < 80
 
 
+def test_lists_of_long_texts(spark):
+    """Long texts with all values in common: memory for a row of the lists does not grow with its text."""
+    n, texts = 30_000, 40
+    sets = spark.range(texts).select("id", F.lit(n).cast("long").alias("n"), F.sequence(F.lit(1), F.lit(n).cast("long")).alias("values"))
+    short = spark.range(100, 102).select("id", F.lit(2).cast("long").alias("n"), F.array(F.lit(-1), F.lit(5)).cast("array<long>").alias("values"))
+    rows = neardup.lists(sets.union(short), F.ceil(F.col("n") * 85 / 100))
+    assert rows.columns == ["id", "n", "common", "v", "df", "listed"]
+    got = rows.groupBy("id", "n", "common").agg(F.count("*").alias("rows"), F.count_if("listed").alias("listed"), F.max(F.when(F.col("listed"), F.col("v"))).alias("last"), F.min("df").alias("df"))
+    # Value 5 is in 42 texts, all others of the long ones in 40, so it comes last; -1 is in two.
+    want = {(i, n, n, n, 4_501, 4_502, 40) for i in range(texts)} | {(i, 2, 1, 2, 1, -1, 2) for i in (100, 101)}
+    assert {tuple(r) for r in got.collect()} == want
+
+
 def test_intermediate_tables_are_given_back(spark, small):
     def folders():
         return {f for f in os.listdir(shared_folder(spark).removeprefix("file:")) if not f.endswith(".crc")}

@@ -85,17 +85,20 @@ def lists(sets: DataFrame, needed: Column) -> DataFrame:
     ``listed`` marks the values that must be listed if partners agree on
     ``needed`` (of ``n``) of them; ``common`` counts the text's values in long
     lists.
+
+    A text's values stay rows throughout.  Held in one row and made rows again,
+    each would carry all others: memory by the square of a text's length.
     """
     rows = sets.select("id", "n", F.explode("values").alias("v"))
     counts = rows.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     # Dealt to a stated number of tasks: few bytes here become many rows below, which Spark would leave to few tasks.
     dealt = rows.join(counts, "v").repartition(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
-    shared = dealt.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held"))
+    rarest_first = Window.partitionBy("id", "n").orderBy("df", "v")
+    text = rarest_first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # Of all values the rarest but ``needed - 1`` are listed; those that no other text has are the rarest and need no list.
-    most = F.size("held") - needed + 1
-    common = F.size(F.filter("held", lambda h: h["df"] > LONG)).cast("long")
-    spread = shared.select("id", "n", common.alias("common"), most.alias("most"), F.posexplode("held").alias("at", "h"))
-    return spread.select("id", "n", "common", F.col("h.v").alias("v"), F.col("h.df").alias("df"), (F.col("at") < F.col("most")).alias("listed"))
+    most = F.count(F.lit(1)).over(text) - needed + 1
+    common = F.count(F.when(F.col("df") > LONG, 1)).over(text)
+    return dealt.select("id", "n", common.alias("common"), "v", "df", (F.row_number().over(rarest_first) <= most).alias("listed"))
 
 
 def near_size(a: str, b: str, percent: int) -> Column:
